@@ -167,7 +167,11 @@ TOKEN = (
     r'"(?:[^"\\]++|\\[\s\S])*+"|\.\.\.|[$]?[A-Za-z_][A-Za-z0-9_]*'
     r"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[{}()\[\]:,!@=|]"
 )
-VARIABLE_BLOCK = r"^[^(]*\(([\s\S]*)\)[^)]*$"
+DEFINITION_WORDS = ["query", "mutation", "subscription", "fragment"]
+VARIABLE_HEADER = (
+    r"\b(query|mutation|subscription)\b\s*([A-Za-z_]\w*)?\s*"
+    r'\(((?:[^()"]++|"(?:[^"\\]++|\\[\s\S])*+"|\([^()]*+\))*+)\)'
+)
 VARIABLE = r"\$([A-Za-z_]\w*)\s*:\s*([^$,)]+)"
 BUILT_IN_SCALARS = ["Int", "Float", "String", "Boolean", "ID"]
 UNKNOWN = "Unknown"

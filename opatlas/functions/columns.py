@@ -48,3 +48,11 @@ def in_order(first_seen: Column, capture_id: Column) -> Column:
     return ((micros * shift).cast("decimal(38,0)") + capture_id.cast("decimal(19,0)")).cast(
         "decimal(38,0)"
     )
+
+
+def without_first(array: Column) -> Column:
+    return F.slice(array, F.lit(2), F.size(array))
+
+
+def without_last(array: Column) -> Column:
+    return F.slice(array, F.lit(1), F.greatest(F.size(array) - 1, F.lit(0)))
