@@ -9,6 +9,7 @@ from opatlas import fixed_values as V
 from opatlas.functions import classify as C
 from opatlas.functions.columns import all_matches, first_match
 from opatlas.operators import gates
+from opatlas.operators.findings import distinct_items
 
 ITEM = "struct<form:string,text:string,hash:string>"
 
@@ -149,3 +150,8 @@ def http_ops(exchanges: DataFrame) -> DataFrame:
 
 def socket_ops(messages: DataFrame) -> DataFrame:
     return C.classify(socket_items(messages))
+
+
+def distinct_ops(exchanges: DataFrame) -> DataFrame:
+    """Operations of distinct items, with count and first arrival instead of captures."""
+    return C.classify(distinct_items(http_items(exchanges)))
