@@ -21,6 +21,10 @@ COMPACT = "compact"      # script text from a compact operation head on
 PERSISTED = "persisted"  # a hash; text is the display snippet
 DOC_ID = "doc_id"        # an id; text is the display snippet
 
+REQUEST_FORMS = [JSON, PLAIN, PERSISTED, DOC_ID]
+ALL_FORMS = [*REQUEST_FORMS, TEMPLATE, REGION, STRING, QUOTED, COMPACT]
+_SCRIPT_FORMS = [TEMPLATE, REGION, STRING, QUOTED, COMPACT]
+
 _BLOCK = balanced("{", "}", BLOCK_LEVELS)
 _CLOSED_REGION = "^" + V.OPERATION_HEAD + _BLOCK + "$"
 _OPERATIONS = "array<struct<operation_type:string,operation_name:string,operation_body:string>>"
@@ -84,46 +88,62 @@ def _long_enough(text: Column) -> Column:
     return F.length(text) > V.SNIPPET_MIN_CHARS
 
 
-def _compact_operation(text: Column) -> Column:
-    operation_type = F.regexp_extract(text, V.COMPACT_TYPE_AND_NAME, 1)
-    name = F.regexp_extract(text, V.COMPACT_TYPE_AND_NAME, 2)
-    return let(
-        _cut_region(text),
-        lambda cut: let(
-            T.clean_script_text(cut),
-            lambda cleaned: F.when(
-                _long_enough(cut) & _long_enough(cleaned), _one(operation_type, name, cleaned)
+def _operations(forms: list[str], form: Column, text: Column, fallback: Column) -> Column:
+    """Operations of one item.  The text is prepared, cleaned and read in three bound steps."""
+    present = set(forms)
+
+    def choose(branches: list[tuple[list[str], Column]], default: Column) -> Column:
+        chosen = None
+        for names, value in branches:
+            names = [n for n in names if n in present]
+            if names:
+                test = form.isin(*names)
+                chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
+        return default if chosen is None else chosen.otherwise(default)
+
+    def read(prepared: Column, cleaned: Column) -> Column:
+        compact = F.when(
+            _long_enough(prepared) & _long_enough(cleaned),
+            _one(
+                F.regexp_extract(prepared, V.COMPACT_TYPE_AND_NAME, 1),
+                F.regexp_extract(prepared, V.COMPACT_TYPE_AND_NAME, 2),
+                cleaned,
             ),
-        ),
+        )
+        readable = F.when((form != QUOTED) | _long_enough(cleaned), cleaned)
+        return choose(
+            [([PERSISTED, DOC_ID], _one(form, fallback, prepared)), ([COMPACT], compact)],
+            operations_in(readable if QUOTED in present else cleaned, fallback),
+        )
+
+    prepared = choose(
+        [
+            ([JSON], T.unescape_json(text)),
+            ([STRING, QUOTED], T.unescape_script(text)),
+            ([REGION, COMPACT], _cut_region(text)),
+        ],
+        text,
+    )
+    scripts = [f for f in _SCRIPT_FORMS if f in present]
+    if not scripts:
+        return let(prepared, lambda p: read(p, p))
+    return let(
+        prepared,
+        lambda p: let(choose([(scripts, T.clean_script_text(p))], p), lambda c: read(p, c)),
     )
 
 
-def classify(items: DataFrame) -> DataFrame:
+def classify(items: DataFrame, forms: list[str] = ALL_FORMS) -> DataFrame:
     """One row per operation.
 
     Reads ``form``, ``text``, ``name`` (fallback name), ``hash`` and ``ord`` of every item
     and replaces them by ``operation_type``, ``operation_name``, ``persisted_hash``,
-    ``operation_body`` and the operation's ``ord``.  All other columns are kept.
+    ``operation_body`` and the operation's ``ord``.  All other columns are kept.  ``forms``
+    are the forms that can occur; the others cost nothing then.
     """
-    form, text = F.col("form"), F.col("text")
     kept = [c for c in items.columns if c not in ("form", "text", "name", "hash", "ord")]
     fallback = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit(V.ANONYMOUS))
-    quoted = let(
-        T.clean_script_text(T.unescape_script(text)),
-        lambda cleaned: F.when(_long_enough(cleaned), operations_in(cleaned, fallback)),
-    )
-    found = (
-        F.when(form.isin(PERSISTED, DOC_ID), _one(form, fallback, text))
-        .when(form == JSON, operations_in(T.unescape_json(text), fallback))
-        .when(form == PLAIN, operations_in(text, fallback))
-        .when(form == TEMPLATE, operations_in(T.clean_script_text(text), fallback))
-        .when(form == REGION, operations_in(T.clean_script_text(_cut_region(text)), fallback))
-        .when(
-            form == STRING, operations_in(T.clean_script_text(T.unescape_script(text)), fallback)
-        )
-        .when(form == QUOTED, quoted)
-        .when(form == COMPACT, _compact_operation(text))
-    )
+    found = _operations(forms, F.col("form"), F.col("text"), fallback)
     ops = items.select(*kept, "ord", "hash", F.posexplode(found).alias("op_no", "op"))
     return ops.select(
         *kept,

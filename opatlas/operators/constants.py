@@ -209,4 +209,4 @@ def assembled_items(bundles: DataFrame, rank: int) -> DataFrame:
 
 def assembled_ops(bundles: DataFrame) -> DataFrame:
     """Operations of assembled texts, per bundle."""
-    return C.classify(assembled_items(bundles, rank=100))
+    return C.classify(assembled_items(bundles, rank=100), C.REQUEST_FORMS)

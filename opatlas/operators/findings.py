@@ -88,8 +88,8 @@ def merge(partials: DataFrame) -> DataFrame:
 
 
 def findings_of_items(items: DataFrame) -> DataFrame:
-    """Partial findings of extracted items."""
-    return from_ops(C.classify(distinct_items(items)))
+    """Partial findings of items extracted from requests and messages."""
+    return from_ops(C.classify(distinct_items(items), C.REQUEST_FORMS))
 
 
 def new_keys(found: DataFrame, stored: DataFrame) -> DataFrame:

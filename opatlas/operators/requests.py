@@ -145,13 +145,13 @@ def socket_items(messages: DataFrame) -> DataFrame:
 
 def http_ops(exchanges: DataFrame) -> DataFrame:
     """One row per operation and capture."""
-    return C.classify(http_items(exchanges))
+    return C.classify(http_items(exchanges), C.REQUEST_FORMS)
 
 
 def socket_ops(messages: DataFrame) -> DataFrame:
-    return C.classify(socket_items(messages))
+    return C.classify(socket_items(messages), C.REQUEST_FORMS)
 
 
 def distinct_ops(exchanges: DataFrame) -> DataFrame:
     """Operations of distinct items, with count and first arrival instead of captures."""
-    return C.classify(distinct_items(http_items(exchanges)))
+    return C.classify(distinct_items(http_items(exchanges)), C.REQUEST_FORMS)

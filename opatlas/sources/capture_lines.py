@@ -73,7 +73,7 @@ def capture_line_ops(lines: DataFrame) -> DataFrame:
     items = capture_items(lines).drop("ord")
     distinct = items.groupBy(*items.columns).agg(F.count("*").alias("n")).withColumn("ord", F.lit(0))
     return (
-        C.classify(distinct)
+        C.classify(distinct, C.REQUEST_FORMS)
         .groupBy(
             "operation_type", "operation_name",
             F.coalesce("persisted_hash", F.lit("")).alias("persisted_hash"), "operation_body",

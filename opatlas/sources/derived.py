@@ -2,8 +2,8 @@
 
 The test tables hold no API traffic, so every ``events``, ``pages`` and ``conversations``
 row is turned into one capture by a template picked with its id.  Marks in angle brackets
-are filled from the row.  The templates are plain data, used here to build Columns and in
-``opatlas.plans.oracle`` to build the same text in SQL.
+are filled from the row.  The templates are plain data and are filled by SQL text that both
+Spark (here) and the checking SQL (``opatlas.plans.oracle``) run.
 """
 
 from __future__ import annotations
@@ -11,8 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 EVENT_TEMPLATES = [
     # (method, path, request body)
@@ -77,22 +76,73 @@ DERIVED_START = "2024-01-01 00:00:00"
 _MARK = re.compile(r"(<(?:et|Et|u|p|c|h)>)")
 
 
-def pieces(template: str) -> list[str]:
-    """Template text split into literals and marks."""
-    return [piece for piece in _MARK.split(template) if piece]
+def _fill(template: str, marks: dict[str, str], literal: Callable[[str], str]) -> str:
+    """SQL text of a template with its marks filled."""
+    parts = [piece for piece in _MARK.split(template) if piece] or [""]
+    return " || ".join(marks[p[1:-1]] if _MARK.fullmatch(p) else literal(p) for p in parts)
 
 
-def _fill(template: str, marks: dict[str, Column]) -> Column:
-    columns = [marks[p[1:-1]] if _MARK.fullmatch(p) else F.lit(p) for p in pieces(template)]
-    return F.concat(*columns) if columns else F.lit("")
+def _pick(
+    key: str, templates: list[str], marks: dict[str, str], literal: Callable[[str], str]
+) -> str:
+    """SQL text of the filled template whose position is ``key``."""
+    branches = [
+        f"WHEN {i} THEN {_fill(template, marks, literal)}" for i, template in enumerate(templates)
+    ]
+    return f"CASE {key} {' '.join(branches)} END"
 
 
-def _pick(key: Column, templates: list[str], marks: dict[str, Column]) -> Column:
-    """The filled template whose position is ``key``."""
-    picked = F.when(key == 0, _fill(templates[0], marks))
-    for position, template in enumerate(templates[1:], start=1):
-        picked = picked.when(key == position, _fill(template, marks))
-    return picked
+def api_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
+    """SQL text of method, path and request body, in terms of the ``events`` columns."""
+    marks = {
+        "et": "event_type",
+        "Et": "concat(upper(left(event_type, 1)), substr(event_type, 2))",
+        "u": "cast(user_id as varchar(20))",
+        "h": sha256.format("event_type"),
+    }
+    key = f"event_id % {len(EVENT_TEMPLATES)}"
+    names = ["method", "path", "req_body"]
+    return {
+        name: _pick(key, [t[i] for t in EVENT_TEMPLATES], marks, literal)
+        for i, name in enumerate(names)
+    }
+
+
+def script_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
+    """SQL text of content type and response body, in terms of the ``pages`` columns."""
+    page = "cast(page_id % 40 as varchar(20))"
+    marks = {"p": page, "h": sha256.format(page)}
+    key = f"page_id % {len(PAGE_TEMPLATES)}"
+    names = ["resp_content_type", "resp_body"]
+    return {
+        name: _pick(key, [t[i] for t in PAGE_TEMPLATES], marks, literal)
+        for i, name in enumerate(names)
+    }
+
+
+def message_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
+    """SQL text of the payload, in terms of the ``conversations`` columns."""
+    conversation = "cast(conv_id as varchar(20))"
+    marks = {"c": conversation, "h": sha256.format(conversation)}
+    key = f"conv_id % {len(MESSAGE_TEMPLATES)}"
+    return {"payload": _pick(key, MESSAGE_TEMPLATES, marks, literal)}
+
+
+def _raw_literal(text: str) -> str:
+    return f"r'{text}'"
+
+
+_SHA256 = "sha2({}, 256)"
+
+
+def _derived(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Derived columns behind a generator.
+
+    Stored captures are plain columns.  Derived ones are long expressions, and the optimizer
+    would copy them into every filter that reads them; it does not look through a generator.
+    """
+    fields = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
+    return df.selectExpr(f"explode(array(struct({fields}))) AS c").select("c.*")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
@@ -110,66 +160,60 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False
 
 def api_exchanges(events: DataFrame) -> DataFrame:
     """One API exchange per event."""
-    event_type, user = F.col("event_type"), F.col("user_id").cast("string")
-    marks = {
-        "et": event_type,
-        "Et": F.concat(F.upper(F.substring(event_type, 1, 1)), F.substring(event_type, 2, 1000)),
-        "u": user,
-        "h": F.sha2(event_type, 256),
-    }
-    key = F.col("event_id") % len(EVENT_TEMPLATES)
-    path = _pick(key, [t[1] for t in EVENT_TEMPLATES], marks)
-    host = F.concat(F.lit("h"), (F.col("user_id") % 3).cast("string"), F.lit(".example.com"))
-    return events.select(
-        F.col("event_id").alias("capture_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        host.alias("host"),
-        path.alias("path"),
-        F.concat(F.lit("https://"), host, path).alias("url"),
-        _pick(key, [t[0] for t in EVENT_TEMPLATES], marks).alias("method"),
-        _pick(key, [t[2] for t in EVENT_TEMPLATES], marks).alias("req_body"),
-        F.lit(None).cast("string").alias("resp_content_type"),
-        F.lit(None).cast("string").alias("resp_body"),
+    columns = api_columns(_raw_literal, _SHA256)
+    host = "concat('h', cast(user_id % 3 as varchar(20)), '.example.com')"
+    return _derived(
+        events,
+        {
+            "capture_id": "event_id",
+            "ts": "cast(ts as timestamp)",
+            "host": host,
+            "path": columns["path"],
+            "url": f"concat('https://', {host}, {columns['path']})",
+            "method": columns["method"],
+            "req_body": columns["req_body"],
+            "resp_content_type": "cast(null as string)",
+            "resp_body": "cast(null as string)",
+        },
     )
 
 
-def _start_plus(seconds: Column) -> Column:
-    start = F.to_timestamp_ntz(F.lit(DERIVED_START))
-    return (start + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).cast("timestamp")
+def _start_plus(seconds: str) -> str:
+    interval = f"make_dt_interval(0, 0, 0, cast({seconds} as decimal(18,6)))"
+    return f"cast(timestamp_ntz'{DERIVED_START}' + {interval} as timestamp)"
 
 
 def script_exchanges(pages: DataFrame) -> DataFrame:
     """One script response per page; many pages carry the same script."""
-    page = (F.col("page_id") % 40).cast("string")
-    marks = {"p": page, "h": F.sha2(page, 256)}
-    key = F.col("page_id") % len(PAGE_TEMPLATES)
-    path = F.concat(F.lit("/static/"), page, F.lit(".js"))
-    return pages.select(
-        (F.col("page_id") + PAGE_ID_BASE).alias("capture_id"),
-        _start_plus(F.col("page_id")).alias("ts"),
-        F.lit("cdn.example.com").alias("host"),
-        path.alias("path"),
-        F.concat(F.lit("https://cdn.example.com"), path).alias("url"),
-        F.lit("GET").alias("method"),
-        F.lit(None).cast("string").alias("req_body"),
-        _pick(key, [t[0] for t in PAGE_TEMPLATES], marks).alias("resp_content_type"),
-        _pick(key, [t[1] for t in PAGE_TEMPLATES], marks).alias("resp_body"),
+    path = "concat('/static/', cast(page_id % 40 as varchar(20)), '.js')"
+    return _derived(
+        pages,
+        {
+            "capture_id": f"page_id + {PAGE_ID_BASE}",
+            "ts": _start_plus("page_id"),
+            "host": "'cdn.example.com'",
+            "path": path,
+            "url": f"concat('https://cdn.example.com', {path})",
+            "method": "'GET'",
+            "req_body": "cast(null as string)",
+            **script_columns(_raw_literal, _SHA256),
+        },
     )
 
 
 def socket_messages(conversations: DataFrame) -> DataFrame:
     """One socket message per turn."""
-    conversation = F.col("conv_id").cast("string")
-    marks = {"c": conversation, "h": F.sha2(conversation, 256)}
-    key = F.col("conv_id") % len(MESSAGE_TEMPLATES)
-    return conversations.select(
-        (F.lit(MESSAGE_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("capture_id"),
-        _start_plus(F.col("conv_id") * 60 + F.col("turn")).alias("ts"),
-        F.lit("https://h0.example.com/ws").alias("url"),
-        F.lit("/ws").alias("path"),
-        F.when(F.col("role") == "user", "CLIENT_TO_SERVER").otherwise("SERVER_TO_CLIENT").alias("direction"),
-        F.lit(True).alias("is_text"),
-        _pick(key, MESSAGE_TEMPLATES, marks).alias("payload"),
+    return _derived(
+        conversations,
+        {
+            "capture_id": f"{MESSAGE_ID_BASE}L + conv_id * 1000 + turn",
+            "ts": _start_plus("conv_id * 60 + turn"),
+            "url": "'https://h0.example.com/ws'",
+            "path": "'/ws'",
+            "direction": "CASE role WHEN 'user' THEN 'CLIENT_TO_SERVER' ELSE 'SERVER_TO_CLIENT' END",
+            "is_text": "true",
+            **message_columns(_raw_literal, _SHA256),
+        },
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opatlas.functions.classify import classify
+from opatlas.functions.classify import REQUEST_FORMS, classify
 from opatlas.operators import findings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,7 +20,7 @@ def use_disk_state(spark: SparkSession) -> None:
 def write_ops(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append the operations of a stream of items to a Parquet table; stateless."""
     return (
-        classify(items)
+        classify(items, REQUEST_FORMS)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
@@ -36,7 +36,7 @@ def first_sight(items: DataFrame) -> DataFrame:
     There is no watermark on purpose: a key that comes back after any time is not new.
     """
     return (
-        classify(items)
+        classify(items, REQUEST_FORMS)
         .select(
             "endpoint",
             "operation_name",
