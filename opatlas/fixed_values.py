@@ -69,6 +69,7 @@ DECODED_HASH = r"""sha256Hash["':]+([0-9a-fA-F]{64})"""
 NAMED_OPERATION = (
     r"\b(query|mutation|subscription)\s+([A-Za-z_][A-Za-z0-9_]*)\s*(?:@[^({]*)?[({]"
 )
+OPERATION_WORD_END = r"[ ({@]"
 ANONYMOUS_OPERATION = r"\b(query|mutation|subscription)\s*[({]"
 FRAGMENT_DEFINITION = r"\bfragment\s+([A-Za-z_][A-Za-z0-9_]*)\s+on\s+"
 INLINE_FRAGMENT = r"\.\.\.\s+on\s+([A-Za-z_]\w*)"

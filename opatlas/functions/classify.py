@@ -42,16 +42,17 @@ def operations_in(text: Column, fallback: Column) -> Column:
     """
 
     def read(body: Column) -> Column:
-        fragments = all_matches(body, V.FRAGMENT_DEFINITION, 1)
-        pairs = F.concat(
-            F.arrays_zip(
-                all_matches(body, V.NAMED_OPERATION, 1), all_matches(body, V.NAMED_OPERATION, 2)
-            ).cast("array<struct<t:string,n:string>>"),
-            F.arrays_zip(F.array_repeat(F.lit("fragment"), F.size(fragments)), fragments).cast(
-                "array<struct<t:string,n:string>>"
-            ),
+        # The text is collapsed, so a match reads "query Name(" and its words are its parts.
+        words = F.transform(
+            all_matches(body, V.NAMED_OPERATION),
+            lambda match: F.split(match, V.OPERATION_WORD_END),
         )
-        declared = F.transform(pairs, lambda p: F.struct(p["t"], p["n"], body)).cast(_OPERATIONS)
+        named = F.transform(words, lambda w: F.struct(F.get(w, 0), F.get(w, 1), body)).cast(_OPERATIONS)
+        fragments = F.transform(
+            all_matches(body, V.FRAGMENT_DEFINITION, 1),
+            lambda name: F.struct(F.lit("fragment"), name, body),
+        ).cast(_OPERATIONS)
+        declared = F.when(body.contains("fragment "), F.concat(named, fragments)).otherwise(named)
         inline = first_match(body, V.INLINE_FRAGMENT)
         selection = (
             body.contains("{")

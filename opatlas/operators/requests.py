@@ -7,92 +7,102 @@ from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
 from opatlas.functions import classify as C
-from opatlas.functions.columns import all_matches, first_match
+from opatlas.functions.columns import all_matches
 from opatlas.operators import gates
 from opatlas.operators.findings import distinct_items
 
-ITEM = "struct<form:string,text:string,hash:string>"
+_ITEM = "struct<form:string,text:string,hash:string>"
+_ID_KEYS = {"doc_id": V.JSON_DOC_ID, "queryId": V.JSON_QUERY_ID, "document_id": V.JSON_DOCUMENT_ID}
 
 
-def _item(form: str, text: Column, hash_: Column | None = None) -> Column:
-    """An item, or null when ``text`` is null."""
-    fields = F.struct(F.lit(form), text, F.lit(None) if hash_ is None else hash_).cast(ITEM)
-    return F.when(text.isNotNull(), fields)
+def _found(text: Column, mark: str, pattern: str) -> Column:
+    """First match, '' for none; a cheap substring test goes first."""
+    return F.when(text.contains(mark), F.regexp_extract(text, pattern, 1)).otherwise("")
 
 
-def _items(form: str, texts: Column) -> Column:
-    """One item per array element."""
-    return F.arrays_zip(
-        F.array_repeat(F.lit(form), F.size(texts)), texts, F.array().cast("array<string>")
-    ).cast(f"array<{ITEM}>")
+def _item(form: str, text: Column, hash_: Column) -> Column:
+    """An item, or null when there is no ``hash_``."""
+    return F.when(hash_ != "", F.struct(F.lit(form), text, hash_).cast(_ITEM))
 
 
-def _id_snippet(key: str, id_: Column, name: Column) -> Column:
-    return F.concat(
-        F.lit(f"{key}: "), id_, F.when(name.isNull(), "").otherwise(F.concat(F.lit(" ("), name, F.lit(")")))
-    )
-
-
-def _body_items(part: Column, name: Column) -> Column:
-    hash_ = F.coalesce(first_match(part, V.JSON_SHA256_HASH), first_match(part, V.JSON_HASH))
-    ids = {
-        "doc_id": first_match(part, V.JSON_DOC_ID),
-        "queryId": first_match(part, V.JSON_QUERY_ID),
-        "document_id": first_match(part, V.JSON_DOCUMENT_ID),
-    }
-    return F.concat(
-        F.array(
-            _item(C.PERSISTED, F.concat(F.lit("Persisted: "), hash_), hash_),
-            *[_item(C.DOC_ID, _id_snippet(key, id_, name), id_) for key, id_ in ids.items()],
-        ),
-        _items(C.JSON, all_matches(part, V.JSON_QUERY, 1)),
-    )
+def _items(form: str | Column, texts: Column) -> Column:
+    """One item per array element."""
+    form = F.lit(form) if isinstance(form, str) else form
+    return F.arrays_zip(
+        F.array_repeat(form, F.size(texts)), texts, F.array().cast("array<string>")
+    ).cast(f"array<{_ITEM}>")
 
 
 def _decoded(value: Column) -> Column:
     return F.coalesce(F.try_url_decode(value), value)
 
 
-def _url_items(url: Column) -> Column:
-    hash_ = first_match(_decoded(first_match(url, V.URL_EXTENSIONS)), V.DECODED_HASH)
-    return F.array(
-        _item(C.PERSISTED, F.concat(F.lit("Persisted GET: "), hash_), hash_),
-        _item(C.PLAIN, _decoded(first_match(url, V.URL_QUERY))),
-    )
-
-
 def http_items(exchanges: DataFrame) -> DataFrame:
     """Items found in request bodies and URLs; one scan, one row per item.
 
-    A batched body is read part by part, each part with its own operation name.
+    A batched body is read part by part, each part with its own operation name.  What a part
+    holds is found once, in columns of its own, before the items are made of it.
     """
     body = F.col("req_body")
-    admitted = exchanges.where(
+    parts = exchanges.where(
         (gates.is_post() & gates.body_gate()) | (gates.is_get() & gates.url_gate())
-    )
-    parts = admitted.select(
+    ).select(
         "capture_id",
         "ts",
         "url",
         F.col("path").alias("endpoint"),
         "method",
-        gates.is_post().alias("from_body"),
+        gates.is_post().alias("in_body"),
         F.posexplode(
             F.when(gates.is_get(), F.array("url"))
             .when(body.rlike(V.BATCH_START), F.split(body, V.BATCH_SEPARATOR))
             .otherwise(F.array(body))
         ).alias("part_no", "part"),
     )
-    parts = parts.withColumn(
-        "name", F.when(F.col("from_body"), first_match(F.col("part"), V.JSON_OPERATION_NAME))
+    keys = ["capture_id", "ts", "url", "endpoint", "method", "in_body", "part_no"]
+    part, in_body = F.col("part"), F.col("in_body")
+
+    def of_body(value: Column) -> Column:
+        return F.when(in_body, value).otherwise("")
+
+    extensions = _decoded(F.regexp_extract(part, V.URL_EXTENSIONS, 1))
+    found = parts.select(
+        *keys,
+        of_body(_found(part, '"operationName"', V.JSON_OPERATION_NAME)).alias("name"),
+        of_body(_found(part, '"sha256Hash"', V.JSON_SHA256_HASH)).alias("sha256_hash"),
+        of_body(_found(part, '"hash"', V.JSON_HASH)).alias("plain_hash"),
+        F.when(~in_body, F.regexp_extract(extensions, V.DECODED_HASH, 1)).otherwise("").alias("url_hash"),
+        *[of_body(_found(part, f'"{key}"', pattern)).alias(key) for key, pattern in _ID_KEYS.items()],
+        F.when(in_body, all_matches(part, V.JSON_QUERY, 1))
+        .otherwise(all_matches(part, V.URL_QUERY, 1))
+        .alias("texts"),
     )
-    part = F.col("part")
-    items = parts.select(
-        "capture_id", "ts", "url", "endpoint", "method", "name", "part_no",
+    name = F.col("name")
+    suffix = F.when(name == "", "").otherwise(F.concat(F.lit(" ("), name, F.lit(")")))
+    body_hash = F.when(F.col("sha256_hash") != "", F.col("sha256_hash")).otherwise(F.col("plain_hash"))
+    url_hash = F.col("url_hash")
+    # A URL counts with its first query parameter only.
+    texts = F.when(in_body, F.col("texts")).otherwise(F.slice("texts", 1, 1))
+    items = found.select(
+        *keys,
+        "name",
         F.posexplode(
-            F.when(F.col("from_body"), _body_items(part, F.col("name"))).otherwise(_url_items(part))
+            F.concat(
+                F.array(
+                    F.coalesce(
+                        _item(C.PERSISTED, F.concat(F.lit("Persisted: "), body_hash), body_hash),
+                        _item(C.PERSISTED, F.concat(F.lit("Persisted GET: "), url_hash), url_hash),
+                    ),
+                    *[
+                        _item(C.DOC_ID, F.concat(F.lit(f"{key}: "), F.col(key), suffix), F.col(key))
+                        for key in _ID_KEYS
+                    ],
+                ),
+                _items(F.when(in_body, C.JSON).otherwise(C.PLAIN), texts),
+            )
         ).alias("item_no", "item"),
     ).where("item is not null")
+    text = F.col("item.text")
     return items.select(
         "capture_id",
         "ts",
@@ -102,7 +112,7 @@ def http_items(exchanges: DataFrame) -> DataFrame:
         F.when(F.col("item.hash").isNotNull(), "PERSISTED_QUERY").otherwise("HTTP_POST").alias("source"),
         C.item_order(F.col("part_no"), F.col("item_no")).alias("ord"),
         "item.form",
-        "item.text",
+        F.when(F.col("item.form") == C.PLAIN, _decoded(text)).otherwise(text).alias("text"),
         "name",
         "item.hash",
     )
@@ -111,23 +121,29 @@ def http_items(exchanges: DataFrame) -> DataFrame:
 def socket_items(messages: DataFrame) -> DataFrame:
     """Items found in text messages from client to server."""
     payload = F.col("payload")
-    hash_ = first_match(payload, V.JSON_SHA256_HASH)
-    found = F.concat(
-        _items(C.JSON, all_matches(payload, V.JSON_QUERY, 1)),
-        F.array(_item(C.PERSISTED, F.concat(F.lit("WS Persisted: "), hash_), hash_)),
-    )
-    items = (
-        messages.where(gates.socket_gate())
-        .select(
-            "capture_id",
-            "ts",
-            "url",
-            F.col("path").alias("endpoint"),
-            first_match(payload, V.JSON_OPERATION_NAME).alias("name"),
-            F.posexplode(found).alias("item_no", "item"),
-        )
-        .where("item is not null")
+    found = messages.where(gates.socket_gate()).select(
+        "capture_id",
+        "ts",
+        "url",
+        F.col("path").alias("endpoint"),
+        _found(payload, '"operationName"', V.JSON_OPERATION_NAME).alias("name"),
+        _found(payload, '"sha256Hash"', V.JSON_SHA256_HASH).alias("hash"),
+        all_matches(payload, V.JSON_QUERY, 1).alias("texts"),
     )
+    hash_ = F.col("hash")
+    items = found.select(
+        "capture_id",
+        "ts",
+        "url",
+        "endpoint",
+        "name",
+        F.posexplode(
+            F.concat(
+                _items(C.JSON, F.col("texts")),
+                F.array(_item(C.PERSISTED, F.concat(F.lit("WS Persisted: "), hash_), hash_)),
+            )
+        ).alias("item_no", "item"),
+    ).where("item is not null")
     return items.select(
         "capture_id",
         "ts",

@@ -121,6 +121,9 @@ def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> Dat
                 picked = F.when(test, value) if picked is None else picked.when(test, value)
         return default if picked is None else picked.otherwise(default)
 
+    def of_rank(values: list[str]) -> Column:
+        return F.get(F.split(F.lit(" ".join(values)), " "), F.col("rank"))
+
     text = F.col("match.text")
     reach = by_name({n: F.lit(r) for n, r in CONTEXT.items()}, F.lit(0))
     context = F.concat(
@@ -181,9 +184,9 @@ def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> Dat
     )
     return found.select(
         "bundle_id",
-        by_name({n: F.lit(PATTERN_EXTRACTORS[n][0]) for n in names}, F.lit("JS_FILE")).alias("source"),
+        of_rank([source for source, _, _, _ in PATTERN_EXTRACTORS.values()]).alias("source"),
         "ord",
-        by_name({n: F.lit(PATTERN_EXTRACTORS[n][1]) for n in names}, F.lit(C.PLAIN)).alias("form"),
+        of_rank([form for _, form, _, _ in PATTERN_EXTRACTORS.values()]).alias("form"),
         snippet.alias("text"),
         "name",
         "hash",

@@ -139,7 +139,7 @@ http_items AS (
   SELECT capture_id, ts, url, endpoint, method, 0, 0, 'persisted', 'Persisted GET: ' || id, NULL, id
   FROM gets WHERE id IS NOT NULL
   UNION ALL
-  SELECT capture_id, ts, url, endpoint, method, 0, 1, 'plain', text, NULL, NULL
+  SELECT capture_id, ts, url, endpoint, method, 0, 4, 'plain', text, NULL, NULL
   FROM gets WHERE text IS NOT NULL),
 http_in AS (
   SELECT capture_id, ts, url, endpoint, method,
