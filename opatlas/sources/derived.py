@@ -135,14 +135,16 @@ def _raw_literal(text: str) -> str:
 _SHA256 = "sha2({}, 256)"
 
 
-def _derived(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Derived columns behind a generator.
+def _derived(df: DataFrame, columns: dict[str, str], constants: dict[str, str]) -> DataFrame:
+    """Derived columns behind a generator, and constant ones.
 
     Stored captures are plain columns.  Derived ones are long expressions, and the optimizer
     would copy them into every filter that reads them; it does not look through a generator.
+    Constants stay outside, so that a gate they can never pass drops the whole branch.
     """
     fields = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
-    return df.selectExpr(f"explode(array(struct({fields}))) AS c").select("c.*")
+    rows = df.selectExpr(f"explode(array(struct({fields}))) AS c")
+    return rows.selectExpr("c.*", *[f"{value} AS {name}" for name, value in constants.items()])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
@@ -172,9 +174,8 @@ def api_exchanges(events: DataFrame) -> DataFrame:
             "url": f"concat('https://', {host}, {columns['path']})",
             "method": columns["method"],
             "req_body": columns["req_body"],
-            "resp_content_type": "cast(null as string)",
-            "resp_body": "cast(null as string)",
         },
+        {"resp_content_type": "cast(null as string)", "resp_body": "cast(null as string)"},
     )
 
 
@@ -191,13 +192,11 @@ def script_exchanges(pages: DataFrame) -> DataFrame:
         {
             "capture_id": f"page_id + {PAGE_ID_BASE}",
             "ts": _start_plus("page_id"),
-            "host": "'cdn.example.com'",
             "path": path,
             "url": f"concat('https://cdn.example.com', {path})",
-            "method": "'GET'",
-            "req_body": "cast(null as string)",
             **script_columns(_raw_literal, _SHA256),
         },
+        {"host": "'cdn.example.com'", "method": "'GET'", "req_body": "cast(null as string)"},
     )
 
 
@@ -208,12 +207,10 @@ def socket_messages(conversations: DataFrame) -> DataFrame:
         {
             "capture_id": f"{MESSAGE_ID_BASE}L + conv_id * 1000 + turn",
             "ts": _start_plus("conv_id * 60 + turn"),
-            "url": "'https://h0.example.com/ws'",
-            "path": "'/ws'",
             "direction": "CASE role WHEN 'user' THEN 'CLIENT_TO_SERVER' ELSE 'SERVER_TO_CLIENT' END",
-            "is_text": "true",
             **message_columns(_raw_literal, _SHA256),
         },
+        {"url": "'https://h0.example.com/ws'", "path": "'/ws'", "is_text": "true"},
     )
 
 
