@@ -267,3 +267,8 @@ def schema_lines(found: DataFrame) -> DataFrame:
     for part in parts[1:]:
         text = text.unionByName(part)
     return numbered(text, ["section", "block", "item", "step", "line"], "line_no").select("line_no", "line")
+
+
+def write_schema(found: DataFrame, path: str) -> None:
+    """Write the schema as text files whose names sort in line order."""
+    schema_lines(found).orderBy("line_no").select("line").write.text(path)

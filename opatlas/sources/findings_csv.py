@@ -59,7 +59,8 @@ def read_findings_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     check_header(spark, path)
     schema = ", ".join(f"{c} STRING" for c in [*V.CSV_COLUMNS, _MALFORMED])
-    raw = spark.read.csv(
+    # Whether a row is malformed depends on all of its fields, so none may be pruned.
+    raw = spark.read.option("columnPruning", False).csv(
         path,
         schema=schema,
         header=True,

@@ -98,7 +98,7 @@ def test_minified_shapes(spark):
         return [r[1:3] for r in found_in_scripts(spark, text, extractors=[extractor])]
 
     assert names('a.b = "query Foo { a }";c="...  on T { x }"', "property") == [("query", "Foo"), ("fragment", "T")]
-    assert names('["query Foo {\\n a }","mutation B"]', "quoted") == [("query", "Foo")]
+    assert names('["query Foo {\\n ab }","mutation B","query F {ab cd}"]', "quoted") == [("query", "Foo")]
     assert names("x=query Foo{bar{baz{id}}},query No{}", "compact") == [("query", "Foo")]
     assert names('{query:"mutation Baz($id:ID!){a}"}', "query_field") == [("mutation", "Baz")]
     assert names('{body:"query Foo{a}"}', "body_field") == [("query", "Foo")]
@@ -156,18 +156,18 @@ def test_constants_last_assignment_wins_and_properties_override(spark):
 def test_chain_resolution(spark):
     text = (
         'var a=" alpha ",b=" beta beta ",c=" gamma ";'
-        'f("query Q { x ".concat(a).concat(n.is("B")?b:"").concat(t?a:c).concat(u(1)?v?a:b:c)'
+        'f("query Quux { x ".concat(a).concat(n.is("B")?b:"").concat(t?a:c).concat(u(1)?v?a:b:c)'
         '.concat(missing).concat("  ").concat(" lit }"));'
     )
     table = constants.constants(bundle(spark, text))
     (row,) = constants.assembled(bundle(spark, text), table).collect()
-    assert row["query"] == "query Q { x alpha beta beta alpha gamma lit }"
+    assert row["query"] == "query Quux { x alpha beta beta alpha gamma lit }"
 
 
 def test_chain_needs_an_operation_and_may_sit_inside_another_chain(spark):
-    text = 'g("not an operation at all".concat("query Inner { a ".concat(" b }")))'
+    text = 'g("not an operation at all".concat("query Inner { abc ".concat(" bcd }")))'
     table = constants.constants(bundle(spark, text))
-    assert [r["query"] for r in constants.assembled(bundle(spark, text), table).collect()] == ["query Inner { a b }"]
+    assert [r["query"] for r in constants.assembled(bundle(spark, text), table).collect()] == ["query Inner { abc bcd }"]
 
 
 def test_captures_of_a_bundle(spark):
