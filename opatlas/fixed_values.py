@@ -73,7 +73,7 @@ OPERATION_WORD_END = r"[ ({@]"
 ANONYMOUS_OPERATION = r"\b(query|mutation|subscription)\s*[({]"
 FRAGMENT_DEFINITION = r"\bfragment\s+([A-Za-z_][A-Za-z0-9_]*)\s+on\s+"
 INLINE_FRAGMENT = r"\.\.\.\s+on\s+([A-Za-z_]\w*)"
-SELECTION_LIKE = r"\w+\s*\{"
+SELECTION_LIKE = r"\w\s*\{"
 TYPENAME_MARK = "__typename"
 
 # --- script text --------------------------------------------------------------
@@ -118,10 +118,11 @@ NEARBY_NAME = r'(?:name|operationName)\s*[=:]\s*"([A-Za-z_]\w*)"'
 CONCAT_OPEN = r"\.concat\("
 JOINED_BOTH_SIDES = r'"\s*\+\s*[a-zA-Z_$][a-zA-Z0-9_$.]*(?:\([^)]*\))?\s*\+\s*"'
 JOINED_RIGHT = r'"\s*\+\s*[a-zA-Z_$][a-zA-Z0-9_$.]*(?:\([^)]*\))?\s*'
-JOINED_LEFT = r'\s*\+\s*"'
+JOINED_LEFT = r'(?<!\s)\s*+\+\s*+"'
 TEMPLATE_HOLE = r"\$\{[^}]*\}"
+# The look-behind keeps the search from starting again inside of one long name.
 CONDITIONAL = (
-    r"[a-zA-Z_$][a-zA-Z0-9_$.]*(?:\([^)]*\))?\s*\?\s*[a-zA-Z_$][a-zA-Z0-9_$]*"
+    r"(?<![a-zA-Z_$][0-9.]{0,8})[a-zA-Z_$][a-zA-Z0-9_$.]*+(?:\([^)]*\))?\s*\?\s*[a-zA-Z_$][a-zA-Z0-9_$]*"
     r'\s*:\s*(?:"[^"]*"|[a-zA-Z_$][a-zA-Z0-9_$]*)'
 )
 KEPT_TOKEN = (

@@ -37,5 +37,9 @@ def expression_until(stop: str, levels: int = 24) -> str:
 
 
 def re2(pattern: str) -> str:
-    """The same pattern without possessive marks, for engines that never backtrack."""
+    """The same pattern for engines that never backtrack: no possessive marks, no look-behind.
+
+    Look-behinds are used only to save attempts, never to decide a match.
+    """
+    pattern = re.sub(r"\(\?<![^()]*\)", "", pattern)
     return re.sub(r"(?<!\\)([*+?}])\+", r"\1", pattern)

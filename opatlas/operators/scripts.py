@@ -56,8 +56,11 @@ def bundle_id(body: Column) -> Column:
 
 
 def sightings(scripts: DataFrame) -> DataFrame:
-    """Where and when each distinct bundle was seen; the text itself stays behind."""
-    return (
+    """Where and when each distinct bundle was seen; the text itself stays behind.
+
+    Written down, because it is read twice and reading it anew would hash all texts again.
+    """
+    return materialize(
         scripts.select(bundle_id(F.col("body")).alias("bundle_id"), "url", "endpoint", "ts", "capture_id")
         .groupBy("bundle_id", "url", "endpoint")
         .agg(
@@ -70,18 +73,19 @@ def sightings(scripts: DataFrame) -> DataFrame:
     )
 
 
-def distinct_bundles(scripts: DataFrame, seen: DataFrame) -> DataFrame:
+def distinct_bundles(exchanges: DataFrame, seen: DataFrame) -> DataFrame:
     """(bundle_id, body) with every distinct text once.
 
     One capture is chosen per bundle and its text read again, so no text is shuffled while
     the list of chosen ids is small enough to be sent to all executors.  A longer list means
-    that most texts are distinct; then a plain join moves each chosen text once.
+    that most texts are distinct; then a plain join moves each chosen text once.  The gates
+    need not be asked again, and the lookup is far cheaper than they are.
     """
     chosen = seen.groupBy("bundle_id").agg(F.min("sample_id").alias("capture_id"))
-    chosen = materialize(chosen)
     if chosen.count() <= BROADCAST_ROW_LIMIT:
         chosen = F.broadcast(chosen)
-    return scripts.join(chosen, "capture_id").select("bundle_id", "body")
+    texts = exchanges.select("capture_id", F.col("resp_body").alias("body"))
+    return texts.join(chosen, "capture_id").select("bundle_id", "body")
 
 
 def _matches(name: str, body: Column) -> Column:
@@ -219,12 +223,3 @@ def bundle_inventory(scripts: DataFrame) -> DataFrame:
             F.min(F.length("body")).cast("bigint").alias("n_chars"),
         )
     )
-
-
-def distinct_script_urls(scripts: DataFrame) -> DataFrame:
-    """The first capture of every script URL; later copies of the URL are not read again."""
-    return (
-        scripts.where(F.length("body") >= V.BUNDLE_MIN_CHARS)
-        .groupBy("url")
-        .agg(F.min(in_order(F.col("ts"), F.col("capture_id"))).alias("first_order"), F.count("*").alias("n_served"))
-    )

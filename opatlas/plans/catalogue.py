@@ -23,7 +23,7 @@ def script_partials(exchanges: DataFrame, include_assembled: bool = False) -> Da
     """
     admitted = gates.script_captures(exchanges)
     seen = scripts.sightings(admitted)
-    bundles = scripts.distinct_bundles(admitted, seen)
+    bundles = scripts.distinct_bundles(exchanges, seen)
     items = scripts.script_items(bundles)
     if include_assembled:
         items = items.unionByName(constants.assembled_items(bundles, rank=100))

@@ -26,7 +26,7 @@ from opatlas.operators import (
 )
 from opatlas.plans import catalogue as plans
 from opatlas.session import materialize, new_shared_path
-from opatlas.sources import capture_lines, derived, findings_csv
+from opatlas.sources import capture_lines, captures, derived, findings_csv
 from opatlas.streaming import stream
 
 # Findings of captures before this moment count as stored by an earlier run.
@@ -52,8 +52,8 @@ def _sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    admitted = gates.script_captures(derived.captures(spark, sf_dir, "scripts"))
-    return scripts.distinct_bundles(admitted, scripts.sightings(admitted))
+    exchanges = derived.captures(spark, sf_dir, "scripts")
+    return scripts.distinct_bundles(exchanges, scripts.sightings(gates.script_captures(exchanges)))
 
 
 def _catalogue(
@@ -181,7 +181,7 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.findings_table(_catalogue(spark, sf_dir))
+    return findings.sorted_by(findings.findings_table(_catalogue(spark, sf_dir)), "operation_name")
 
 
 def _stored_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -189,8 +189,9 @@ def _stored_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     exchanges, messages = derived.http_exchanges(spark, sf_dir), _sockets(spark, sf_dir)
     cut = F.col("ts") < F.lit(STORED_UNTIL).cast("timestamp")
     path = new_shared_path(spark, "findings")
-    plans.catalogue(exchanges.where(cut), messages.where(cut)).write.parquet(path)
-    return spark.read.parquet(path), plans.catalogue(exchanges.where(~cut), messages.where(~cut))
+    captures.write_findings(plans.catalogue(exchanges.where(cut), messages.where(cut)), path)
+    arrived = plans.catalogue(exchanges.where(~cut), messages.where(~cut))
+    return captures.read_findings(spark, path), arrived
 
 
 def findings_new(spark: SparkSession, sf_dir: str) -> DataFrame:

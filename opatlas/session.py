@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A broadcast side has to be counted first and may hold this many rows at most.
-# The broadcast tables here are id lists and partition counts of at most ~40 bytes a row.
+# A broadcast side has to be counted first and may hold this many rows at most.  The sides
+# broadcast here are lists of ids and of partition sizes, about 100 bytes a row, so 100 MB.
 BROADCAST_ROW_LIMIT = 1_000_000
 
 
@@ -34,17 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: there the driver and the
     executors are one process.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    context = spark.sparkContext
-    existing = context.getCheckpointDir()
-    if existing:
-        return existing.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="opatlas-")
-    context.setCheckpointDir(folder)
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="opatlas-"))
     return context.getCheckpointDir().rstrip("/")
 
 

@@ -23,3 +23,13 @@ def read_http_exchanges(spark: SparkSession, path: str, stream: bool = False) ->
 def read_socket_messages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     reader = spark.readStream if stream else spark.read
     return reader.schema(SOCKET_MESSAGES).parquet(path)
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot of all stored findings."""
+    return spark.read.parquet(path)
+
+
+def write_findings(found: DataFrame, path: str) -> None:
+    """Store findings.  A table is never overwritten while it is read: write a new path."""
+    found.write.parquet(path)
