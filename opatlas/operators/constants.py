@@ -82,7 +82,10 @@ def constant_kinds(table: DataFrame) -> DataFrame:
 
 def chains(bundles: DataFrame) -> DataFrame:
     """Concat chains that start with an operation: (bundle_id, chain_no, chain, base)."""
-    found = bundles.select("bundle_id", F.posexplode(all_matches(F.col("body"), CHAIN, 1)).alias("chain_no", "chain"))
+    with_calls = bundles.where(F.col("body").contains(".concat"))
+    found = with_calls.select(
+        "bundle_id", F.posexplode(all_matches(F.col("body"), CHAIN, 1)).alias("chain_no", "chain")
+    )
     found = found.withColumn(
         "base", T.replace_all(F.regexp_extract("chain", CHAIN_BASE, 1), T.JSON_ESCAPES)
     )

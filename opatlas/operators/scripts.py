@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
 from opatlas.functions import classify as C
-from opatlas.functions.columns import all_matches, contains_any, first_match, in_order
+from opatlas.functions.columns import all_matches, contains_any, first_match, in_order, let
 from opatlas.functions.patterns import BLOCK_LEVELS, balanced
 from opatlas.session import BROADCAST_ROW_LIMIT, materialize
 
@@ -48,6 +48,21 @@ CONTEXT = {
     "query_id": V.ID_CONTEXT_CHARS,
     "doc_id": V.ID_CONTEXT_CHARS,
 }
+# Text each pattern cannot match without; a substring test is far cheaper than a pattern.
+_OPENING_WORDS = ['"query', '"mutation', '"subscription', '"fragment']
+NEEDED_TEXT = {
+    "tagged": ["gql", "graphql"],
+    "hash": ['"sha256Hash"'],
+    "property": [*_OPENING_WORDS, '"...'],
+    "quoted": _OPENING_WORDS,
+    "query_field": _OPENING_WORDS,
+    "body_field": _OPENING_WORDS,
+    "text_field": _OPENING_WORDS,
+    "node_name_first": ['"Request"'],
+    "node_id_first": ['"Request"'],
+    "query_id": ["queryID", "queryId"],
+    "doc_id": ["doc_id"],
+}
 _MATCH = "array<struct<text:string,before:string,after:string>>"
 
 
@@ -92,12 +107,22 @@ def _matches(name: str, body: Column) -> Column:
     _, _, pattern, group = PATTERN_EXTRACTORS[name]
     found = all_matches(body, pattern, group)
     nothing = F.array().cast("array<string>")
-    if name not in CONTEXT:
-        return F.arrays_zip(found, nothing, nothing).cast(_MATCH)
-    # Text between matches: piece i stands before match i, piece i + 1 after it.
-    between = F.split(body, pattern, -1)
-    size = F.size(found)
-    return F.arrays_zip(found, F.slice(between, F.lit(1), size), F.slice(between, F.lit(2), size)).cast(_MATCH)
+    if name in CONTEXT:
+        # Text between matches: piece i stands before match i, piece i + 1 after it.
+        found = let(
+            found,
+            lambda m: let(
+                F.when(F.size(m) > 0, F.split(body, pattern, -1)).otherwise(nothing),
+                lambda between: F.arrays_zip(
+                    m, F.slice(between, F.lit(1), F.size(m)), F.slice(between, F.lit(2), F.size(m))
+                ).cast(_MATCH),
+            ),
+        )
+    else:
+        found = F.arrays_zip(found, nothing, nothing).cast(_MATCH)
+    if name not in NEEDED_TEXT:
+        return found
+    return F.when(contains_any(body, NEEDED_TEXT[name]), found)
 
 
 def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> DataFrame:
