@@ -827,7 +827,8 @@ FROM arrived a WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE {_SAME_KEY})""",
     ),
     "gql_csv_import_merge": _with(
         STORED,
-        f"""SELECT count(*) AS n_rows, 0 AS n_malformed, count(*) FILTER (known) AS n_already_stored, 0 AS n_repeated,
+        f"""SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed, count(*) FILTER (known) AS n_already_stored,
+       CAST(0 AS BIGINT) AS n_repeated,
        count(*) FILTER (NOT known) AS n_imported
 FROM (SELECT EXISTS (SELECT 1 FROM stored s WHERE {_SAME_KEY}) AS known FROM arrived a)""",
     ),

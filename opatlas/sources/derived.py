@@ -148,9 +148,15 @@ def _derived(df: DataFrame, columns: dict[str, str], constants: dict[str, str])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
-    """A test table; as a stream, the folder is watched for the table's file."""
+    """A test table; as a stream, the folder is watched for the table's file.
+
+    A table that is read in fewer tasks than there are cores is spread over the cores before
+    its narrow rows become wide captures.  Larger tables are left as they are.
+    """
     if not stream:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        cores = spark.sparkContext.defaultParallelism
+        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema)
