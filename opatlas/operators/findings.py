@@ -94,7 +94,7 @@ def findings_of_items(items: DataFrame) -> DataFrame:
 
 def new_keys(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings whose key is not stored yet."""
-    return found.join(stored.select(*KEY).distinct(), KEY, "left_anti")
+    return found.join(stored.select(*KEY), KEY, "left_anti")
 
 
 def source_label(source: Column) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
-from opatlas.functions import text as T
 from opatlas.functions.columns import contains_any
 
 

@@ -177,8 +177,8 @@ def selections(bodies: DataFrame) -> DataFrame:
     definitions = definitions.select(
         "op_id",
         "def_pos",
+        "events",
         F.transform(F.filter("events", lambda e: e["kind"] == "header"), lambda e: e["name"]).alias("header"),
-        _walk(F.filter("events", lambda e: e["kind"] != "header")).alias("out"),
     )
     word = F.get(header, 0)
     root_of_type = F.create_map(*[F.lit(x) for word_, type_ in V.ROOT_TYPES.items() for x in (type_, word_)])
@@ -191,7 +191,7 @@ def selections(bodies: DataFrame) -> DataFrame:
         .alias("def_type"),
         F.coalesce(F.when(word.isin(V.DEFINITION_WORDS), F.get(header, 1)), F.lit("")).alias("def_name"),
         on_type.alias("on_type"),
-        F.explode("out").alias("o"),
+        F.explode(_walk(F.filter("events", lambda e: e["kind"] != "header"))).alias("o"),
     )
     inner = without_first(F.col("o.path"))
     rows = definitions.select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from opatlas.functions.classify import classify
 from opatlas.operators import constants, findings, gates, requests, scripts
+from opatlas.session import materialize
 
 
 def request_partials(exchanges: DataFrame, messages: DataFrame | None = None) -> DataFrame:
@@ -24,6 +25,9 @@ def script_partials(exchanges: DataFrame, include_assembled: bool = False) -> Da
     admitted = gates.script_captures(exchanges)
     seen = scripts.sightings(admitted)
     bundles = scripts.distinct_bundles(exchanges, seen)
+    if include_assembled:
+        # Read by the extractors, the constants and the chains.
+        bundles = materialize(bundles)
     items = scripts.script_items(bundles)
     if include_assembled:
         items = items.unionByName(constants.assembled_items(bundles, rank=100))

@@ -420,7 +420,8 @@ found AS (
         WHERE length(c.body) >= {V.BUNDLE_MIN_CHARS})
   WHERE {_is_operation('query')} OR {_is_fragment('query')}),
 concat_in AS (
-  SELECT bundle_id, 'JS_EXECUTED' AS source, 0 AS ord, 'plain' AS form, query AS text, coalesce(name, '') AS name, NULL AS hash
+  SELECT bundle_id, 'JS_EXECUTED' AS source, (100 + stage * 10 + pass) * 1000000000000 + pos * 1000000 AS ord,
+         'plain' AS form, query AS text, coalesce(name, '') AS name, NULL AS hash
   FROM found
   QUALIFY row_number() OVER (PARTITION BY bundle_id, left(query, {V.CAPTURE_KEY_CHARS}), coalesce(name, '') ORDER BY stage, pass, pos) = 1)"""
 
@@ -446,18 +447,29 @@ def merged(source: str, target: str, where: str = "true") -> str:
   FROM {target}_ranked GROUP BY endpoint, operation_name, operation_type, hash_key)"""
 
 
-ALL_OPS = ",\n".join(
-    [
-        HTTP_OPS,
-        WS_OPS,
-        script_ops(list(_FORMS)),
-        """ops AS (
+
+
+def _all_ops(script_source: str) -> str:
+    return f"""ops AS (
   SELECT * FROM http_ops
   UNION ALL SELECT * FROM ws_ops
   UNION ALL
   SELECT a.capture_id, a.ts, a.url, a.path, 'GET', j.source, j.ord, j.operation_type, j.operation_name,
          j.persisted_hash, j.operation_body
-  FROM js_ops j JOIN admitted a ON j.bundle_id = a.bundle_id)""",
+  FROM {script_source} j JOIN admitted a ON j.bundle_id = a.bundle_id)"""
+
+
+_EXTRACTED = [HTTP_OPS, WS_OPS, script_ops(list(_FORMS))]
+ALL_OPS = ",\n".join([*_EXTRACTED, _all_ops("js_ops")])
+WITH_ASSEMBLED = ",\n".join(
+    [
+        *_EXTRACTED,
+        CONSTANTS,
+        CHAINS,
+        classified("concat_in", "concat_ops", "bundle_id, source"),
+        "all_js_ops AS (SELECT * FROM js_ops UNION ALL SELECT * FROM concat_ops)",
+        _all_ops("all_js_ops"),
+        merged("ops", "findings"),
     ]
 )
 FINDINGS = ALL_OPS + ",\n" + merged("ops", "findings")
@@ -781,6 +793,7 @@ FROM admitted WHERE length(body) >= {V.BUNDLE_MIN_CHARS} GROUP BY bundle_id""",
        operation_body FROM concat_ops""",
     ),
     "gql_findings": _with(FINDINGS, f"SELECT {_FINDING} FROM findings"),
+    "gql_findings_assembled": _with(WITH_ASSEMBLED, f"SELECT {_FINDING} FROM findings"),
     "gql_findings_table": _with(
         FINDINGS,
         f"""SELECT row_number() OVER (ORDER BY first_seen, first_id, first_ord, endpoint, operation_name, operation_type, persisted_hash) AS row_no,

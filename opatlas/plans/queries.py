@@ -180,6 +180,11 @@ def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finding_columns(_catalogue(spark, sf_dir))
 
 
+def findings_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with the operations assembled from string constants among them."""
+    return _finding_columns(_catalogue(spark, sf_dir, include_assembled=True))
+
+
 def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.sorted_by(findings.findings_table(_catalogue(spark, sf_dir)), "operation_name")
 
@@ -342,6 +347,7 @@ QUERIES: dict[str, Query] = {
     "gql_js_constants": js_constants,
     "gql_js_concat": js_concat,
     "gql_findings": all_findings,
+    "gql_findings_assembled": findings_assembled,
     "gql_findings_table": findings_table,
     "gql_findings_new": findings_new,
     "gql_filter_source_type": filter_source_type,

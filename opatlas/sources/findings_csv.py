@@ -105,4 +105,4 @@ def importable(rows: DataFrame, stored: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct("url", "method", "source", "operation_body"), "row_at").alias("row"))
         .select(*KEY, "row.*")
     )
-    return first.join(stored.select(*KEY).distinct(), KEY, "left_anti").select(*_ROW)
+    return first.join(stored.select(*KEY), KEY, "left_anti").select(*_ROW)
