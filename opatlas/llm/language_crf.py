@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from opatlas.llm.crf import Batch, Field, fit
 from opatlas.llm.tables import free_name, remainder
-from opatlas.llm.word_arrays import Texts, Words, mixed, parts, range_hashes
+from opatlas.llm.word_arrays import Texts, Words, mixed, parts
 
 SAMPLE_ROWS = 150
 HOLD_OUT = 4
@@ -61,7 +61,7 @@ class WordFeatures:
         for size in (1, 2, 3):
             long = np.flatnonzero(stops - starts >= size)
             for kind, begin in ((2 * size - 1, starts[long]), (2 * size, stops[long] - size)):
-                slots.append(_slots(range_hashes(data, begin, begin + size), kind))
+                slots.append(_slots(words.ranges().of(begin, begin + size), kind))
                 owners.append(long)
                 weights.append(np.ones(len(long)))
         grams = np.maximum(stops - starts - 2, 0)

@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from opatlas.llm.crf import Batch, Field, fit
 from opatlas.llm.tables import free_name, remainder
-from opatlas.llm.word_arrays import Texts, parts, range_hashes
+from opatlas.llm.word_arrays import Texts, parts
 
 SAMPLE_ROWS = 1500
 HOLD_OUT = 5
@@ -72,7 +72,7 @@ def line_features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fresh = np.ones(len(key), bool)
     fresh[1:] = (hashes[key][1:] != hashes[key][:-1]) | (line_of_word[key][1:] != line_of_word[key][:-1])
     distinct = np.bincount(line_of_word[key][fresh], minlength=n)
-    lines = range_hashes(data, begin, stop)
+    lines = words.ranges().of(begin, stop)
     pairs = np.lexsort((lines, row))
     copy = np.zeros(n, bool)
     if n > 1:

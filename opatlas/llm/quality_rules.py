@@ -15,6 +15,8 @@ lowest quality label; null labels don't count.  Without labels only the base rul
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,15 +209,14 @@ def choose_cutoffs(
             F.count_if((F.col("good") == 0) & F.col("rejected")).alias("bad"),
         )
     )
-    tests = counted.agg(F.greatest(F.count("*"), F.lit(1)).alias("tests"))
+    tests = max(1, counted.count())
     tail = log_binomial_tail(F.col("k"), F.col("n"), false_rejection)
-    usable = tail <= F.ln(F.lit(risk) / F.col("tests"))
+    usable = tail <= math.log(risk / tests)
     best = F.max_by(
         F.col("cutoff"), F.struct(F.col("bad") - F.col("k"), F.col("cutoff"))
     )
     return (
-        counted.join(F.broadcast(tests))
-        .where(usable & (F.col("bad") > F.col("k")))
+        counted.where(usable & (F.col("bad") > F.col("k")))
         .groupBy("stratum", "rule")
         .agg(best.alias("cutoff"))
     )

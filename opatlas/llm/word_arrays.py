@@ -69,7 +69,7 @@ class Words:
     """Places of the words: ``starts`` and ``stops`` in ``data``; row r has words first[r]:first[r+1]."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray) -> None:
-        self.data, self.bounds = data, bounds
+        self.data, self.bounds, self._ranges = data, bounds, None
         solid = ~IS_WHITE[data]
         begins = solid.copy()
         begins[1:] &= ~solid[:-1]
@@ -94,16 +94,26 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every word."""
-        return range_hashes(self.data, self.starts, self.stops)
+        return self.ranges().of(self.starts, self.stops)
+
+    def ranges(self) -> RangeHashes:
+        if self._ranges is None:
+            self._ranges = RangeHashes(self.data)
+        return self._ranges
+
+
+class RangeHashes:
+    """64-bit hashes of byte ranges, as differences of one running polynomial."""
 
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_CODES[data] * _POWERS.upto(n), out=self.sums[1:])
+        self.inverses = _INVERSES.upto(n + 1)
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, by differences of one running polynomial."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * _POWERS.upto(n), out=sums[1:])
-    value = (sums[stops] - sums[starts]) * _INVERSES.upto(n + 1)[starts]
-    return mixed(value + (stops - starts).astype(np.uint64) * np.uint64(_BASE))
+    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        value = (self.sums[stops] - self.sums[starts]) * self.inverses[starts]
+        return mixed(value + (stops - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
