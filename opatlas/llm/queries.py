@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opatlas.llm import language_crf, ngram_join, pii, quality_crf, quality_rules
+from opatlas.llm import hidden_markov, language_crf, ngram_join, packing, pii, quality_crf, quality_rules
 from opatlas.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
@@ -34,6 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.language_digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,8 @@ QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
