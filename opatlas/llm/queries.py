@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opatlas.llm import hidden_markov, language_crf, ngram_join, packing, pii, quality_crf, quality_rules
+from opatlas.llm import (
+    graph_search,
+    hidden_markov,
+    language_crf,
+    ngram_join,
+    packing,
+    pii,
+    quality_crf,
+    quality_rules,
+    transducer,
+    warc,
+)
 from opatlas.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +27,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_crf.quality_digest(docs, table(spark, sf_dir, "labels"))
@@ -38,20 +53,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_digest(table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.encoding_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.language_digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
 }

@@ -103,12 +103,13 @@ class Words:
 
 
 class RangeHashes:
-    """64-bit hashes of byte ranges, as differences of one running polynomial."""
+    """64-bit hashes of ranges of bytes or code points, as differences of one running polynomial."""
 
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
+        codes = BYTE_CODES[data] if data.dtype == np.uint8 else mixed(data.astype(np.uint64)) | np.uint64(1)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * _POWERS.upto(n), out=self.sums[1:])
+        np.cumsum(codes * _POWERS.upto(n), out=self.sums[1:])
         self.inverses = _INVERSES.upto(n + 1)
 
     def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
