@@ -73,7 +73,7 @@ def test_tiles_of_the_product(monkeypatch):
 
 def test_prefix_path_finds_what_families_miss(spark, monkeypatch):
     """With no families at all, the prefix filter and the whole check must find every link."""
-    monkeypatch.setattr(join, "keys_of", lambda own: (own.sum(), own.sum() ^ own.max()))
+    monkeypatch.setattr(join, "keys_of", lambda own: (own.sum(), own.sum() ^ own.max(), own.sum() + own.max()))
     rng = random.Random(6)
     texts = families(rng, 50, 30, 4) + families(rng, 30, 6, 2)
     check(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
