@@ -35,13 +35,13 @@ from opatlas.llm.tables import remainder, text_of, written
 from opatlas.llm.word_arrays import Texts, Words, parts
 
 HOLD_OUT, HOLD_OUT_REMAINDER = 7, 2
-STATES, PASSES = 8, 2
+STATES, PASSES = 6, 2
 OWN_GROUPS, ENDINGS = 4096, 4096
 END_GROUP = OWN_GROUPS + ENDINGS
 GROUPS = END_GROUP + 1
 SHARED_WORDS = 1 << 17
 SAMPLE_ROWS, SAMPLE_TURNS = 300, 15
-PART = 4 << 20
+PART = 1 << 20
 # Weight of the overall shares in a state's emissions, in tokens.
 PRIOR = 20.0
 
