@@ -10,10 +10,10 @@ blocks; overlap counts accumulate inside a block, and pairs whose sizes rule the
    link inside a family is found.  A task returns a spanning forest of the links, never all pairs.
 3. Links between nodes that meet in no family are found by an exact prefix filter: two sets of
    the wanted similarity share one of their first n - ceil(n * similarity) + 1 n-grams in any
-   fixed order.  The order puts n-grams seen often last.  Columns of this smaller matrix give
-   candidate pairs; pairs are discarded that are already connected or met in a family, or that
-   sizes and places rule out.  Long columns are cut into blocks and list only pairs across
-   components.
+   fixed order.  The order puts n-grams seen often last.  The product of this smaller matrix
+   accumulates how many of them a pair shares; pairs are discarded that share too few for their
+   sizes, that are already connected, or that met in a family.  Long columns are cut into blocks
+   and list only pairs across components.
 4. The remaining candidates are checked against their whole sets, and all links are contracted
    to components.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas.llm.components import components
@@ -331,10 +331,10 @@ def _family_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Entries of columns that several nodes share: (gram, node, n, at), and ready candidates.
+    """Entries of columns that several nodes share: (gram, node, n, at), and overlap counts.
 
-    A row with ``other`` is a candidate pair out of a short column; the rest are entries of long
-    columns.
+    A row with ``other`` is a pair: ``n`` and ``at`` are its nodes' sizes, ``times`` the number of
+    short columns of one task that it shares.  The rest are entries of long columns.
     """
     often = (
         rows.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
@@ -385,11 +385,18 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
         def packed(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             return tuple(rows.column(c).to_numpy() for c in ("gram", "node", "n", "at"))
 
-        def out(gram, node, n, at, other=None) -> pa.RecordBatch:
-            pairs = pa.nulls(len(gram), pa.int64()) if other is None else pa.array(other, pa.int64())
+        def out(gram, node, n, at, other=None, times=None) -> pa.RecordBatch:
+            none = pa.nulls(len(gram), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(gram, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(at, pa.int32()), pairs],
-                ["gram", "node", "n", "at", "other"],
+                [
+                    pa.array(gram, pa.int64()),
+                    pa.array(node, pa.int64()),
+                    pa.array(n, pa.int32()),
+                    pa.array(at, pa.int32()),
+                    none if other is None else pa.array(other, pa.int64()),
+                    none if times is None else pa.array(times, pa.int64()),
+                ],
+                ["gram", "node", "n", "at", "other", "times"],
             )
 
         held: pa.RecordBatch | None = None  # the last column, as far as it came; short
@@ -424,11 +431,11 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     schema = "gram bigint, node bigint, n int, at int"
     matrix = by_key(docs.select("text").mapInArrow(entries, schema), "gram")
-    return matrix.mapInArrow(shared_columns, schema + ", other bigint")
+    return matrix.mapInArrow(shared_columns, schema + ", other bigint, times bigint")
 
 
 def _short_pairs(starts, lengths, node, n, at, out) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of short columns; a task lists each pair once."""
+    """Pairs of nodes in short columns, and in how many of them they are."""
     left, right = [], []
     for size in np.unique(lengths):
         i, j = np.triu_indices(int(size), 1)
@@ -436,12 +443,30 @@ def _short_pairs(starts, lengths, node, n, at, out) -> Iterator[pa.RecordBatch]:
         left.append((begin + i).ravel())
         right.append((begin + j).ravel())
     x, y = np.concatenate(left), np.concatenate(right)
-    ok = _may_link(n[x], at[x], n[y], at[y]) & (node[x] != node[y])
+    ok = _sizes_allow(n[x], n[y]) & (node[x] != node[y])
     x, y = x[ok], y[ok]
-    pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0)
-    if len(pairs):
-        zero = np.zeros(len(pairs), np.int32)
-        yield out(np.zeros(len(pairs), np.int64), pairs[:, 0], zero, zero, pairs[:, 1])
+    swap = node[x] > node[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    order = np.lexsort((node[y], node[x]))
+    x, y = x[order], y[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1])
+    at_pair = np.flatnonzero(fresh)
+    times = np.diff(np.append(at_pair, len(x)))
+    x, y = x[at_pair], y[at_pair]
+    if len(x):
+        yield out(np.zeros(len(x), np.int64), node[x], n[x], n[y], node[y], times)
+
+
+def _least_shared(n: Column, m: Column) -> Column:
+    """Least number of n-grams that linked sets share among their first ones (see ``entries``).
+
+    Up to the end of whichever prefix ends earlier in the order, all shared n-grams are in both
+    prefixes; what follows is at most the rest of that set.
+    """
+    top, bottom = SIMILARITY
+    rest = F.ceil(F.greatest(n, m) * top / bottom) - 1
+    return F.ceil((n + m) * top / (top + bottom)) - rest
 
 
 def _may_link(n, i, m, j) -> np.ndarray:
@@ -546,17 +571,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = rows.where("node is not null").select("node", "key1", "key2").distinct()
     known = nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = written(known, "nodes")
-    short = columns.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    long_ones = columns.where("other is null").groupBy("node").agg(F.count("*").alias("long"))
 
     def side(name: str) -> DataFrame:
-        return known.select(*[F.col(c).alias(f"{c}_{name}") for c in ("node", "label", "key1", "key2")])
+        nodes = known.join(long_ones, "node", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+        return nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("node", "label", "key1", "key2", "long")])
 
+    shared = (
+        columns.where("other is not null")
+        .groupBy("node", "other")
+        .agg(F.min("n").alias("n"), F.min("at").alias("m"), F.sum("times").alias("times"))
+    )
     apart = (
-        short.distinct()
-        .join(side("a"), F.col("a") == F.col("node_a"))
-        .join(side("b"), F.col("b") == F.col("node_b"))
+        shared.join(side("a"), F.col("node") == F.col("node_a"))
+        .join(side("b"), F.col("other") == F.col("node_b"))
         .where("label_a <> label_b and key1_a <> key1_b and key2_a <> key2_b")
-        .select("a", "b")
+        .where(F.col("times") + F.least("long_a", "long_b") >= _least_shared(F.col("n"), F.col("m")))
+        .select(F.col("node").alias("a"), F.col("other").alias("b"))
     )
     candidates = written(apart.unionAll(_across(columns, known)).distinct(), "candidates")
     links = inside.unionAll(_checked(docs, candidates))
