@@ -5,7 +5,7 @@ blocks; overlap counts accumulate inside a block, and pairs whose sizes rule the
 
 1. Documents with equal sets are one node.  A node is numbered by a 64-bit hash of its set; with N
    different sets, about N**2 / 2**65 pairs of them share a number by chance.
-2. Nodes meet in families: all nodes that share one of two min-hashes.  A family's block of the
+2. Nodes meet in families: all nodes that share one of three min-hashes.  A family's block of the
    product is computed whole, tiles of ``TILE`` rows against at most ``BLOCK`` others, so every
    link inside a family is found.  A task returns a spanning forest of the links, never all pairs.
 3. Links between nodes that meet in no family are found by an exact prefix filter: two sets of
@@ -13,7 +13,7 @@ blocks; overlap counts accumulate inside a block, and pairs whose sizes rule the
    fixed order.  The order puts n-grams seen often last.  The product of this smaller matrix
    accumulates how many of them a pair shares; pairs are discarded that share too few for their
    sizes, that are already connected, or that met in a family.  Long columns are cut into blocks
-   and list only pairs across components.
+   and list only pairs that are apart.
 4. The remaining candidates are checked against their whole sets, and all links are contracted
    to components.
 
@@ -49,9 +49,10 @@ FREQUENT = 1 << 17
 SEEN_OFTEN = 4
 SEEN_BUFFER = 4 << 20
 FILTER_BITS = 24
-_SECOND = np.uint64(0xD1342543DE82EF95)
+_SEEDS = np.array([0xD1342543DE82EF95, 0xAF251AF3B0F025B5], np.uint64)
 
-ROWS = "doc_id bigint, n bigint, node bigint, key1 bigint, key2 bigint, gram bigint, seen bigint"
+KEYS = ["key1", "key2", "key3"]
+ROWS = "doc_id bigint, n bigint, node bigint, key1 bigint, key2 bigint, key3 bigint, gram bigint, seen bigint"
 
 
 def text_sets(texts: Texts, size: int = WORDS) -> list[np.ndarray]:
@@ -75,9 +76,9 @@ def node_of(own: np.ndarray) -> np.uint64:
         return mixed(np.array([total + np.uint64(len(own))]))[0]
 
 
-def keys_of(own: np.ndarray) -> tuple[np.uint64, np.uint64]:
-    """Two min-hashes of a set."""
-    return own[0], mixed(own ^ _SECOND).min()
+def keys_of(own: np.ndarray) -> tuple[np.uint64, ...]:
+    """Min-hashes of a set, one for each of ``KEYS``."""
+    return own[0], *(mixed(own ^ seed).min() for seed in _SEEDS)
 
 
 def _signed(values) -> pa.Array:
@@ -94,7 +95,7 @@ def _described(docs: DataFrame) -> DataFrame:
     """A row for each document, and one for each n-gram that a task has seen often."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "key1", "key2", "gram", "seen"]
+        names = ["doc_id", "n", "node", *KEYS, "gram", "seen"]
         kept: list[np.ndarray] = []
         size = 0
 
@@ -102,14 +103,14 @@ def _described(docs: DataFrame) -> DataFrame:
             values, counts = _repeated(kept)
             none = pa.nulls(len(values), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [none, none, none, none, none, _signed(values), pa.array(counts, pa.int64())], names
+                [none] * (3 + len(KEYS)) + [_signed(values), pa.array(counts, pa.int64())], names
             )
 
         for batch in batches:
             for begin, stop, part in parts(batch.column("text")):
                 sets = text_sets(part)
                 some = np.array([len(s) > 0 for s in sets])
-                keys = [keys_of(s) if len(s) else (0, 0) for s in sets]
+                keys = [keys_of(s) if len(s) else (0,) * len(KEYS) for s in sets]
 
                 def or_null(values, some=some) -> pa.Array:
                     numbers = np.asarray(values, np.uint64).view(np.int64)
@@ -121,8 +122,7 @@ def _described(docs: DataFrame) -> DataFrame:
                         batch.column("doc_id").slice(begin, n).cast(pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         or_null([node_of(s) for s in sets]),
-                        or_null([k for k, _ in keys]),
-                        or_null([k for _, k in keys]),
+                        *(or_null([k[i] for k in keys]) for i in range(len(KEYS))),
                         pa.nulls(n, pa.int64()),
                         pa.nulls(n, pa.int64()),
                     ],
@@ -248,8 +248,8 @@ def product_links(rows: list[np.ndarray], others: list[np.ndarray]) -> Iterator[
 
 def _family_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the links inside families."""
-    nodes = rows.where("node is not null").select("node", "key1", "key2").distinct()
-    keyed = nodes.select(F.explode(F.array("key1", "key2")).alias("family"), "node").distinct()
+    nodes = rows.where("node is not null").select("node", *KEYS).distinct()
+    keyed = nodes.select(F.explode(F.array(*KEYS)).alias("family"), "node").distinct()
     families = written(
         keyed.groupBy("family").agg(F.count("*").alias("members")).where("members > 1"), "families"
     )
@@ -261,7 +261,7 @@ def _family_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
             for _, _, part in parts(batch.column("text")):
                 out = []
                 sets = [s for s in text_sets(part) if len(s)]
-                keys = np.array([keys_of(s) for s in sets], np.uint64).reshape(-1, 2)
+                keys = np.array([keys_of(s) for s in sets], np.uint64).reshape(-1, len(KEYS))
                 passes = wanted.has(keys)
                 for own, pair, ok in zip(sets, keys, passes, strict=True):
                     if not ok.any():
@@ -469,15 +469,14 @@ def _least_shared(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * top / (top + bottom)) - rest
 
 
-def _may_link(n, i, m, j) -> np.ndarray:
-    """Whether sizes and places of a shared n-gram leave room for the required overlap."""
-    most = np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1)
-    return _sizes_allow(n, m) & (most >= _required(n, m))
+def _apart(left: str, right: str) -> str:
+    """Condition that two nodes are neither connected nor met in a family."""
+    return " and ".join(f"{left}.{c} <> {right}.{c}" for c in ["label", *KEYS])
 
 
 def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): candidates out of long columns, between nodes not yet connected."""
-    entries = columns.where("other is null").drop("other").distinct()
+    """(a, b, n, m, times): pairs out of long columns, of nodes apart, and how many columns they share."""
+    entries = columns.where("other is null").select("gram", "node", "n").distinct()
     sizes = entries.groupBy("gram").agg(F.count("*").alias("members"))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -489,13 +488,13 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
     )
     placed = (
         entries.join(known, "node").join(sizes, "gram")
-        .select("gram", "node", "n", "at", "label", "key1", "key2", F.inline(spread))
+        .select("gram", "node", "n", "label", *KEYS, F.inline(spread))
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, "gram", "block_a", "block_b"):
             column = {c: run.column(c).to_numpy() for c in run.schema.names}
-            label, block = column["label"], column["block"]
+            node, n, label, block = (column[c] for c in ("node", "n", "label", "block"))
             side_a, side_b = (np.flatnonzero(block == column[c][0]) for c in ("block_a", "block_b"))
             values, counts = np.unique(label, return_counts=True)
             if len(values) < 2:
@@ -508,18 +507,24 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
             for rows, others in turns:
                 for begin in range(0, len(rows), 256):
                     x, y = rows[begin : begin + 256, None], others[None, :]
-                    ok = (label[x] != label[y]) & (column["key1"][x] != column["key1"][y])
-                    ok &= column["key2"][x] != column["key2"][y]
-                    ok &= _may_link(column["n"][x], column["at"][x], column["n"][y], column["at"][y])
+                    ok = _sizes_allow(n[x], n[y])
+                    for name in ("label", *KEYS):
+                        ok &= column[name][x] != column[name][y]
                     i, j = np.nonzero(ok)
-                    a, b = column["node"][rows[begin + i]], column["node"][others[j]]
-                    if len(a):
+                    x, y = rows[begin + i], others[j]
+                    # inside one block, a pair of two small components comes up from both sides
+                    once = (node[x] < node[y]) | (label[y] == largest) | (block[x] != block[y])
+                    x, y = x[once], y[once]
+                    swap = node[x] > node[y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    if len(x):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
+                            [pa.array(node[x]), pa.array(node[y]), pa.array(n[x]), pa.array(n[y])], ["a", "b", "n", "m"]
                         )
 
     ordered = by_key(placed, "gram", "block_a", "block_b")
-    return ordered.mapInArrow(pairs, "a bigint, b bigint").distinct()
+    found = ordered.mapInArrow(pairs, "a bigint, b bigint, n int, m int")
+    return found.groupBy("a", "b").agg(F.min("n").alias("n"), F.min("m").alias("m"), F.count("*").alias("times"))
 
 
 def _checked(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -568,28 +573,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     inside = written(_family_links(docs, rows), "family-links")
     first = written(components(inside), "family-components")
     columns = written(_prefix_columns(docs, rows), "prefix-columns")
-    nodes = rows.where("node is not null").select("node", "key1", "key2").distinct()
+    nodes = rows.where("node is not null").select("node", *KEYS).distinct()
     known = nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = written(known, "nodes")
-    long_ones = columns.where("other is null").groupBy("node").agg(F.count("*").alias("long"))
-
-    def side(name: str) -> DataFrame:
-        nodes = known.join(long_ones, "node", "left").withColumn("long", F.coalesce("long", F.lit(0)))
-        return nodes.select(*[F.col(c).alias(f"{c}_{name}") for c in ("node", "label", "key1", "key2", "long")])
-
-    shared = (
+    short = (
         columns.where("other is not null")
-        .groupBy("node", "other")
+        .groupBy(F.col("node").alias("a"), F.col("other").alias("b"))
         .agg(F.min("n").alias("n"), F.min("at").alias("m"), F.sum("times").alias("times"))
     )
-    apart = (
-        shared.join(side("a"), F.col("node") == F.col("node_a"))
-        .join(side("b"), F.col("other") == F.col("node_b"))
-        .where("label_a <> label_b and key1_a <> key1_b and key2_a <> key2_b")
-        .where(F.col("times") + F.least("long_a", "long_b") >= _least_shared(F.col("n"), F.col("m")))
-        .select(F.col("node").alias("a"), F.col("other").alias("b"))
+    short = (
+        short.join(known.alias("x"), F.col("a") == F.col("x.node"))
+        .join(known.alias("y"), F.col("b") == F.col("y.node"))
+        .where(_apart("x", "y"))
+        .select("a", "b", "n", "m", "times")
+    )
+    shared = short.unionAll(_across(columns, known)).groupBy("a", "b").agg(
+        F.min("n").alias("n"), F.min("m").alias("m"), F.sum("times").alias("times")
     )
-    candidates = written(apart.unionAll(_across(columns, known)).distinct(), "candidates")
+    enough = F.col("times") >= _least_shared(F.col("n"), F.col("m"))
+    candidates = written(shared.where(enough).select("a", "b"), "candidates")
     links = inside.unionAll(_checked(docs, candidates))
     labels = components(links)
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
