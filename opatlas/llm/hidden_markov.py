@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas.llm.chains import sum_paths
-from opatlas.llm.tables import remainder, text_of, written
+from opatlas.llm.tables import most_frequent, remainder, sample_texts, text_of, written
 from opatlas.llm.word_arrays import Texts, Words, parts
 
 HOLD_OUT, HOLD_OUT_REMAINDER = 7, 2
@@ -147,7 +147,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def read_lexicon(counts: DataFrame, texts: int) -> Lexicon:
     """``counts``: (word, ending, times), written."""
-    top = counts.orderBy(F.desc("times"), "word").limit(SHARED_WORDS).select("word", "ending", "times").toPandas()
+    top = most_frequent(counts, "times", SHARED_WORDS).select("word", "ending", "times").toPandas()
+    top = top.sort_values(["times", "word"], ascending=[False, True])
     words = top["word"].to_numpy(np.int64).view(np.uint64)
     times, group = top["times"].to_numpy(np.int64), top["ending"].to_numpy(np.int64).copy()
     own = min(OWN_GROUPS, len(group))
@@ -196,8 +197,7 @@ def first_model(docs: DataFrame, lexicon: Lexicon, k: int = STATES) -> Model:
     model = Model(
         np.full(k, 1 / k), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=1, keepdims=True)
     )
-    chosen = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).select(text_of().alias("text"))
-    column = pa.array([r["text"] for r in chosen.collect()], pa.large_string())
+    column = pa.array(sample_texts(docs, SAMPLE_ROWS), pa.large_string())
     for _, _, part in parts(column, most=1 << 62):
         tokens = tokens_of(part, lexicon)
         for _ in range(SAMPLE_TURNS):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from opatlas.llm.crf import Batch, Field, fit
-from opatlas.llm.tables import free_name, remainder
+from opatlas.llm.tables import free_name, remainder, sample_texts
 from opatlas.llm.word_arrays import Texts, Words, mixed, parts
 
 SAMPLE_ROWS = 150
@@ -116,18 +116,16 @@ def _chains(words: Words, langs: np.ndarray, rng: np.random.Generator) -> list[n
 
 def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], Field] | None:
     """(languages, field) learned from text and lang of the rows that aren't held out."""
-    known = docs.where("text is not null and lang is not null").where(
-        remainder(HOLD_OUT) != HOLD_OUT_REMAINDER
-    )
+    known = docs.where("lang is not null").where(remainder(HOLD_OUT) != HOLD_OUT_REMAINDER)
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not langs:
         return None
     sample = []
     for lang in langs:
-        own = known.where(F.col("lang") == lang).select("text", "doc_id")
-        chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-        sample += [(r["text"], lang) for r in chosen.collect()]
+        sample += [(text, lang) for text in sample_texts(known.where(F.col("lang") == lang), rows)]
     column = pa.array([text for text, _ in sample], pa.large_string())
+    if not len(column):
+        return None
     ((_, _, texts),) = parts(column, most=1 << 62)
     words = texts.words()
     if not len(words):

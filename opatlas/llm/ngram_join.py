@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from opatlas.llm.components import components
 from opatlas.llm.runs import by_key, joined, runs
-from opatlas.llm.tables import free_name, written
+from opatlas.llm.tables import free_name, most_frequent, written
 from opatlas.llm.word_arrays import Texts, mixed, parts, shingles
 
 WORDS = 5
@@ -250,9 +250,12 @@ def _family_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of the links inside families."""
     nodes = rows.where("node is not null").select("node", *KEYS).distinct()
     keyed = nodes.select(F.explode(F.array(*KEYS)).alias("family"), "node").distinct()
-    families = written(
-        keyed.groupBy("family").agg(F.count("*").alias("members")).where("members > 1"), "families"
+    # Families of the same nodes are one: equal in number and in the 64 bits of their hashes.
+    each = keyed.groupBy("family").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("who")
     )
+    same = each.where("members > 1").groupBy("members", "who").agg(F.min("family").alias("family"))
+    families = written(same.select("family", "members"), "families")
     wanted = NumberFilter(families.select("family"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,10 +339,8 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
     A row with ``other`` is a pair: ``n`` and ``at`` are its nodes' sizes, ``times`` the number of
     short columns of one task that it shares.  The rest are entries of long columns.
     """
-    often = (
-        rows.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
-        .orderBy(F.desc("seen"), "gram").limit(FREQUENT).collect()  # FREQUENT numbers at most
-    )
+    seen = rows.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
+    often = most_frequent(seen, "seen", FREQUENT).collect()  # FREQUENT numbers at most
     grams = np.array([r["gram"] for r in often], np.int64).view(np.uint64)
     order = np.argsort(grams)
     counts = np.array([r["seen"] for r in often], np.int64)[order]
@@ -401,6 +402,7 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
         held: pa.RecordBatch | None = None  # the last column, as far as it came; short
         flowing: int | None = None  # a long column that goes straight through
+        passed_last: tuple | None = None  # its last entry
         for batch in batches:
             if held is not None:
                 batch = joined([held, batch])
@@ -408,6 +410,14 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             gram, node, n, at = packed(batch)
+            fresh = np.ones(len(gram), bool)  # copies of a node come from several tasks
+            fresh[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
+            fresh[0] = (gram[0], node[0]) != passed_last
+            if not fresh.all():
+                batch = batch.filter(pa.array(fresh))
+                gram, node, n, at = gram[fresh], node[fresh], n[fresh], at[fresh]
+            if not len(gram):
+                continue
             cuts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1], [True]]))
             lengths = np.diff(cuts)
             if flowing is not None and gram[0] != flowing:
@@ -421,6 +431,7 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
             if passed.any():
                 yield out(gram[passed], node[passed], n[passed], at[passed])
             flowing = int(gram[-1]) if long[-1] else None
+            passed_last = (gram[-1], node[-1]) if long[-1] else None
             short = ~long & (lengths > 1)
             short[-1] = False
             if short.any():
@@ -430,7 +441,8 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
             yield from _short_pairs(np.array([0]), np.array([len(node)]), node, n, at, out)
 
     schema = "gram bigint, node bigint, n int, at int"
-    matrix = by_key(docs.select("text").mapInArrow(entries, schema), "gram")
+    matrix = docs.select("text").mapInArrow(entries, schema)
+    matrix = matrix.repartition("gram").sortWithinPartitions("gram", "node")
     return matrix.mapInArrow(shared_columns, schema + ", other bigint, times bigint")
 
 
@@ -476,9 +488,9 @@ def _apart(left: str, right: str) -> str:
 
 def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b, n, m, times): pairs out of long columns, of nodes apart, and how many columns they share."""
-    entries = columns.where("other is null").select("gram", "node", "n").distinct()
-    sizes = entries.groupBy("gram").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    entries = columns.where("other is null").select("gram", "node", "n")
+    sizes = entries.groupBy("gram").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
+    blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     spread = F.transform(
         F.sequence(F.lit(0), blocks - 1),
@@ -487,7 +499,7 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
         ),
     )
     placed = (
-        entries.join(known, "node").join(sizes, "gram")
+        entries.join(known, "node").join(sizes, "gram", "left")
         .select("gram", "node", "n", "label", *KEYS, F.inline(spread))
     )
 

@@ -42,3 +42,32 @@ def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't hold yet (names compare without case)."""
     taken = {column.lower() for column in df.columns}
     return name if name.lower() not in taken else f"{name}_{uuid.uuid4().hex}"
+
+
+def sample_texts(docs: DataFrame, rows: int) -> list[str]:
+    """Whole texts of at most ``rows`` ids, those with the smallest hash; null texts are left out.
+
+    Only ids are compared; texts of the chosen ids alone reach the driver, one for each id.
+    """
+    ids = docs.where("doc_id is not null").select("doc_id").distinct()
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = docs.where("text is not null").join(F.broadcast(chosen), "doc_id", "left_semi")  # ``rows`` ids
+    texts = found.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return [r["text"] for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+
+
+def most_frequent(counts: DataFrame, times: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the largest counts down to a bound that all above it pass.
+
+    The bound comes from a histogram of the counts' magnitudes, a few hundred numbers, so no task
+    sends more than its share of the result.
+    """
+    size = F.floor(F.log2(times) * 16)
+    steps = counts.groupBy(size.alias("size")).agg(F.count("*").alias("rows"), F.min(times).alias("least"))
+    total, bound = 0, None
+    for row in sorted(steps.collect(), key=lambda r: -r["size"]):
+        total += row["rows"]
+        if total > most:
+            break
+        bound = row["least"]
+    return counts.where(F.lit(False) if bound is None else F.col(times) >= bound)
