@@ -1,7 +1,7 @@
 """Fixed values.
 
 Everything in this module has to have exactly this value for the results to be
-right: word lists, labels, file layouts, text formats, size limits and the text
+right: word lists, labels, file layouts, text formats and the text
 patterns that define what counts as an operation.  No logic lives here.
 
 Patterns are written for Spark (``java.util.regex``).  Repeated groups over free
@@ -11,8 +11,6 @@ grow the call stack.
 
 # --- operation types and sources ---------------------------------------------
 
-OPERATION_TYPES = ["query", "mutation", "subscription", "fragment", "persisted", "doc_id"]
-
 SOURCE_LABELS = {
     "HTTP_POST": "HTTP POST Body",
     "JS_FILE": "JS/Static File",
@@ -40,11 +38,6 @@ SCRIPT_MARKS = [
 SCRIPT_CONTENT_TYPE = (
     r"(?i)(application/javascript|text/javascript|application/x-javascript|text/ecmascript)"
 )
-SCRIPT_MIN_CHARS = 20
-SCRIPT_MAX_CHARS = 5 * 1024 * 1024
-BUNDLE_MIN_CHARS = 100
-REGION_CHARS = 50_000
-SNIPPET_MIN_CHARS = 15
 HASH_CONTEXT_CHARS = 100
 ID_CONTEXT_CHARS = 200
 HASH_CONTEXT_MARKS = ["query", "mutation", "operationName", "persistedQuery"]
@@ -59,7 +52,9 @@ JSON_DOC_ID = r'"doc_id"\s*:\s*"([^"]+)"'
 JSON_QUERY_ID = r'"queryId"\s*:\s*"([^"]+)"'
 JSON_DOCUMENT_ID = r'"document_id"\s*:\s*"([^"]+)"'
 BATCH_START = r"^\s*\["
-BATCH_SEPARATOR = r"\},\s*\{"
+# A part of a broken batch: up to a closing brace that a comma and an opening brace follow;
+# strings are taken whole.
+BATCH_PART = r'(?:[^"}]++|"(?:[^"\\]++|\\[\s\S])*+"|"|\}(?!\s*,\s*\{))++\}?'
 URL_QUERY = r"[?&]query=([^&]+)"
 URL_EXTENSIONS = r"[?&]extensions=([^&]*)"
 DECODED_HASH = r"""sha256Hash["':]+([0-9a-fA-F]{64})"""
@@ -75,17 +70,21 @@ FRAGMENT_DEFINITION = r"\bfragment\s+([A-Za-z_][A-Za-z0-9_]*)\s+on\s+"
 INLINE_FRAGMENT = r"\.\.\.\s+on\s+([A-Za-z_]\w*)"
 SELECTION_LIKE = r"\w\s*\{"
 TYPENAME_MARK = "__typename"
+# Block strings, strings and comments; only the comments are outside of the group.
+STRING_OR_COMMENT = (
+    r'("""(?:[^"]++|"(?!""))*+"""|"(?:[^"\\\n]++|\\[^\n])*+")|#[^\n\r]*+'
+)
 
 # --- script text --------------------------------------------------------------
 
 STRING_RUN = r'(?:[^"\\]++|\\[\s\S])++'
 STRING_RUN_OR_EMPTY = r'(?:[^"\\]++|\\[\s\S])*+'
-TAGGED_TEMPLATE = r"(?:gql|graphql)\s*`([^`]{10,}+)`"
+TAGGED_TEMPLATE = r"(?:gql|graphql)\s*`([^`]++)`"
 OPERATION_HEAD = (
     r"\b(?:query|mutation|subscription)\s+[A-Za-z_]\w*+\s*+(?:\([^)]*+\))?+\s*+"
 )
 COMPACT_HEAD = r"\b(?:query|mutation|subscription)\s+[A-Za-z_]\w*+\s*+"
-COMPACT_BLOCK = r"\{[^}]{3,}+\}"
+COMPACT_BLOCK = r"\{[^}]*+\}"
 COMPACT_TYPE_AND_NAME = r"^(\w+)\s+(\w+)"
 PROPERTY_STRING = (
     r'[a-zA-Z0-9_$.]\s*+=\s*+"((?:query|mutation|subscription|fragment|\.\.\.)' + STRING_RUN + ')"'
@@ -150,16 +149,11 @@ DECLARED_CONSTANT = (
 PROPERTY_CONSTANT = (
     r'[a-zA-Z0-9_$.]\.([a-zA-Z_$][a-zA-Z0-9_$]*+)\s*+=\s*+"(' + STRING_RUN_OR_EMPTY + ')"'
 )
-CONSTANT_MIN_CHARS = 5
 IS_OPERATION = (
     r"^(?:(?i:query|mutation|subscription|fragment)\s|\{\s*(?:query|mutation|subscription)\s)"
 )
-IS_OPERATION_MIN_CHARS = 15
 IS_INLINE_FRAGMENT = r"^\.\.\.\s+on\s+\w"
-IS_INLINE_FRAGMENT_MIN_CHARS = 10
-ASSEMBLED_MIN_CHARS = 20
 ASSEMBLED_NAME = r"^(?:query|mutation|subscription)\s+(\w+)"
-CAPTURE_KEY_CHARS = 300
 WHOLE_STRING = '^"(' + STRING_RUN_OR_EMPTY + ')"$'
 IDENTIFIER = r"^[a-zA-Z_$][a-zA-Z0-9_$]*$"
 
@@ -188,8 +182,4 @@ CSV_COLUMNS = [
     "PersistedHash", "URL", "OperationSelectionBody",
 ]
 CSV_REQUIRED_COLUMNS = ["OperationType", "OperationName"]
-FINDINGS_TABLE_COLUMNS = [
-    "#", "Timestamp", "Endpoint", "Method", "Source",
-    "Operation Type", "Operation Name", "Persisted Hash", "Operation / Selection Body",
-]
 DISPLAY_TIME = "HH:mm:ss"

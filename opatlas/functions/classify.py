@@ -16,7 +16,7 @@ PLAIN = "plain"          # operation text as it is
 TEMPLATE = "template"    # script template content
 REGION = "region"        # script text from an operation head on
 STRING = "string"        # script string content
-QUOTED = "quoted"        # script string content, kept only if long enough
+QUOTED = "quoted"        # script string content with an operation head
 COMPACT = "compact"      # script text from a compact operation head on
 PERSISTED = "persisted"  # a hash; text is the display snippet
 DOC_ID = "doc_id"        # an id; text is the display snippet
@@ -69,7 +69,7 @@ def operations_in(text: Column, fallback: Column) -> Column:
         )
         return let(declared, lambda found: F.when(F.size(found) > 0, found).otherwise(undeclared))
 
-    return let(T.collapse_spaces(text), read)
+    return let(T.collapse_spaces(T.drop_comments(text)), read)
 
 
 def _cut_region(text: Column) -> Column:
@@ -78,15 +78,10 @@ def _cut_region(text: Column) -> Column:
     Text the extraction pattern already closed is done.  Blocks nested deeper than the
     pattern, and blocks that never close, take the walk, which has no depth limit.
     """
-    region = F.left(text, F.lit(V.REGION_CHARS))
-    head = F.regexp_extract(region, "^" + V.OPERATION_HEAD, 0)
-    block = F.substr(region, F.length(head) + 1)
+    head = F.regexp_extract(text, "^" + V.OPERATION_HEAD, 0)
+    block = F.substr(text, F.length(head) + 1)
     walked = F.concat(head, T.cut_at_closing_brace(block))
-    return F.when(text.rlike(_CLOSED_REGION), region).otherwise(walked)
-
-
-def _long_enough(text: Column) -> Column:
-    return F.length(text) > V.SNIPPET_MIN_CHARS
+    return F.when(text.rlike(_CLOSED_REGION), text).otherwise(walked)
 
 
 def _operations(forms: list[str], form: Column, text: Column, fallback: Column) -> Column:
@@ -103,18 +98,14 @@ def _operations(forms: list[str], form: Column, text: Column, fallback: Column)
         return default if chosen is None else chosen.otherwise(default)
 
     def read(prepared: Column, cleaned: Column) -> Column:
-        compact = F.when(
-            _long_enough(prepared) & _long_enough(cleaned),
-            _one(
-                F.regexp_extract(prepared, V.COMPACT_TYPE_AND_NAME, 1),
-                F.regexp_extract(prepared, V.COMPACT_TYPE_AND_NAME, 2),
-                cleaned,
-            ),
+        compact = _one(
+            F.regexp_extract(prepared, V.COMPACT_TYPE_AND_NAME, 1),
+            F.regexp_extract(prepared, V.COMPACT_TYPE_AND_NAME, 2),
+            cleaned,
         )
-        readable = F.when((form != QUOTED) | _long_enough(cleaned), cleaned)
         return choose(
             [([PERSISTED, DOC_ID], _one(form, fallback, prepared)), ([COMPACT], compact)],
-            operations_in(readable if QUOTED in present else cleaned, fallback),
+            operations_in(cleaned, fallback),
         )
 
     prepared = choose(

@@ -45,6 +45,12 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def drop_comments(text: Column) -> Column:
+    """Text without ``#`` comments; a ``#`` inside of a string starts none."""
+    dropped = F.regexp_replace(text, V.STRING_OR_COMMENT, "$1")
+    return F.when(text.contains("#"), dropped).otherwise(text)
+
+
 def capitalize(text: Column) -> Column:
     """Upper-case the first letter and leave the rest as it is."""
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))

@@ -57,7 +57,7 @@ def constant_rows(bundles: DataFrame) -> DataFrame:
         T.unescape_constant(F.col("pair.raw")).alias("value"),
         "pass",
         "pos",
-    ).where(F.length("value") > V.CONSTANT_MIN_CHARS)
+    )
 
 
 def constants(bundles: DataFrame) -> DataFrame:
@@ -152,20 +152,20 @@ def assembled(bundles: DataFrame, table: DataFrame) -> DataFrame:
     texts = known.withColumn("text", text).where(
         F.col("text").isNotNull() & (~F.col("drop_blank") | (F.trim("text") != ""))
     )
-    # A chain lies inside one bundle, so its links are bounded by the bundle's size limit.
+    # A chain lies inside one bundle, so its links are bounded by the bundle's text.
     links = F.array_sort(F.collect_list(F.struct("link_no", "branch", "text")))
     glued = texts.groupBy("bundle_id", "chain_no").agg(links.alias("links"))
     query = T.collapse_spaces(F.array_join(F.col("links.text"), ""))
     return glued.select("bundle_id", "chain_no", query.alias("query")).where(
-        (F.length("query") > V.ASSEMBLED_MIN_CHARS) & is_operation(F.col("query"))
+        is_operation(F.col("query"))
     )
 
 
 def script_captures(bundles: DataFrame) -> DataFrame:
     """Assembled operations and constants that are operations, repeats dropped.
 
-    Repeats share the first characters and the name; the first one in text order is kept,
-    chains before constants.  Columns: bundle_id, capture_no, query, name.
+    Repeats share the text and the name; the first one in text order is kept, chains before
+    constants.  Columns: bundle_id, capture_no, query, name.
     """
     table = constants(bundles)
     from_chains = assembled(bundles, table).select(
@@ -189,7 +189,7 @@ def script_captures(bundles: DataFrame) -> DataFrame:
     at = F.struct("stage", "at")
     return (
         found.withColumn("name", F.coalesce("name", F.lit("")))
-        .groupBy("bundle_id", F.left("query", F.lit(V.CAPTURE_KEY_CHARS)).alias("start"), "name")
+        .groupBy("bundle_id", F.sha2("query", 256).alias("text_id"), "name")
         .agg(F.min_by("query", at).alias("query"), F.min(at).alias("at"))
         .select("bundle_id", "at", "query", "name")
     )
@@ -199,7 +199,7 @@ def assembled_items(bundles: DataFrame, rank: int) -> DataFrame:
     """Captures as items; ``rank`` places them after all other extractors."""
     at = F.col("at")
     position = at["stage"] * 10 + at["at"]["pass"] + rank
-    return script_captures(bundles.where(F.length("body") >= V.BUNDLE_MIN_CHARS)).select(
+    return script_captures(bundles).select(
         "bundle_id",
         F.lit("JS_EXECUTED").alias("source"),
         C.item_order(position, at["at"]["pos"]).alias("ord"),

@@ -18,27 +18,29 @@ from pyspark.sql import functions as F
 from opatlas import fixed_values as V
 from opatlas.functions import classify as C
 from opatlas.functions.columns import in_order
-from opatlas.session import BROADCAST_ROW_LIMIT, materialize
+from opatlas.operators import requests
+from opatlas.session import materialize
 
 KEY = ["endpoint", "operation_name", "operation_type", "persisted_hash"]
-_ORDER = ["capture_id", "ts"]
+_ORDER = ["capture_id", "ts", "host"]
 
 
-def distinct_items(items: DataFrame) -> DataFrame:
-    """Items with equal content in one row, with their first arrival and count.
+def distinct_exchanges(found: DataFrame) -> DataFrame:
+    """Exchanges whose items are equal in one row, with their first arrival and count.
 
     Traffic repeats itself: the same operation text arrives from every client.  Grouping
-    before classification makes the costly text work proportional to distinct texts, and
+    before classification makes the costly text work proportional to distinct requests, and
     the map-side half of the aggregate takes the weight out of hot keys before the shuffle.
-    All buffers are fixed-width, so this stays a hash aggregate.
+    All buffers are fixed-width, so this stays a hash aggregate.  ``unit`` tells the rows apart.
     """
-    content = [c for c in items.columns if c not in _ORDER]
-    return items.groupBy(*content).agg(
+    content = [c for c in found.columns if c not in _ORDER]
+    grouped = found.groupBy(*content).agg(
         F.min(in_order(F.col("ts"), F.col("capture_id"))).alias("first_order"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
         F.count("*").alias("n_seen"),
     )
+    return grouped.withColumn("unit", F.sha2(F.to_json(F.struct(*content)), 256))
 
 
 def from_ops(ops: DataFrame) -> DataFrame:
@@ -64,13 +66,27 @@ def from_ops(ops: DataFrame) -> DataFrame:
         F.col("ord").alias("first_ord"),
         "operation_body",
         F.col("first_order").alias("body_order"),
-        F.col("ord").alias("body_ord"),
+        F.col("ord" if "body_ord" not in ops.columns else "body_ord").alias("body_ord"),
         "first_seen",
         "last_seen",
         "n_seen",
     )
 
 
+def once_per(ops: DataFrame, unit: list[str]) -> DataFrame:
+    """One row for each key of a unit (a distinct request, a script): what came first, and the
+    longest body.  So a key counts once for every exchange, however often a unit holds it."""
+    key = ["operation_name", "operation_type", "persisted_hash"]
+    rest = [c for c in ops.columns if c not in [*unit, *key, "source", "ord", "operation_body"]]
+    longest = F.struct(F.length("operation_body"), -F.col("ord"))
+    found = ops.withColumn("persisted_hash", F.coalesce("persisted_hash", F.lit(""))).groupBy(*unit, *key).agg(
+        F.min_by(F.struct("source", "ord"), F.col("ord")).alias("first"),
+        F.max_by(F.struct("operation_body", F.col("ord").alias("body_ord")), longest).alias("longest"),
+        *[F.first(c).alias(c) for c in rest],  # the same in all rows of a unit
+    )
+    return found.select(*unit, *key, "first.*", "longest.*", *rest)
+
+
 def merge(partials: DataFrame) -> DataFrame:
     """One finding per key: the first arrival's origin and the longest body, ties to the earlier."""
     arrival = F.struct("first_order", "first_ord")
@@ -87,9 +103,10 @@ def merge(partials: DataFrame) -> DataFrame:
     return merged.select(*KEY, "first.*", "longest.*", "first_seen", "last_seen", "n_seen")
 
 
-def findings_of_items(items: DataFrame) -> DataFrame:
-    """Partial findings of items extracted from requests and messages."""
-    return from_ops(C.classify(distinct_items(items), C.REQUEST_FORMS))
+def findings_of_exchanges(found: DataFrame) -> DataFrame:
+    """Partial findings of the items of requests and messages, one array per exchange."""
+    ops = C.classify(requests.exploded(distinct_exchanges(found)), C.REQUEST_FORMS)
+    return from_ops(once_per(ops, ["unit"]))
 
 
 def new_keys(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -140,11 +157,8 @@ def numbered(df: DataFrame, order: list[str], number: str) -> DataFrame:
     offsets = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    # One row per shuffle partition, so the count of partitions bounds the broadcast side.
-    if placed.rdd.getNumPartitions() <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
     return (
-        placed.join(offsets, "_part")
+        placed.join(F.broadcast(offsets), "_part")  # one row per shuffle partition
         .withColumn(number, F.col("_offset") + F.col("_at") + 1)
         .drop("_part", "_at", "_offset")
     )

@@ -30,12 +30,7 @@ def script_type_gate() -> Column:
 
 
 def script_text_gate() -> Column:
-    body = F.col("resp_body")
-    return (F.length(body) >= V.SCRIPT_MIN_CHARS) & contains_any(body, V.SCRIPT_MARKS)
-
-
-def script_size_gate() -> Column:
-    return F.length("resp_body") <= V.SCRIPT_MAX_CHARS
+    return contains_any(F.col("resp_body"), V.SCRIPT_MARKS)
 
 
 def socket_gate() -> Column:
@@ -48,20 +43,19 @@ def socket_gate() -> Column:
 
 def is_operation(text: Column) -> Column:
     """Text that is an operation by itself."""
-    return (F.length(text) >= V.IS_OPERATION_MIN_CHARS) & F.trim(text).rlike(V.IS_OPERATION)
+    return F.trim(text).rlike(V.IS_OPERATION)
 
 
 def is_inline_fragment(text: Column) -> Column:
-    return (F.length(text) >= V.IS_INLINE_FRAGMENT_MIN_CHARS) & F.trim(text).rlike(
-        V.IS_INLINE_FRAGMENT
-    )
+    return F.trim(text).rlike(V.IS_INLINE_FRAGMENT)
 
 
 def script_captures(exchanges: DataFrame) -> DataFrame:
-    """Script responses worth reading, as (capture_id, ts, url, endpoint, body)."""
-    return exchanges.where(script_type_gate() & script_text_gate() & script_size_gate()).select(
+    """Script responses worth reading, as (capture_id, ts, host, url, endpoint, body)."""
+    return exchanges.where(script_type_gate() & script_text_gate()).select(
         "capture_id",
         "ts",
+        "host",
         "url",
         F.col("path").alias("endpoint"),
         F.col("resp_body").alias("body"),
@@ -82,7 +76,7 @@ def traffic_profile(exchanges: DataFrame) -> DataFrame:
 
 
 def script_gate_profile(exchanges: DataFrame) -> DataFrame:
-    """Script admission per content type, with the count of scripts over the size limit."""
+    """Script admission per content type."""
     is_script = script_type_gate()
     return (
         exchanges.where(F.col("resp_content_type").isNotNull())
@@ -90,8 +84,6 @@ def script_gate_profile(exchanges: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("n_responses"),
             F.count_if(is_script).alias("n_scripts"),
-            F.count_if(is_script & script_text_gate()).alias("n_with_marks"),
-            F.count_if(is_script & script_text_gate() & ~script_size_gate()).alias("n_oversize"),
-            F.count_if(is_script & script_text_gate() & script_size_gate()).alias("n_admitted"),
+            F.count_if(is_script & script_text_gate()).alias("n_admitted"),
         )
     )

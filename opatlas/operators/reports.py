@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opatlas.operators import gates
+from opatlas.functions import classify as C
+from opatlas.operators import gates, requests
 from opatlas.operators.findings import KEY
+from opatlas.session import materialize
 
 
 def counts_cube(found: DataFrame) -> DataFrame:
@@ -26,28 +28,32 @@ def counts_cube(found: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_inventory(exchanges: DataFrame, ops: DataFrame) -> DataFrame:
+def endpoint_inventory(exchanges: DataFrame) -> DataFrame:
     """API endpoints per host: first call, calls, and distinct operation names.
 
-    ``ops`` are the operations of the same exchanges; they are reduced to distinct names
-    per host and path before they meet the endpoints.
+    The exchanges are read once: requests with the same items at the same place are counted
+    and written down, then their operations are read from there.
     """
-    calls = (
-        exchanges.where(gates.is_post() & gates.body_gate())
-        .groupBy("host", "path")
-        .agg(F.min("ts").alias("first_seen"), F.count("*").alias("n_calls"))
+    posts = exchanges.where(gates.is_post() & gates.body_gate())
+    found = requests.http_exchange_items(posts, keep_empty=True)
+    places = materialize(
+        found.groupBy("host", F.col("endpoint").alias("path"), "method", "items").agg(
+            F.min("ts").alias("first_seen"), F.count("*").alias("n_calls")
+        )
+    )
+    calls = places.groupBy("host", "path").agg(
+        F.min("first_seen").alias("first_seen"), F.sum("n_calls").alias("n_calls")
     )
-    host = F.regexp_extract("url", r"^\w+://([^/]+)", 1)
+    items = requests.exploded(places.select("host", "path", "method", "items"))
     names = (
-        ops.where(F.upper("method") == "POST")
-        .select(host.alias("host"), F.col("endpoint").alias("path"), "operation_name")
-        .distinct()
+        C.classify(items, C.REQUEST_FORMS)
         .groupBy("host", "path")
-        .agg(F.count("*").alias("n_operations"))
+        .agg(F.countDistinct("operation_name").alias("n_operations"))
     )
-    return calls.join(names, ["host", "path"], "left").select(
-        "host",
-        "path",
+    same = F.col("c.host").eqNullSafe(F.col("n.host")) & (F.col("c.path") == F.col("n.path"))
+    return calls.alias("c").join(names.alias("n"), same, "left").select(
+        "c.host",
+        "c.path",
         "first_seen",
         "n_calls",
         F.coalesce("n_operations", F.lit(0)).cast("bigint").alias("n_operations"),

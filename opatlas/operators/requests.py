@@ -7,158 +7,159 @@ from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
 from opatlas.functions import classify as C
-from opatlas.functions.columns import all_matches
+from opatlas.functions.columns import all_matches, let
 from opatlas.operators import gates
-from opatlas.operators.findings import distinct_items
 
-_ITEM = "struct<form:string,text:string,hash:string>"
 _ID_KEYS = {"doc_id": V.JSON_DOC_ID, "queryId": V.JSON_QUERY_ID, "document_id": V.JSON_DOCUMENT_ID}
+_ITEMS = "array<struct<form:string,text:string,name:string,hash:string>>"
+_PLACES = "array<struct<ord:bigint,form:string,text:string,name:string,hash:string>>"
 
 
-def _found(text: Column, mark: str, pattern: str) -> Column:
-    """First match, '' for none; a cheap substring test goes first."""
-    return F.when(text.contains(mark), F.regexp_extract(text, pattern, 1)).otherwise("")
+def _every(text: Column, mark: str, pattern: str) -> Column:
+    """All matches; a cheap substring test goes first."""
+    return F.when(text.contains(mark), all_matches(text, pattern, 1)).otherwise(_nothing())
 
 
-def _item(form: str, text: Column, hash_: Column) -> Column:
-    """An item, or null when there is no ``hash_``."""
-    return F.when(hash_ != "", F.struct(F.lit(form), text, hash_).cast(_ITEM))
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
 
 
-def _items(form: str | Column, texts: Column) -> Column:
-    """One item per array element."""
-    form = F.lit(form) if isinstance(form, str) else form
-    return F.arrays_zip(
-        F.array_repeat(form, F.size(texts)), texts, F.array().cast("array<string>")
-    ).cast(f"array<{_ITEM}>")
+def _name(text: Column) -> Column:
+    """The first operation name in a text, '' for none."""
+    return F.when(text.contains('"operationName"'), F.regexp_extract(text, V.JSON_OPERATION_NAME, 1)).otherwise("")
+
+
+def _ids(form: str, label: str, ids: Column, name: Column, suffix: Column | str = "") -> Column:
+    """One item per hash or id; its text is what users see of it."""
+    tail = F.lit(suffix) if isinstance(suffix, str) else suffix
+    return F.transform(
+        ids, lambda x: F.struct(F.lit(form), F.concat(F.lit(label), x, tail), name, x)
+    ).cast(_ITEMS)
+
+
+def _texts(form: str, texts: Column, name: Column) -> Column:
+    return F.transform(texts, lambda t: F.struct(F.lit(form), t, name, F.lit(None))).cast(_ITEMS)
 
 
 def _decoded(value: Column) -> Column:
     return F.coalesce(F.try_url_decode(value), value)
 
 
-def http_items(exchanges: DataFrame) -> DataFrame:
-    """Items found in request bodies and URLs; one scan, one row per item.
+def _items_of_part(part: Column) -> Column:
+    """Hashes, ids and texts of one part of a body, in this order, with the part's name."""
+
+    def named(name: Column) -> Column:
+        suffix = F.when(name == "", "").otherwise(F.concat(F.lit(" ("), name, F.lit(")")))
+        sha256 = _every(part, '"sha256Hash"', V.JSON_SHA256_HASH)
+        plain = _every(part, '"hash"', V.JSON_HASH)
+        return F.concat(
+            let(sha256, lambda found: _ids(C.PERSISTED, "Persisted: ", F.when(F.size(found) > 0, found).otherwise(plain), name)),
+            *[
+                _ids(C.DOC_ID, f"{key}: ", _every(part, f'"{key}"', pattern), name, suffix)
+                for key, pattern in _ID_KEYS.items()
+            ],
+            _texts(C.JSON, _every(part, '"query"', V.JSON_QUERY), name),
+        )
 
-    A batched body is read part by part, each part with its own operation name.  What a part
-    holds is found once, in columns of its own, before the items are made of it.
+    return let(_name(part), named)
+
+
+def _items_of_url(url: Column) -> Column:
+    """Hashes and texts of a URL's parameters."""
+    extensions = F.transform(all_matches(url, V.URL_EXTENSIONS, 1), _decoded)
+    hashes = F.flatten(F.transform(extensions, lambda e: all_matches(e, V.DECODED_HASH, 1)))
+    texts = F.transform(all_matches(url, V.URL_QUERY, 1), _decoded)
+    none = F.lit("")
+    return F.concat(_ids(C.PERSISTED, "Persisted GET: ", hashes, none), _texts(C.PLAIN, texts, none))
+
+
+def body_parts(body: Column) -> Column:
+    """The parts of a batched body, the body itself of any other.
+
+    A batch is read as JSON.  One that isn't JSON is cut where a comma stands between a closing
+    and an opening brace outside of strings.
+    """
+    parsed = F.from_json(body, "array<string>")
+    return F.when(
+        body.rlike(V.BATCH_START), F.coalesce(F.filter(parsed, lambda p: p.isNotNull()), all_matches(body, V.BATCH_PART))
+    ).otherwise(F.array(body))
+
+
+def _placed(items: Column, part_no: Column) -> Column:
+    return F.transform(
+        items,
+        lambda item, i: F.struct(C.item_order(part_no, i), item["form"], item["text"], item["name"], item["hash"]),
+    ).cast(_PLACES)
+
+
+def http_exchange_items(exchanges: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """All items of each request body or URL, as one array per exchange; one scan.
+
+    An exchange that passes the gates without holding an item is dropped unless ``keep_empty``.
     """
     body = F.col("req_body")
-    parts = exchanges.where(
+    of_body = F.flatten(F.transform(body_parts(body), lambda part, i: _placed(_items_of_part(part), i)))
+    of_url = _placed(_items_of_url(F.col("url")), F.lit(0))
+    found = exchanges.where(
         (gates.is_post() & gates.body_gate()) | (gates.is_get() & gates.url_gate())
     ).select(
         "capture_id",
         "ts",
+        "host",
         "url",
         F.col("path").alias("endpoint"),
         "method",
-        gates.is_post().alias("in_body"),
-        F.posexplode(
-            F.when(gates.is_get(), F.array("url"))
-            .when(body.rlike(V.BATCH_START), F.split(body, V.BATCH_SEPARATOR))
-            .otherwise(F.array(body))
-        ).alias("part_no", "part"),
-    )
-    keys = ["capture_id", "ts", "url", "endpoint", "method", "in_body", "part_no"]
-    part, in_body = F.col("part"), F.col("in_body")
-
-    def of_body(value: Column) -> Column:
-        return F.when(in_body, value).otherwise("")
-
-    extensions = _decoded(F.regexp_extract(part, V.URL_EXTENSIONS, 1))
-    found = parts.select(
-        *keys,
-        of_body(_found(part, '"operationName"', V.JSON_OPERATION_NAME)).alias("name"),
-        of_body(_found(part, '"sha256Hash"', V.JSON_SHA256_HASH)).alias("sha256_hash"),
-        of_body(_found(part, '"hash"', V.JSON_HASH)).alias("plain_hash"),
-        F.when(~in_body, F.regexp_extract(extensions, V.DECODED_HASH, 1)).otherwise("").alias("url_hash"),
-        *[of_body(_found(part, f'"{key}"', pattern)).alias(key) for key, pattern in _ID_KEYS.items()],
-        F.when(in_body, all_matches(part, V.JSON_QUERY, 1))
-        .otherwise(all_matches(part, V.URL_QUERY, 1))
-        .alias("texts"),
-    )
-    name = F.col("name")
-    suffix = F.when(name == "", "").otherwise(F.concat(F.lit(" ("), name, F.lit(")")))
-    body_hash = F.when(F.col("sha256_hash") != "", F.col("sha256_hash")).otherwise(F.col("plain_hash"))
-    url_hash = F.col("url_hash")
-    # A URL counts with its first query parameter only.
-    texts = F.when(in_body, F.col("texts")).otherwise(F.slice("texts", 1, 1))
-    items = found.select(
-        *keys,
-        "name",
-        F.posexplode(
-            F.concat(
-                F.array(
-                    F.coalesce(
-                        _item(C.PERSISTED, F.concat(F.lit("Persisted: "), body_hash), body_hash),
-                        _item(C.PERSISTED, F.concat(F.lit("Persisted GET: "), url_hash), url_hash),
-                    ),
-                    *[
-                        _item(C.DOC_ID, F.concat(F.lit(f"{key}: "), F.col(key), suffix), F.col(key))
-                        for key in _ID_KEYS
-                    ],
-                ),
-                _items(F.when(in_body, C.JSON).otherwise(C.PLAIN), texts),
-            )
-        ).alias("item_no", "item"),
-    ).where("item is not null")
-    text = F.col("item.text")
-    return items.select(
-        "capture_id",
-        "ts",
-        "url",
-        "endpoint",
-        "method",
-        F.when(F.col("item.hash").isNotNull(), "PERSISTED_QUERY").otherwise("HTTP_POST").alias("source"),
-        C.item_order(F.col("part_no"), F.col("item_no")).alias("ord"),
-        "item.form",
-        F.when(F.col("item.form") == C.PLAIN, _decoded(text)).otherwise(text).alias("text"),
-        "name",
-        "item.hash",
+        F.when(gates.is_get(), of_url).otherwise(of_body).alias("items"),
     )
+    return found if keep_empty else found.where(F.size("items") > 0)
 
 
-def socket_items(messages: DataFrame) -> DataFrame:
-    """Items found in text messages from client to server."""
+def socket_message_items(messages: DataFrame) -> DataFrame:
+    """All items of each text message from client to server, as one array per message."""
     payload = F.col("payload")
+
+    def named(name: Column) -> Column:
+        return F.concat(
+            _texts(C.JSON, _every(payload, '"query"', V.JSON_QUERY), name),
+            _ids(C.PERSISTED, "WS Persisted: ", _every(payload, '"sha256Hash"', V.JSON_SHA256_HASH), name),
+        )
+
     found = messages.where(gates.socket_gate()).select(
         "capture_id",
         "ts",
+        F.lit(None).cast("string").alias("host"),
         "url",
         F.col("path").alias("endpoint"),
-        _found(payload, '"operationName"', V.JSON_OPERATION_NAME).alias("name"),
-        _found(payload, '"sha256Hash"', V.JSON_SHA256_HASH).alias("hash"),
-        all_matches(payload, V.JSON_QUERY, 1).alias("texts"),
-    )
-    hash_ = F.col("hash")
-    items = found.select(
-        "capture_id",
-        "ts",
-        "url",
-        "endpoint",
-        "name",
-        F.posexplode(
-            F.concat(
-                _items(C.JSON, F.col("texts")),
-                F.array(_item(C.PERSISTED, F.concat(F.lit("WS Persisted: "), hash_), hash_)),
-            )
-        ).alias("item_no", "item"),
-    ).where("item is not null")
-    return items.select(
-        "capture_id",
-        "ts",
-        "url",
-        "endpoint",
         F.lit("WS").alias("method"),
-        F.lit("WEBSOCKET").alias("source"),
-        C.item_order(F.lit(0), F.col("item_no")).alias("ord"),
-        "item.form",
-        "item.text",
-        "name",
-        "item.hash",
+        _placed(let(_name(payload), named), F.lit(0)).alias("items"),
+    )
+    return found.where(F.size("items") > 0)
+
+
+def exploded(found: DataFrame) -> DataFrame:
+    """One row per item; columns beside the items are kept."""
+    kept = [c for c in found.columns if c != "items"]
+    item = F.col("item")
+    source = (
+        F.when(F.col("method") == "WS", "WEBSOCKET")
+        .when(item["hash"].isNotNull(), "PERSISTED_QUERY")
+        .otherwise("HTTP_POST")
+    )
+    return found.select(*kept, F.explode("items").alias("item")).select(
+        *kept, source.alias("source"), "item.ord", "item.form", "item.text", "item.name", "item.hash"
     )
 
 
+def http_items(exchanges: DataFrame) -> DataFrame:
+    """Items found in request bodies and URLs, one row each."""
+    return exploded(http_exchange_items(exchanges))
+
+
+def socket_items(messages: DataFrame) -> DataFrame:
+    """Items found in text messages from client to server, one row each."""
+    return exploded(socket_message_items(messages))
+
+
 def http_ops(exchanges: DataFrame) -> DataFrame:
     """One row per operation and capture."""
     return C.classify(http_items(exchanges), C.REQUEST_FORMS)
@@ -166,8 +167,3 @@ def http_ops(exchanges: DataFrame) -> DataFrame:
 
 def socket_ops(messages: DataFrame) -> DataFrame:
     return C.classify(socket_items(messages), C.REQUEST_FORMS)
-
-
-def distinct_ops(exchanges: DataFrame) -> DataFrame:
-    """Operations of distinct items, with count and first arrival instead of captures."""
-    return C.classify(distinct_items(http_items(exchanges)), C.REQUEST_FORMS)

@@ -2,7 +2,7 @@
 
 Servers send the same bundle over and over.  So every distinct text is read once
 (:func:`distinct_bundles`), and what was found in it is joined back to the places and times
-the bundle was seen at (:func:`sightings`).  Bundle text is never grouped or sorted.
+the bundle was seen at (:func:`sightings`).
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from opatlas import fixed_values as V
 from opatlas.functions import classify as C
 from opatlas.functions.columns import all_matches, contains_any, first_match, in_order, let
 from opatlas.functions.patterns import BLOCK_LEVELS, balanced
-from opatlas.session import BROADCAST_ROW_LIMIT, materialize
+from opatlas.session import materialize
 
 # An operation from its head to the brace that closes it.  Where the block is nested deeper
-# than the pattern, or never closes, the region after the head is taken and cut later on.
+# than the pattern, or never closes, the text up to the next head is taken and cut later on.
 # The look-ahead captures the whole operation and consumes the head only, so that operations
 # inside of it are found as well.
 _BLOCK = balanced("{", "}", BLOCK_LEVELS)
-_REST = r"(?:" + _BLOCK + r"|\{[\s\S]{0," + str(V.REGION_CHARS) + "}+)"
+_NEXT_HEAD = r"(?=" + V.OPERATION_HEAD + r"\{|\z)"
+_REST = r"(?:" + _BLOCK + r"|\{[\s\S]*?" + _NEXT_HEAD + ")"
 RAW_OPERATION = "(?=(" + V.OPERATION_HEAD + _REST + "))" + V.OPERATION_HEAD + r"\{"
 COMPACT_OPERATION = "(?=(" + V.COMPACT_HEAD + _REST + "))" + V.COMPACT_HEAD + V.COMPACT_BLOCK
 
@@ -75,32 +76,39 @@ def sightings(scripts: DataFrame) -> DataFrame:
 
     Written down, because it is read twice and reading it anew would hash all texts again.
     """
-    return materialize(
+    at_urls = (
         scripts.select(bundle_id(F.col("body")).alias("bundle_id"), "url", "endpoint", "ts", "capture_id")
         .groupBy("bundle_id", "url", "endpoint")
         .agg(
             F.min(in_order(F.col("ts"), F.col("capture_id"))).alias("first_order"),
-            F.min("capture_id").alias("sample_id"),
             F.min("ts").alias("first_seen"),
             F.max("ts").alias("last_seen"),
             F.count("*").alias("n_seen"),
         )
     )
+    # URLs of one endpoint differ by their query; only the first arrival's URL is ever shown.
+    return materialize(
+        at_urls.groupBy("bundle_id", "endpoint").agg(
+            F.min_by("url", "first_order").alias("url"),
+            F.min("first_order").alias("first_order"),
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_seen").alias("last_seen"),
+            F.sum("n_seen").alias("n_seen"),
+        )
+    )
 
 
-def distinct_bundles(exchanges: DataFrame, seen: DataFrame) -> DataFrame:
-    """(bundle_id, body) with every distinct text once.
+def distinct_bundles(scripts: DataFrame) -> DataFrame:
+    """(bundle_id, body) with every distinct text once, whatever ids its captures have.
 
-    One capture is chosen per bundle and its text read again, so no text is shuffled while
-    the list of chosen ids is small enough to be sent to all executors.  A longer list means
-    that most texts are distinct; then a plain join moves each chosen text once.  The gates
-    need not be asked again, and the lookup is far cheaper than they are.
+    ``scripts`` are admitted script responses, so other response bodies never reach the
+    exchange.  Copies meet in their map task first; each distinct text of a task moves once.
     """
-    chosen = seen.groupBy("bundle_id").agg(F.min("sample_id").alias("capture_id"))
-    if chosen.count() <= BROADCAST_ROW_LIMIT:
-        chosen = F.broadcast(chosen)
-    texts = exchanges.select("capture_id", F.col("resp_body").alias("body"))
-    return texts.join(chosen, "capture_id").select("bundle_id", "body")
+    return (
+        scripts.select(bundle_id(F.col("body")).alias("bundle_id"), "body")
+        .groupBy("bundle_id")
+        .agg(F.first("body").alias("body"))
+    )
 
 
 def _matches(name: str, body: Column) -> Column:
@@ -151,7 +159,7 @@ def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> Dat
         return default if picked is None else picked.otherwise(default)
 
     def of_rank(values: list[str]) -> Column:
-        return F.get(F.split(F.lit(" ".join(values)), " "), F.col("rank"))
+        return F.get(F.array(*[F.lit(value) for value in values]), F.col("rank"))
 
     text = F.col("match.text")
     reach = by_name({n: F.lit(r) for n, r in CONTEXT.items()}, F.lit(0))
@@ -233,14 +241,13 @@ def at_sightings(ops: DataFrame, seen: DataFrame) -> DataFrame:
     A bundle seen at very many places makes one hot ``bundle_id`` on the sightings side
     only; the adaptive skew join splits that side and repeats the few operations.
     """
-    return ops.join(seen.drop("sample_id"), "bundle_id").withColumn("method", F.lit("GET"))
+    return ops.join(seen, "bundle_id").withColumn("method", F.lit("GET"))
 
 
 def bundle_inventory(scripts: DataFrame) -> DataFrame:
-    """Distinct bundles long enough for constant resolution, with how often they were served."""
+    """Distinct bundles, with how often they were served."""
     return (
-        scripts.where(F.length("body") >= V.BUNDLE_MIN_CHARS)
-        .groupBy(bundle_id(F.col("body")).alias("bundle_id"))
+        scripts.groupBy(bundle_id(F.col("body")).alias("bundle_id"))
         .agg(
             F.min("url").alias("url"),
             F.min("ts").alias("first_seen"),

@@ -11,10 +11,10 @@ from opatlas.session import materialize
 
 def request_partials(exchanges: DataFrame, messages: DataFrame | None = None) -> DataFrame:
     """Partial findings of request bodies, URLs and socket messages."""
-    items = requests.http_items(exchanges)
+    found = requests.http_exchange_items(exchanges)
     if messages is not None:
-        items = items.unionByName(requests.socket_items(messages))
-    return findings.findings_of_items(items)
+        found = found.unionByName(requests.socket_message_items(messages))
+    return findings.findings_of_exchanges(found)
 
 
 def script_partials(exchanges: DataFrame, include_assembled: bool = False) -> DataFrame:
@@ -24,14 +24,15 @@ def script_partials(exchanges: DataFrame, include_assembled: bool = False) -> Da
     """
     admitted = gates.script_captures(exchanges)
     seen = scripts.sightings(admitted)
-    bundles = scripts.distinct_bundles(exchanges, seen)
+    bundles = scripts.distinct_bundles(admitted)
     if include_assembled:
         # Read by the extractors, the constants and the chains.
         bundles = materialize(bundles)
     items = scripts.script_items(bundles)
     if include_assembled:
         items = items.unionByName(constants.assembled_items(bundles, rank=100))
-    return findings.from_ops(scripts.at_sightings(classify(items), seen))
+    ops = findings.once_per(classify(items), ["bundle_id"])
+    return findings.from_ops(scripts.at_sightings(ops, seen))
 
 
 def catalogue(

@@ -83,14 +83,13 @@ API = f"""api AS (
   FROM events)"""
 SCR = f"""scr AS (
   SELECT page_id + {derived.PAGE_ID_BASE} AS capture_id, {_START} + page_id * INTERVAL 1 SECOND AS ts,
-         '/static/' || cast(page_id % 40 as varchar) || '.js' AS path,
-         'https://cdn.example.com/static/' || cast(page_id % 40 as varchar) || '.js' AS url,
+         '/static/' || cast({derived.SCRIPT_ID} as varchar) || '.js' AS path,
+         'https://cdn.example.com/static/' || cast({derived.SCRIPT_ID} as varchar) || '.js' AS url,
          {_SCRIPT['resp_content_type']} AS content_type, {_SCRIPT['resp_body']} AS body
   FROM pages),
 admitted AS (
   SELECT *, sha256(body) AS bundle_id FROM scr
   WHERE regexp_matches(content_type, {p(V.SCRIPT_CONTENT_TYPE)})
-    AND length(body) >= {V.SCRIPT_MIN_CHARS} AND length(body) <= {V.SCRIPT_MAX_CHARS}
     AND {_any('body', V.SCRIPT_MARKS)}),
 bundles AS (SELECT DISTINCT bundle_id, body FROM admitted)"""
 WS = f"""ws AS (
@@ -104,62 +103,84 @@ WS = f"""ws AS (
 # --- request items --------------------------------------------------------------
 
 
-def _ids(key: str, pattern: str, item_no: int) -> str:
-    return f"""SELECT capture_id, ts, url, endpoint, method, part_no, {item_no} AS item_no, 'doc_id' AS form,
-           '{key}: ' || id || CASE WHEN name IS NULL THEN '' ELSE ' (' || name || ')' END AS text,
-           name, id AS hash
-    FROM (SELECT *, {first('part', pattern)} AS id FROM parts) WHERE id IS NOT NULL"""
+_ITEM_NULLS = "NULL::VARCHAR"
 
 
+def _id_items(form: str, label: str, ids: str, suffix: str = "''") -> str:
+    return f"list_transform({ids}, lambda h: {{'form': '{form}', 'text': '{label}' || h || {suffix}, 'hash': h}})"
+
+
+def _text_items(form: str, texts: str, text: str) -> str:
+    return f"list_transform({texts}, lambda t: {{'form': '{form}', 'text': {text}, 'hash': {_ITEM_NULLS}}})"
+
+
+def _concat(*lists: str) -> str:
+    joined = lists[0]
+    for other in lists[1:]:
+        joined = f"list_concat({joined}, {other})"
+    return joined
+
+
+_SUFFIX = "CASE WHEN name IS NULL THEN '' ELSE ' (' || name || ')' END"
+_BODY_ITEMS = _concat(
+    _id_items(
+        "persisted",
+        "Persisted: ",
+        f"CASE WHEN len({every('part', V.JSON_SHA256_HASH, 1)}) > 0 THEN {every('part', V.JSON_SHA256_HASH, 1)}"
+        f" ELSE {every('part', V.JSON_HASH, 1)} END",
+    ),
+    _id_items("doc_id", "doc_id: ", every("part", V.JSON_DOC_ID, 1), _SUFFIX),
+    _id_items("doc_id", "queryId: ", every("part", V.JSON_QUERY_ID, 1), _SUFFIX),
+    _id_items("doc_id", "document_id: ", every("part", V.JSON_DOCUMENT_ID, 1), _SUFFIX),
+    _text_items("json", every("part", V.JSON_QUERY, 1), _replace("t", _UNESCAPE_JSON)),
+)
+_URL_ITEMS = _concat(
+    _id_items(
+        "persisted",
+        "Persisted GET: ",
+        f"flatten(list_transform({every('url', V.URL_EXTENSIONS, 1)}, lambda e: "
+        + every("url_decode(replace(e, '+', ' '))", V.DECODED_HASH, 1)
+        + "))",
+    ),
+    _text_items("plain", every("url", V.URL_QUERY, 1), "url_decode(replace(t, '+', ' '))"),
+)
+# Batches of the derived captures are JSON.
 HTTP_ITEMS = f"""post_parts AS (
   SELECT capture_id, ts, url, path AS endpoint, method, u.part, u.no - 1 AS part_no
   FROM api, unnest(CASE WHEN regexp_matches(req_body, {p(V.BATCH_START)})
-                        THEN regexp_split_to_array(req_body, {p(V.BATCH_SEPARATOR)})
+                        THEN CAST(json_extract(req_body, '$[*]') AS VARCHAR[])
                         ELSE [req_body] END) WITH ORDINALITY AS u(part, no)
   WHERE upper(method) = 'POST' AND {_any('req_body', V.BODY_MARKS)}),
 parts AS (SELECT *, {first('part', V.JSON_OPERATION_NAME)} AS name FROM post_parts),
-gets AS (
-  SELECT capture_id, ts, url, path AS endpoint, method,
-         {first("url_decode(replace(" + first('url', V.URL_EXTENSIONS) + ", '+', ' '))", V.DECODED_HASH)} AS id,
-         url_decode(replace({first('url', V.URL_QUERY)}, '+', ' ')) AS text
-  FROM api WHERE upper(method) = 'GET' AND {_any('url', V.URL_MARKS)}),
 http_items AS (
-  SELECT capture_id, ts, url, endpoint, method, part_no, 0 AS item_no, 'persisted' AS form,
-         'Persisted: ' || id AS text, name, id AS hash
-  FROM (SELECT *, coalesce({first('part', V.JSON_SHA256_HASH)}, {first('part', V.JSON_HASH)}) AS id FROM parts)
-  WHERE id IS NOT NULL
-  UNION ALL {_ids('doc_id', V.JSON_DOC_ID, 1)}
-  UNION ALL {_ids('queryId', V.JSON_QUERY_ID, 2)}
-  UNION ALL {_ids('document_id', V.JSON_DOCUMENT_ID, 3)}
-  UNION ALL
-  SELECT capture_id, ts, url, endpoint, method, part_no, 3 + u.no AS item_no, 'json' AS form,
-         {_replace('u.text', _UNESCAPE_JSON)} AS text, name, NULL AS hash
-  FROM parts, unnest({every('part', V.JSON_QUERY, 1)}) WITH ORDINALITY AS u(text, no)
-  UNION ALL
-  SELECT capture_id, ts, url, endpoint, method, 0, 0, 'persisted', 'Persisted GET: ' || id, NULL, id
-  FROM gets WHERE id IS NOT NULL
+  SELECT capture_id, ts, url, endpoint, method, part_no, u.no - 1 AS item_no, name, u.item
+  FROM parts, unnest({_BODY_ITEMS}) WITH ORDINALITY AS u(item, no)
   UNION ALL
-  SELECT capture_id, ts, url, endpoint, method, 0, 4, 'plain', text, NULL, NULL
-  FROM gets WHERE text IS NOT NULL),
+  SELECT capture_id, ts, url, path, method, 0, u.no - 1, NULL, u.item
+  FROM api, unnest({_URL_ITEMS}) WITH ORDINALITY AS u(item, no)
+  WHERE upper(method) = 'GET' AND {_any('url', V.URL_MARKS)}),
 http_in AS (
   SELECT capture_id, ts, url, endpoint, method,
-         CASE WHEN hash IS NOT NULL THEN 'PERSISTED_QUERY' ELSE 'HTTP_POST' END AS source,
-         part_no * 1000000000000 + item_no * 1000000 AS ord, form, text, name, hash
+         CASE WHEN item.hash IS NOT NULL THEN 'PERSISTED_QUERY' ELSE 'HTTP_POST' END AS source,
+         part_no * 1000000000000 + item_no * 1000000 AS ord, item.form AS form, item.text AS text, name,
+         item.hash AS hash
   FROM http_items)"""
 
+_SOCKET_ITEMS = _concat(
+    _text_items("json", every("payload", V.JSON_QUERY, 1), _replace("t", _UNESCAPE_JSON)),
+    _id_items("persisted", "WS Persisted: ", every("payload", V.JSON_SHA256_HASH, 1)),
+)
 WS_ITEMS = f"""ws_admitted AS (
-  SELECT *, {first('payload', V.JSON_OPERATION_NAME)} AS name,
-         {every('payload', V.JSON_QUERY, 1)} AS texts, {first('payload', V.JSON_SHA256_HASH)} AS id
+  SELECT *, {first('payload', V.JSON_OPERATION_NAME)} AS name
   FROM ws WHERE direction = '{V.SOCKET_DIRECTION}' AND {_any('payload', V.SOCKET_MARKS)}),
 ws_in AS (
   SELECT capture_id, ts, url, path AS endpoint, 'WS' AS method, 'WEBSOCKET' AS source,
-         (u.no - 1) * 1000000 AS ord, 'json' AS form, {_replace('u.text', _UNESCAPE_JSON)} AS text,
-         name, NULL AS hash
-  FROM ws_admitted, unnest(texts) WITH ORDINALITY AS u(text, no)
-  UNION ALL
-  SELECT capture_id, ts, url, path, 'WS', 'WEBSOCKET', len(texts) * 1000000, 'persisted',
-         'WS Persisted: ' || id, name, id
-  FROM ws_admitted WHERE id IS NOT NULL)"""
+         (u.no - 1) * 1000000 AS ord, u.item.form AS form, u.item.text AS text, name, u.item.hash AS hash
+  FROM ws_admitted, unnest({_SOCKET_ITEMS}) WITH ORDINALITY AS u(item, no))"""
+
+
+# Strings are kept, comments outside of them go.
+_COMMENT, _KEPT = r'("(?:[^"\\\n]|\\[^\n])*")|#[^\n\r]*', "\\1"
 
 
 def classified(source: str, target: str, keys: str) -> str:
@@ -170,7 +191,8 @@ def classified(source: str, target: str, keys: str) -> str:
     )
     fragments = f"list_transform({every('body', V.FRAGMENT_DEFINITION, 1)}, lambda f: {{'t': 'fragment', 'n': f}})"
     return f"""{target}_body AS (
-  SELECT *, CASE WHEN form IN ('persisted', 'doc_id') THEN text ELSE {collapse('text')} END AS body,
+  SELECT *, CASE WHEN form IN ('persisted', 'doc_id', 'compact') THEN text
+                 ELSE {collapse(f"regexp_replace(text, {q(_COMMENT)}, {q(_KEPT)}, 'g')")} END AS body,
          coalesce(nullif(name, ''), 'anonymous') AS fallback
   FROM {source}),
 {target}_declared AS (
@@ -319,8 +341,8 @@ def _script_item(name: str) -> str:
         label = "Meta queryID: " if name == "query_id" else "Meta doc_id: "
         found = f"coalesce({first('context', V.NEARBY_NAME)}, 'anonymous')"
         return start + f"'{label}' || id || ' (' || {found} || ')', {found}, id FROM {rows}"
-    text = _replace("m", _UNESCAPE_SCRIPT) if form in ("string", "quoted") else f"left(m, {V.REGION_CHARS})"
-    kept = f" WHERE length(m) > {V.SNIPPET_MIN_CHARS} AND regexp_matches(m, {p('^' + V.COMPACT_HEAD + V.COMPACT_BLOCK)})"
+    text = _replace("m", _UNESCAPE_SCRIPT) if form in ("string", "quoted") else "m"
+    kept = f" WHERE regexp_matches(m, {p('^' + V.COMPACT_HEAD + V.COMPACT_BLOCK)})"
     return head + f"{text} AS text, NULL AS name, NULL AS hash FROM {body}" + (kept if name == "compact" else "")
 
 
@@ -331,8 +353,7 @@ def script_ops(names: list[str], target: str = "js_ops") -> str:
             SCR,
             f"js_in (bundle_id, source, ord, form, text, name, hash) AS ({items})",
             cleaned("js_in", "js_clean", "form NOT IN ('persisted', 'doc_id')"),
-            f"js_kept AS (SELECT * FROM js_clean WHERE form NOT IN ('quoted', 'compact') OR length(text) > {V.SNIPPET_MIN_CHARS})",
-            classified("js_kept", target, "bundle_id, source"),
+            classified("js_clean", target, "bundle_id, source"),
         ]
     )
 
@@ -341,11 +362,11 @@ def script_ops(names: list[str], target: str = "js_ops") -> str:
 
 
 def _is_operation(text: str) -> str:
-    return f"(length({text}) >= {V.IS_OPERATION_MIN_CHARS} AND regexp_matches(trim({text}), {p(V.IS_OPERATION)}))"
+    return f"regexp_matches(trim({text}), {p(V.IS_OPERATION)})"
 
 
 def _is_fragment(text: str) -> str:
-    return f"(length({text}) >= {V.IS_INLINE_FRAGMENT_MIN_CHARS} AND regexp_matches(trim({text}), {p(V.IS_INLINE_FRAGMENT)}))"
+    return f"regexp_matches(trim({text}), {p(V.IS_INLINE_FRAGMENT)})"
 
 
 def _assignments(pattern: str, pass_no: int) -> str:
@@ -354,8 +375,7 @@ def _assignments(pattern: str, pass_no: int) -> str:
 
 
 CONSTANTS = f"""assigned AS (
-  SELECT * FROM ({_assignments(V.DECLARED_CONSTANT, 0)} UNION ALL {_assignments(V.PROPERTY_CONSTANT, 1)})
-  WHERE length(value) > {V.CONSTANT_MIN_CHARS}),
+  {_assignments(V.DECLARED_CONSTANT, 0)} UNION ALL {_assignments(V.PROPERTY_CONSTANT, 1)}),
 constants AS (
   SELECT bundle_id, body, name, value FROM assigned
   QUALIFY row_number() OVER (PARTITION BY bundle_id, name ORDER BY pass DESC, pos DESC) = 1)"""
@@ -372,11 +392,10 @@ def _branch(group: int) -> str:
     return f"trim(regexp_extract(argument, {q(_BRANCHES)}, {group}))"
 
 
-CHAINS = f"""long_bundles AS (SELECT * FROM bundles WHERE length(body) >= {V.BUNDLE_MIN_CHARS}),
-chains AS (
+CHAINS = f"""chains AS (
   SELECT bundle_id, u.no AS chain_no, u.chain,
          regexp_extract(u.chain, {p('^' + _STRING)}, 0) AS head
-  FROM long_bundles, unnest({every('body', _CHAIN)}) WITH ORDINALITY AS u(chain, no)),
+  FROM bundles, unnest({every('body', _CHAIN)}) WITH ORDINALITY AS u(chain, no)),
 bases AS (
   SELECT *, {_replace("substr(head, 2, length(head) - 2)", _UNESCAPE_JSON)} AS base FROM chains),
 op_chains AS (SELECT * FROM bases WHERE {_is_operation('base')}),
@@ -408,7 +427,7 @@ glued AS (
   GROUP BY bundle_id, chain_no),
 found AS (
   SELECT bundle_id, 0 AS stage, 0 AS pass, chain_no AS pos, query, {first('query', V.ASSEMBLED_NAME)} AS name
-  FROM glued WHERE length(query) > {V.ASSEMBLED_MIN_CHARS} AND {_is_operation('query')}
+  FROM glued WHERE {_is_operation('query')}
   UNION ALL
   SELECT bundle_id, 1, pass, pos, query,
          CASE WHEN {_is_operation('query')} THEN {first('query', V.ASSEMBLED_NAME)} ELSE {first('query', V.INLINE_FRAGMENT)} END
@@ -416,14 +435,13 @@ found AS (
         FROM constants c JOIN (SELECT bundle_id, name, min(pass * 1000000 + pos) // 1000000 AS pass,
                                       min(pass * 1000000 + pos) % 1000000 AS pos
                                FROM assigned GROUP BY bundle_id, name) a
-          ON c.bundle_id = a.bundle_id AND c.name = a.name
-        WHERE length(c.body) >= {V.BUNDLE_MIN_CHARS})
+          ON c.bundle_id = a.bundle_id AND c.name = a.name)
   WHERE {_is_operation('query')} OR {_is_fragment('query')}),
 concat_in AS (
   SELECT bundle_id, 'JS_EXECUTED' AS source, (100 + stage * 10 + pass) * 1000000000000 + pos * 1000000 AS ord,
          'plain' AS form, query AS text, coalesce(name, '') AS name, NULL AS hash
   FROM found
-  QUALIFY row_number() OVER (PARTITION BY bundle_id, left(query, {V.CAPTURE_KEY_CHARS}), coalesce(name, '') ORDER BY stage, pass, pos) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY bundle_id, query, coalesce(name, '') ORDER BY stage, pass, pos) = 1)"""
 
 # --- findings -------------------------------------------------------------------
 
@@ -442,7 +460,7 @@ def merged(source: str, target: str, where: str = "true") -> str:
          max(url) FILTER (arrival = 1) AS url, max(method) FILTER (arrival = 1) AS method,
          max(source) FILTER (arrival = 1) AS source,
          max(operation_body) FILTER (length_rank = 1) AS operation_body,
-         min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n_seen,
+         min(ts) AS first_seen, max(ts) AS last_seen, count(DISTINCT capture_id) AS n_seen,
          max(capture_id) FILTER (arrival = 1) AS first_id, max(ord) FILTER (arrival = 1) AS first_ord
   FROM {target}_ranked GROUP BY endpoint, operation_name, operation_type, hash_key)"""
 
@@ -740,7 +758,7 @@ def _js(*names: str) -> str:
 
 
 _IS_SCRIPT = f"regexp_matches(content_type, {p(V.SCRIPT_CONTENT_TYPE)})"
-_HAS_MARKS = f"length(body) >= {V.SCRIPT_MIN_CHARS} AND {_any('body', V.SCRIPT_MARKS)}"
+_HAS_MARKS = _any("body", V.SCRIPT_MARKS)
 
 ORACLE_SQL: dict[str, str] = {
     "gql_traffic_profile": _with(
@@ -763,15 +781,13 @@ FROM (SELECT method, req_body, url FROM api UNION ALL SELECT 'GET', '', url FROM
     "gql_js_gate": _with(
         SCR,
         f"""SELECT content_type AS resp_content_type, count(*) AS n_responses,
-       count(*) FILTER ({_IS_SCRIPT}) AS n_scripts, count(*) FILTER ({_IS_SCRIPT} AND {_HAS_MARKS}) AS n_with_marks,
-       count(*) FILTER ({_IS_SCRIPT} AND {_HAS_MARKS} AND length(body) > {V.SCRIPT_MAX_CHARS}) AS n_oversize,
-       count(*) FILTER ({_IS_SCRIPT} AND {_HAS_MARKS} AND length(body) <= {V.SCRIPT_MAX_CHARS}) AS n_admitted
+       count(*) FILTER ({_IS_SCRIPT}) AS n_scripts, count(*) FILTER ({_IS_SCRIPT} AND {_HAS_MARKS}) AS n_admitted
 FROM scr GROUP BY 1""",
     ),
     "gql_js_bundles": _with(
         SCR,
         f"""SELECT bundle_id, min(url) AS url, min(ts) AS first_seen, count(*) AS n_served, min(length(body)) AS n_chars
-FROM admitted WHERE length(body) >= {V.BUNDLE_MIN_CHARS} GROUP BY bundle_id""",
+FROM admitted GROUP BY bundle_id""",
     ),
     "gql_js_tagged": _js("tagged"),
     "gql_js_raw": _js("raw"),

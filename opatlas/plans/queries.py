@@ -52,8 +52,7 @@ def _sockets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    exchanges = derived.captures(spark, sf_dir, "scripts")
-    return scripts.distinct_bundles(exchanges, scripts.sightings(gates.script_captures(exchanges)))
+    return scripts.distinct_bundles(gates.script_captures(derived.captures(spark, sf_dir, "scripts")))
 
 
 def _catalogue(
@@ -217,8 +216,7 @@ def counts_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     exchanges = derived.http_exchanges(spark, sf_dir)
-    ops = requests.distinct_ops(exchanges)
-    found = reports.endpoint_inventory(exchanges, ops)
+    found = reports.endpoint_inventory(exchanges)
     return found.select("host", "path", _plain_time("first_seen"), "n_calls", "n_operations")
 
 
@@ -300,8 +298,12 @@ def schema_sdl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.http_items(derived.captures(spark, sf_dir, "api", stream=True)).unionByName(
-        requests.socket_items(derived.captures(spark, sf_dir, "sockets", stream=True))
+    return requests.exploded(_stream_exchanges(spark, sf_dir)).drop("host")
+
+
+def _stream_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.http_exchange_items(derived.captures(spark, sf_dir, "api", stream=True)).unionByName(
+        requests.socket_message_items(derived.captures(spark, sf_dir, "sockets", stream=True))
     )
 
 
@@ -323,7 +325,7 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "stream-findings")
-    _drained(stream.write_partials(_stream_items(spark, sf_dir), f"{path}/table", f"{path}/checkpoint"))
+    _drained(stream.write_partials(_stream_exchanges(spark, sf_dir), f"{path}/table", f"{path}/checkpoint"))
     return _finding_columns(stream.merged(spark, f"{path}/table"))
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A broadcast side has to be counted first and may hold this many rows at most.  The sides
-# broadcast here are lists of ids and of partition sizes, about 100 bytes a row, so 100 MB.
-BROADCAST_ROW_LIMIT = 1_000_000
 
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, shared: str | None = None
+) -> SparkSession:
+    """Session for tests and the benchmark; a cluster brings its own.
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the benchmark; a cluster brings its own."""
-    return (
+    ``shared`` is the folder for intermediate tables, where the session names none.
+    """
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("opatlas")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,27 +24,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "8g")
         # No call sites for error messages: they double the cost of building a Column.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    if shared and not session.conf.get("spark.checkpoint.dir", None):
+        session.sparkContext.setCheckpointDir(shared)
+    return session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a temporary folder: there the driver and the
-    executors are one process.
-    """
+    """Folder every executor can reach, named by ``spark.checkpoint.dir``."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(configured)
-        return configured.rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="opatlas-"))
-    return context.getCheckpointDir().rstrip("/")
+        context.setCheckpointDir(configured)
+    return configured.rstrip("/")
 
 
 def new_shared_path(spark: SparkSession, name: str) -> str:
@@ -53,6 +49,10 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The table written to the shared folder and read again.
+
+    Survives the loss of executors, and readers take only the columns they need.
+    """
+    path = new_shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

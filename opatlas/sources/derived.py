@@ -37,6 +37,13 @@ EVENT_TEMPLATES = [
     ("POST", "/graphql",
      '{"query":"query List<Et> {\\n  <et>s { ...<Et>Bits ... on User { email } alias: title }\\n}\\n'
      'fragment <Et>Bits on <Et> { id tags(kind: \\"x,y\\") }"}'),
+    ("POST", "/graphql",
+     '[{"operationName":"Add<Et>","query":"mutation Add<Et> { add(items: [{a: 1}, {b: 2}]) { id } }",'
+     '"variables":{"list":[{"x":1},{"y":2}]}},{"query":"query Note<Et> { # old { x\\n note(of: \\"#1\\") { id } }"}]'),
+    ("POST", "/api/graphql",
+     '{"operationName":"Two<Et>","first":{"sha256Hash":"<h>"},"doc_id":"7<u>","next":{"sha256Hash":'
+     '"00000000000000000000000000000000000000000000000000000000000000ab","doc_id":"8<u>"}}'),
+    ("GET", "/graphql?query=%7B%20a<et>%20%7B%20id%20%7D%20%7D&query=query%20More<Et>%20%7B%20b%20%7D", ""),
 ]
 
 PAGE_TEMPLATES = [
@@ -57,6 +64,7 @@ PAGE_TEMPLATES = [
     ("application/javascript",
      "function plain<p>(){return 42*<p>;}/* nothing of interest here */"),
     ("text/html", "<script>const Q=gql`query Html<p> { page { id } }`;</script>"),
+    ("text/javascript", 'var o="query ",k=" { z }";var s="query Late<p> { z }".concat(k);u="query S<p>{q}";'),
 ]
 
 MESSAGE_TEMPLATES = [
@@ -68,6 +76,8 @@ MESSAGE_TEMPLATES = [
     '{"type":"ping"}',
 ]
 
+# Pages of one thousand share their scripts' addresses and names, but not their texts.
+SCRIPT_ID = "page_id % 1000"
 PAGE_ID_BASE = 1_000_000_000
 MESSAGE_ID_BASE = 2_000_000_000
 DERIVED_START = "2024-01-01 00:00:00"
@@ -110,14 +120,17 @@ def api_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
 
 def script_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
     """SQL text of content type and response body, in terms of the ``pages`` columns."""
-    page = "cast(page_id % 40 as varchar(20))"
+    page = f"cast({SCRIPT_ID} as varchar(20))"
     marks = {"p": page, "h": sha256.format(page)}
-    key = f"page_id % {len(PAGE_TEMPLATES)}"
+    key = f"{SCRIPT_ID} % {len(PAGE_TEMPLATES)}"
     names = ["resp_content_type", "resp_body"]
-    return {
+    columns = {
         name: _pick(key, [t[i] for t in PAGE_TEMPLATES], marks, literal)
         for i, name in enumerate(names)
     }
+    # A script is its template and the page's own text, so it grows with the tables.
+    columns["resp_body"] = f"concat({columns['resp_body']}, {literal('/* ')}, html, {literal(' */')})"
+    return columns
 
 
 def message_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
@@ -147,21 +160,20 @@ def _derived(df: DataFrame, columns: dict[str, str], constants: dict[str, str])
     return rows.selectExpr("c.*", *[f"{value} AS {name}" for name, value in constants.items()])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+def read_table(
+    spark: SparkSession, sf_dir: str, name: str, stream: bool = False, files_per_batch: int = 1
+) -> DataFrame:
     """A test table; as a stream, the folder is watched for the table's file.
 
-    A table that is read in fewer tasks than there are cores is spread over the cores before
-    its narrow rows become wide captures.  Larger tables are left as they are.
+    ``files_per_batch`` limits a micro-batch of the stream.
     """
     if not stream:
-        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        cores = spark.sparkContext.defaultParallelism
-        return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 1)
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(sf_dir)
     )
 
@@ -191,8 +203,8 @@ def _start_plus(seconds: str) -> str:
 
 
 def script_exchanges(pages: DataFrame) -> DataFrame:
-    """One script response per page; many pages carry the same script."""
-    path = "concat('/static/', cast(page_id % 40 as varchar(20)), '.js')"
+    """One script response per page."""
+    path = f"concat('/static/', cast({SCRIPT_ID} as varchar(20)), '.js')"
     return _derived(
         pages,
         {

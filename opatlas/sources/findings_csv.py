@@ -44,12 +44,23 @@ def write_findings_csv(found: DataFrame, path: str) -> None:
 
 
 def check_header(spark: SparkSession, path: str) -> None:
-    """Reject files that are no findings export; reads one line."""
-    first = spark.read.text(path).first()
-    header = first.value if first else ""
-    missing = [c for c in V.CSV_REQUIRED_COLUMNS if c not in header]
-    if missing:
-        raise ValueError(f"no findings export, header lacks {', '.join(missing)}: {header[:200]!r}")
+    """Reject files that are no findings export; the first line of every file is checked.
+
+    Rows are read by position, so a header has to name the columns in their order; a shorter
+    one may stop after the required columns.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+    first = lines.where("block = 0").groupBy("file").agg(F.first("value").alias("header"))
+    names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    columns = F.array(*[F.lit(c) for c in V.CSV_COLUMNS])
+    least = 1 + max(V.CSV_COLUMNS.index(c) for c in V.CSV_REQUIRED_COLUMNS)
+    fits = (F.size(names) >= least) & (F.slice(columns, F.lit(1), F.size(names)) == names)
+    wrong = first.where(~fits).orderBy("file").first()
+    if wrong:
+        wanted = ",".join(V.CSV_COLUMNS)
+        raise ValueError(f"no findings export, {wrong['file']} begins with {wrong['header'][:200]!r}, not {wanted}")
 
 
 def read_findings_csv(spark: SparkSession, path: str) -> DataFrame:

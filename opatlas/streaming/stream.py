@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,32 +62,62 @@ def write_first_sight(items: DataFrame, path: str, checkpoint: str) -> Streaming
     )
 
 
-def write_partials(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write one set of partial findings per micro-batch.
+def write_partials(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write one set of partial findings per micro-batch of exchanges with their items.
 
     Keeping the longest body is an update, so every batch adds its own partials and readers
-    merge them.  A batch that is run again replaces its own folder, nothing is counted twice,
-    and no batch rewrites the findings of earlier ones.
+    merge them.  Each attempt at a batch writes a folder of its own; a record written after it
+    publishes the attempt, and readers follow records only.  A batch that is run again publishes
+    its new attempt in place of the old one, so nothing is counted twice, no folder that a reader
+    may be on is touched, and an attempt that broke off is never read.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partials = findings.merge(findings.findings_of_items(batch))
-        partials.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        attempt = uuid.uuid4().hex
+        partials = findings.merge(findings.findings_of_exchanges(batch))
+        partials.write.parquet(f"{path}/{_PARTIALS}/{attempt}")
+        _publish(batch.sparkSession, path, batch_id, attempt)
 
     return (
-        items.writeStream.foreachBatch(write)
+        found.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def merged(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of everything written by :func:`write_partials` so far."""
-    return findings.merge(spark.read.parquet(path).drop("batch"))
+_PARTIALS, _COMMITS = "partials", "commits"
+_COMMIT = "batch_id bigint, at timestamp, attempt string, replaces bigint"
+
+
+def _publish(spark: SparkSession, path: str, batch_id: int, attempt: str, replaces: int = -1) -> None:
+    """``replaces``: a snapshot stands for all batches up to this one."""
+    row = spark.createDataFrame([(batch_id, attempt, replaces)], "batch_id bigint, attempt string, replaces bigint")
+    row = row.select("batch_id", F.current_timestamp().alias("at"), "attempt", "replaces")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/{_COMMITS}")
 
 
-def snapshot(spark: SparkSession, path: str, target: str) -> DataFrame:
-    """Write the merged findings as a new table, e.g. to start a shorter list of batches."""
-    merged(spark, path).write.parquet(target)
-    return spark.read.parquet(target)
+def _published(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """(folders to read, last batch): the latest snapshot and the batches after it."""
+    latest = F.max_by("attempt", "at").alias("attempt")
+    commits = spark.read.schema(_COMMIT).parquet(f"{path}/{_COMMITS}")
+    rows = commits.groupBy("batch_id", "replaces").agg(latest).collect()  # a line for each batch since
+    upto = max((r["replaces"] for r in rows), default=-1)
+    chosen = [r for r in rows if r["replaces"] == upto >= 0 or (r["replaces"] < 0 and r["batch_id"] > upto)]
+    last = max((r["batch_id"] for r in chosen), default=-1)
+    return [f"{path}/{_PARTIALS}/{r['attempt']}" for r in chosen], last
+
+
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of everything published by :func:`write_partials` so far."""
+    folders, _ = _published(spark, path)
+    return findings.merge(spark.read.parquet(*folders))
+
+
+def compact(spark: SparkSession, path: str) -> DataFrame:
+    """Publish the merged findings as a snapshot; later reads start from it."""
+    folders, last = _published(spark, path)
+    attempt = uuid.uuid4().hex
+    findings.merge(spark.read.parquet(*folders)).write.parquet(f"{path}/{_PARTIALS}/{attempt}")
+    _publish(spark, path, last, attempt, replaces=last)
+    return merged(spark, path)

@@ -170,7 +170,7 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         shared_dir(FakeSession(FakeContext("spark://host:7077"), {}))
 
 
-def test_checkpoints_are_reliable(spark):
+def test_kept_tables_are_files_in_the_shared_folder(spark):
     kept = materialize(spark.range(3))
     assert kept.count() == 3
-    assert "Scan ExistingRDD" in kept._jdf.queryExecution().executedPlan().toString()
+    assert shared_dir(spark).split(":")[-1] in kept.inputFiles()[0]

@@ -13,13 +13,14 @@ def test_query_with_name_variables_and_newlines(spark):
     ]
 
 
-def test_first_hash_counts_even_when_it_is_the_only_one(spark):
+def test_every_hash_counts(spark):
     one = '{"operationName":"P","extensions":{"persistedQuery":{"sha256Hash":"%s"}}}' % H1
     two = '{"a":{"sha256Hash":"%s"},"b":{"sha256Hash":"%s"}}' % (H1, H2)
     plain = '{"persistedQuery":{"hash":"%s"}}' % H2
     assert found_in_bodies(spark, one, two, plain) == [
         (0, "persisted", "P", H1, f"Persisted: {H1}"),
         (1, "persisted", "anonymous", H1, f"Persisted: {H1}"),
+        (1, "persisted", "anonymous", H2, f"Persisted: {H2}"),
         (2, "persisted", "anonymous", H2, f"Persisted: {H2}"),
     ]
 
@@ -142,9 +143,9 @@ def test_script_gate(spark):
         (js, "query " + "x" * (5 * 1024 * 1024)),
     ]
     df = exchanges(spark, [{"method": "GET", "path": "/s.js", "content_type": c, "script": s} for c, s in texts])
-    assert sorted(r.capture_id for r in gates.script_captures(df).collect()) == [0, 1]
+    assert sorted(r.capture_id for r in gates.script_captures(df).collect()) == [0, 1, 3, 5]
     profile = {r.resp_content_type: r for r in gates.script_gate_profile(df).collect()}
-    assert (profile[js].n_responses, profile[js].n_with_marks, profile[js].n_oversize, profile[js].n_admitted) == (4, 2, 1, 1)
+    assert (profile[js].n_responses, profile[js].n_scripts, profile[js].n_admitted) == (4, 4, 3)
 
 
 def test_a_megabyte_string_is_read_whole(spark):
@@ -153,3 +154,26 @@ def test_a_megabyte_string_is_read_whole(spark):
     (row,) = found_in_bodies(spark, body)
     assert row[1:3] == ("query", "Big")
     assert row[4] == "query Big { " + fields + " }"
+
+
+def test_batches_are_cut_by_their_structure(spark):
+    names = lambda *bodies: [r[:3] for r in found_in_bodies(spark, *bodies)]
+    lists = '[{"operationName":"A","query":"mutation A { add(items: [{a: 1}, {b: 2}]) { id } }","variables":{"l":[{"x":1},{"y":2}]}},{"query":"{ b { c } }","operationName":"B"}]'
+    broken = lists[:-1]
+    assert names(lists, broken) == [(0, "mutation", "A"), (0, "query", "B"), (1, "mutation", "A"), (1, "query", "B")]
+
+
+def test_all_hashes_ids_and_queries_count(spark):
+    h2 = "b" * 64
+    body = '{"sha256Hash":"%s","x":{"sha256Hash":"%s"},"doc_id":"1","y":{"doc_id":"2"}}' % (H1, h2)
+    assert [r[3] for r in found_in_bodies(spark, body)] == [H1, h2, "1", "2"]
+    frames = messages(spark, [{"payload": body}])
+    assert sorted(r.persisted_hash for r in requests.socket_ops(frames).collect()) == sorted([H1, h2])
+    path = "/graphql?query=query%20One%20%7B%20a%20%7D&query=query%20Two%20%7B%20a%20%7D"
+    urls = exchanges(spark, [{"method": "GET", "path": path}])
+    assert sorted(r.operation_name for r in requests.http_ops(urls).collect()) == ["One", "Two"]
+
+
+def test_comments_hold_no_fields(spark):
+    (row,) = found_in_bodies(spark, r'{"query":"query A { # old { x\n id(of: \"#1\") }"}')
+    assert row[4] == 'query A { id(of: "#1") }'

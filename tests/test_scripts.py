@@ -2,9 +2,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helpers import exchanges, found_in_scripts
+from helpers import exchanges, found_in_scripts, messages
 from opatlas.functions import text as T
 from opatlas.operators import constants, gates, scripts
+from opatlas.plans.catalogue import catalogue
+from opatlas.session import new_shared_path
 
 H = "c" * 64
 
@@ -87,11 +89,21 @@ def test_raw_operation_deeper_than_the_pattern(spark):
     assert [r[1:] for r in rows] == [("query", "Deep", None, nested)]
 
 
-def test_raw_operation_that_never_closes_takes_the_region(spark):
+def test_raw_operation_that_never_closes_ends_at_the_next_one(spark):
     text = "query Open { a { b } c " + "d " * 30_000
     ((_, kind, name, _, body),) = found_in_scripts(spark, text, extractors=["raw"])
     assert (kind, name) == ("query", "Open")
-    assert body == text[:50_000].strip()
+    assert body == text.strip()
+    many = "".join(f"query Q{i} {{ a{i} {{ b " for i in range(1000))
+    rows = found_in_scripts(spark, many, extractors=["raw"])
+    assert [r[2] for r in rows] == [f"Q{i}" for i in range(1000)]
+    assert rows[5][4] == "query Q5 { a5 { b"
+
+
+def test_a_long_operation_is_whole(spark):
+    text = "query Big { " + "field " * 11_000 + "}"
+    ((*_, body),) = found_in_scripts(spark, "x=" + text + ";", extractors=["raw"])
+    assert body == text
 
 
 def test_operations_inside_an_operation_are_found(spark):
@@ -104,8 +116,8 @@ def test_minified_shapes(spark):
         return [r[1:3] for r in found_in_scripts(spark, text, extractors=[extractor])]
 
     assert names('a.b = "query Foo { a }";c="...  on T { x }"', "property") == [("query", "Foo"), ("fragment", "T")]
-    assert names('["query Foo {\\n ab }","mutation B","query F {ab cd}"]', "quoted") == [("query", "Foo")]
-    assert names("x=query Foo{bar{baz{id}}},query No{}", "compact") == [("query", "Foo")]
+    assert names('["query Foo {\\n ab }","mutation B","query F {ab cd}"]', "quoted") == [("query", "Foo"), ("query", "F")]
+    assert names("x=query Foo{bar{baz{id}}},query No{}", "compact") == [("query", "Foo"), ("query", "No")]
     assert names('{query:"mutation Baz($id:ID!){a}"}', "query_field") == [("mutation", "Baz")]
     assert names('{body:"query Foo{a}"}', "body_field") == [("query", "Foo")]
     assert names('{text:"query A{a}",queryText="query B{b}",operationText:"query C{c}"}', "text_field") == [
@@ -156,7 +168,7 @@ def bundle(spark, text):
 def test_constants_last_assignment_wins_and_properties_override(spark):
     text = 'var a="first value",b="tiny",c=\'no\';let a="second value";x.c="prop value";o.a="third\\nvalue";'
     rows = {r.name: r.value for r in constants.constants(bundle(spark, text)).collect()}
-    assert rows == {"a": "third\nvalue", "c": "prop value"}
+    assert rows == {"a": "third\nvalue", "b": "tiny", "c": "prop value"}
 
 
 def test_chain_resolution(spark):
@@ -193,9 +205,50 @@ def test_each_distinct_bundle_is_read_once_and_found_everywhere(spark):
     captures = exchanges(spark, rows)
     admitted = gates.script_captures(captures)
     seen = scripts.sightings(admitted)
-    bundles = scripts.distinct_bundles(captures, seen)
+    bundles = scripts.distinct_bundles(admitted)
     assert bundles.count() == 1
     ops = scripts.at_sightings(scripts.bundle_ops(bundles, ["tagged"]), seen).collect()
     assert sorted((r.endpoint, r.n_seen) for r in ops) == [("/0.js", 10), ("/1.js", 10), ("/2.js", 10)]
-    # Too short for constant resolution.
-    assert scripts.bundle_inventory(admitted).count() == 0
+    assert [r.n_served for r in scripts.bundle_inventory(admitted).collect()] == [30]
+
+
+def test_repeated_capture_ids_keep_their_texts_apart(spark):
+    rows = [
+        {"method": "GET", "path": f"/{n}.js", "content_type": "text/javascript", "script": f"gql`query {n * 4} {{ a }}`"}
+        for n in "ABA"
+    ]
+    captures = exchanges(spark, rows).withColumn("capture_id", F.lit(1).cast("bigint"))
+    found = catalogue(captures, messages(spark, [{"payload": "-"}])).collect()
+    assert sorted((r.endpoint, r.operation_name, r.n_seen) for r in found) == [("/A.js", "AAAA", 2), ("/B.js", "BBBB", 1)]
+
+
+def test_other_bodies_stay_out_of_the_exchange(spark):
+    captures = exchanges(spark, [{"method": "GET", "path": "/x", "content_type": "text/html", "script": "<p>"}])
+    path = new_shared_path(spark, "captures")
+    captures.write.parquet(path)
+    bundles = scripts.distinct_bundles(gates.script_captures(spark.read.parquet(path)))
+    plan = bundles._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange") :]
+    assert "resp_content_type" in below[: below.index("FileScan")]  # the gate's filter
+
+
+def test_short_scripts_and_constants_take_part(spark):
+    text = 'var q="query Cat { me { ".concat("id").concat(" } }");'
+    ops = constants.assembled_ops(bundle(spark, text)).collect()
+    assert "query Cat { me { id } }" in [r.operation_body for r in ops]
+    text = 'var i=" id ";var q="query Category { me {".concat(i).concat("name } }");'
+    ops = constants.assembled_ops(bundle(spark, text)).collect()
+    assert "query Category { me { id name } }" in [r.operation_body for r in ops]
+
+
+def test_captures_equal_in_their_beginning_are_two(spark):
+    start = "query Big { " + "f " * 200
+    text = f'var a="{start} one }}",b="{start} two }}";'
+    assert constants.script_captures(bundle(spark, text)).count() == 2
+
+
+def test_a_script_of_six_megabytes_is_read(spark):
+    text = "gql`query Far { a }`;" + "x " * 3_000_000
+    captures = exchanges(spark, [{"method": "GET", "path": "/s.js", "content_type": "text/javascript", "script": text}])
+    found = catalogue(captures, messages(spark, [{"payload": "-"}])).collect()
+    assert [r.operation_name for r in found] == ["Far"]
