@@ -133,19 +133,24 @@ def _matches(name: str, body: Column) -> Column:
     return F.when(contains_any(body, NEEDED_TEXT[name]), found)
 
 
-def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> DataFrame:
-    """Items of every bundle; the text is read in one pass and dropped in the same step."""
+def script_items(
+    bundles: DataFrame, extractors: list[str] | None = None, keys: tuple[str, ...] = ("bundle_id",)
+) -> DataFrame:
+    """Items of every bundle; the text is read in one pass and dropped in the same step.
+
+    ``keys`` are the columns that go with the items.
+    """
     names = list(PATTERN_EXTRACTORS) if extractors is None else extractors
     ranks = {name: rank for rank, name in enumerate(PATTERN_EXTRACTORS)}
     body = F.col("body")
     per_extractor = bundles.select(
-        "bundle_id",
+        *keys,
         F.explode(
             F.array(*[F.struct(F.lit(ranks[n]).alias("rank"), _matches(n, body).alias("found")) for n in names])
         ).alias("extractor"),
     )
     found = per_extractor.select(
-        "bundle_id",
+        *keys,
         F.col("extractor.rank").alias("rank"),
         F.posexplode("extractor.found").alias("match_no", "match"),
     )
@@ -167,7 +172,7 @@ def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> Dat
         F.right(F.col("match.before"), reach), F.left(F.concat(text, F.col("match.after")), reach)
     )
     found = found.select(
-        "bundle_id",
+        *keys,
         "rank",
         C.item_order(F.col("rank"), F.col("match_no")).alias("ord"),
         text.alias("text"),
@@ -220,7 +225,7 @@ def script_items(bundles: DataFrame, extractors: list[str] | None = None) -> Dat
         text,
     )
     return found.select(
-        "bundle_id",
+        *keys,
         of_rank([source for source, _, _, _ in PATTERN_EXTRACTORS.values()]).alias("source"),
         "ord",
         of_rank([form for _, form, _, _ in PATTERN_EXTRACTORS.values()]).alias("form"),
@@ -235,6 +240,12 @@ def bundle_ops(bundles: DataFrame, extractors: list[str] | None = None) -> DataF
     return C.classify(script_items(bundles, extractors))
 
 
+def capture_items(scripts: DataFrame) -> DataFrame:
+    """Items of every script response by itself, for streams, which don't wait for copies."""
+    keys = ("capture_id", "ts", "url", "endpoint", "method")
+    return script_items(scripts.withColumn("method", F.lit("GET")), keys=keys)
+
+
 def at_sightings(ops: DataFrame, seen: DataFrame) -> DataFrame:
     """Operations of bundles at every place the bundle was seen at.
 

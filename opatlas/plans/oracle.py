@@ -733,10 +733,6 @@ line_in AS (
   FROM captured WHERE doc_id <> '' AND (in_array OR coalesce(query, '') = ''))"""
 
 _http = f"SELECT {_OP} FROM http_ops"
-_FINDINGS_OF_STREAM = (
-    HTTP_OPS + ",\n" + WS_OPS + ",\nops AS (SELECT * FROM http_ops UNION ALL SELECT * FROM ws_ops),\n"
-    + merged("ops", "findings")
-)
 _CLEAN_COLUMNS = ", ".join(
     [
         "sha256(raw) AS text_id",
@@ -897,10 +893,10 @@ FROM own""",
         "SELECT row_number() OVER (ORDER BY section, block, item, step) AS line_no, line FROM all_lines",
     ),
     "gql_stream_ops": _with(
-        HTTP_OPS + ",\n" + WS_OPS, f"SELECT {_OP} FROM http_ops UNION ALL SELECT {_OP} FROM ws_ops"
+        ALL_OPS, f"SELECT {_OP} FROM ops"
     ),
     "gql_stream_first_seen": _with(
-        _FINDINGS_OF_STREAM, "SELECT endpoint, operation_name, operation_type, persisted_hash FROM findings"
+        FINDINGS, "SELECT endpoint, operation_name, operation_type, persisted_hash FROM findings"
     ),
-    "gql_stream_merge": _with(_FINDINGS_OF_STREAM, f"SELECT {_FINDING} FROM findings"),
+    "gql_stream_merge": _with(FINDINGS, f"SELECT {_FINDING} FROM findings"),
 }

@@ -298,7 +298,9 @@ def schema_sdl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.exploded(_stream_exchanges(spark, sf_dir)).drop("host")
+    scripts_of = gates.script_captures(derived.captures(spark, sf_dir, "scripts", stream=True))
+    items = requests.exploded(_stream_exchanges(spark, sf_dir)).drop("host")
+    return items.unionByName(scripts.capture_items(scripts_of))
 
 
 def _stream_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +327,14 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "stream-findings")
-    _drained(stream.write_partials(_stream_exchanges(spark, sf_dir), f"{path}/table", f"{path}/checkpoint"))
+    table = f"{path}/table"
+    _drained(
+        stream.write_partials(
+            _stream_exchanges(spark, sf_dir), findings.findings_of_exchanges, table, f"{path}/requests"
+        )
+    )
+    responses = derived.captures(spark, sf_dir, "scripts", stream=True)
+    _drained(stream.write_partials(responses, plans.script_partials, table, f"{path}/scripts", name="scripts"))
     return _finding_columns(stream.merged(spark, f"{path}/table"))
 
 

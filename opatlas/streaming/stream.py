@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from opatlas.functions.classify import REQUEST_FORMS, classify
+from opatlas.functions.classify import classify
 from opatlas.operators import findings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,7 +23,7 @@ def use_disk_state(spark: SparkSession) -> None:
 def write_ops(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append the operations of a stream of items to a Parquet table; stateless."""
     return (
-        classify(items, REQUEST_FORMS)
+        classify(items)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
@@ -38,7 +39,7 @@ def first_sight(items: DataFrame) -> DataFrame:
     There is no watermark on purpose: a key that comes back after any time is not new.
     """
     return (
-        classify(items, REQUEST_FORMS)
+        classify(items)
         .select(
             "endpoint",
             "operation_name",
@@ -62,8 +63,16 @@ def write_first_sight(items: DataFrame, path: str, checkpoint: str) -> Streaming
     )
 
 
-def write_partials(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write one set of partial findings per micro-batch of exchanges with their items.
+def write_partials(
+    captures: DataFrame,
+    partials_of: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    name: str = "requests",
+) -> StreamingQuery:
+    """Write the partial findings of each micro-batch of captures.
+
+    ``name`` tells streams apart that write to one path, such as requests and scripts.
 
     Keeping the longest body is an update, so every batch adds its own partials and readers
     merge them.  Each attempt at a batch writes a folder of its own; a record written after it
@@ -74,12 +83,11 @@ def write_partials(found: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
     def write(batch: DataFrame, batch_id: int) -> None:
         attempt = uuid.uuid4().hex
-        partials = findings.merge(findings.findings_of_exchanges(batch))
-        partials.write.parquet(f"{path}/{_PARTIALS}/{attempt}")
-        _publish(batch.sparkSession, path, batch_id, attempt)
+        findings.merge(partials_of(batch)).write.parquet(f"{path}/{_PARTIALS}/{attempt}")
+        _publish(batch.sparkSession, path, name, batch_id, attempt)
 
     return (
-        found.writeStream.foreachBatch(write)
+        captures.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -87,25 +95,37 @@ def write_partials(found: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 _PARTIALS, _COMMITS = "partials", "commits"
-_COMMIT = "batch_id bigint, at timestamp, attempt string, replaces bigint"
+_COMMIT = "name string, batch_id bigint, is_snapshot boolean, at timestamp, attempt string"
 
 
-def _publish(spark: SparkSession, path: str, batch_id: int, attempt: str, replaces: int = -1) -> None:
-    """``replaces``: a snapshot stands for all batches up to this one."""
-    row = spark.createDataFrame([(batch_id, attempt, replaces)], "batch_id bigint, attempt string, replaces bigint")
-    row = row.select("batch_id", F.current_timestamp().alias("at"), "attempt", "replaces")
+def _publish(
+    spark: SparkSession, path: str, name: str, batch_id: int, attempt: str, is_snapshot: bool = False
+) -> None:
+    """``is_snapshot``: the folder stands for all batches of the stream up to this one."""
+    row = spark.createDataFrame(
+        [(name, batch_id, is_snapshot, attempt)], "name string, batch_id bigint, is_snapshot boolean, attempt string"
+    )
+    row = row.withColumn("at", F.current_timestamp())
     row.coalesce(1).write.mode("append").parquet(f"{path}/{_COMMITS}")
 
 
-def _published(spark: SparkSession, path: str) -> tuple[list[str], int]:
-    """(folders to read, last batch): the latest snapshot and the batches after it."""
-    latest = F.max_by("attempt", "at").alias("attempt")
+def _published(spark: SparkSession, path: str) -> tuple[list[str], dict[str, int]]:
+    """(folders to read, last batch of each stream): the latest snapshot and the batches after it."""
     commits = spark.read.schema(_COMMIT).parquet(f"{path}/{_COMMITS}")
-    rows = commits.groupBy("batch_id", "replaces").agg(latest).collect()  # a line for each batch since
-    upto = max((r["replaces"] for r in rows), default=-1)
-    chosen = [r for r in rows if r["replaces"] == upto >= 0 or (r["replaces"] < 0 and r["batch_id"] > upto)]
-    last = max((r["batch_id"] for r in chosen), default=-1)
-    return [f"{path}/{_PARTIALS}/{r['attempt']}" for r in chosen], last
+    latest = commits.groupBy("name", "batch_id", "is_snapshot").agg(F.max_by("attempt", "at").alias("attempt"))
+    rows = latest.collect()  # a line for each batch since the last snapshot, and those before it
+    upto: dict[str, int] = {}
+    for r in rows:
+        if r["is_snapshot"]:
+            upto[r["name"]] = max(r["batch_id"], upto.get(r["name"], -1))
+    chosen = [
+        r for r in rows
+        if (r["batch_id"] == upto.get(r["name"]) if r["is_snapshot"] else r["batch_id"] > upto.get(r["name"], -1))
+    ]
+    last: dict[str, int] = {}
+    for r in chosen:
+        last[r["name"]] = max(r["batch_id"], last.get(r["name"], -1))
+    return sorted({f"{path}/{_PARTIALS}/{r['attempt']}" for r in chosen}), last
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
@@ -115,9 +135,10 @@ def merged(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str) -> DataFrame:
-    """Publish the merged findings as a snapshot; later reads start from it."""
+    """Publish the merged findings as a snapshot of all streams; later reads start from it."""
     folders, last = _published(spark, path)
     attempt = uuid.uuid4().hex
     findings.merge(spark.read.parquet(*folders)).write.parquet(f"{path}/{_PARTIALS}/{attempt}")
-    _publish(spark, path, last, attempt, replaces=last)
+    for name, batch_id in last.items():
+        _publish(spark, path, name, batch_id, attempt, is_snapshot=True)
     return merged(spark, path)

@@ -57,9 +57,9 @@ def test_merged_stream_equals_the_batch_over_several_runs(spark):
     first, second = traffic(spark, seed=1), traffic(spark, seed=2)
     second = second.selectExpr("capture_id + 1000 AS capture_id", "ts + interval 1 day AS ts", *second.columns[2:])
     path, out = stored_in_files(spark, first, 3, "in"), new_shared_path(spark, "out")
-    run(stream.write_partials(exchanges_of(spark, path), f"{out}/t", f"{out}/c"))
+    run(stream.write_partials(exchanges_of(spark, path), findings.findings_of_exchanges, f"{out}/t", f"{out}/c"))
     second.write.mode("append").parquet(path)
-    run(stream.write_partials(exchanges_of(spark, path), f"{out}/t", f"{out}/c"))
+    run(stream.write_partials(exchanges_of(spark, path), findings.findings_of_exchanges, f"{out}/t", f"{out}/c"))
     batch = batch_of(first.unionByName(second))
     assert rows_of(stream.merged(spark, f"{out}/t")) == rows_of(batch)
     # A broken attempt leaves a folder that nobody published; a batch that runs again is counted once.
@@ -67,11 +67,11 @@ def test_merged_stream_equals_the_batch_over_several_runs(spark):
     attempts, _ = stream._published(spark, f"{out}/t")
     again = [a.rsplit("/", 1)[1] for a in attempts]
     commits = {r.attempt: r.batch_id for r in spark.read.parquet(f"{out}/t/commits").collect()}
-    stream._publish(spark, f"{out}/t", commits[again[0]], again[0])
+    stream._publish(spark, f"{out}/t", "requests", commits[again[0]], again[0])
     assert rows_of(stream.merged(spark, f"{out}/t")) == rows_of(batch)
     assert rows_of(stream.compact(spark, f"{out}/t")) == rows_of(batch)
     assert len(stream._published(spark, f"{out}/t")[0]) == 1
     third = second.selectExpr("capture_id + 1000 AS capture_id", *second.columns[1:])
     third.write.mode("append").parquet(path)
-    run(stream.write_partials(exchanges_of(spark, path), f"{out}/t", f"{out}/c"))
+    run(stream.write_partials(exchanges_of(spark, path), findings.findings_of_exchanges, f"{out}/t", f"{out}/c"))
     assert rows_of(stream.merged(spark, f"{out}/t")) == rows_of(batch_of(first.unionByName(second).unionByName(third)))
