@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opatlas.llm import (
     graph_search,
@@ -49,7 +50,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "failed",
+        "base_failed", "kept", F.array_join("failed", ",").alias("failed"),
     )
 
 
