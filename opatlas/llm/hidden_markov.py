@@ -7,9 +7,11 @@ seen.  The ``OWN_GROUPS`` most frequent words are groups by themselves, the othe
 their ending, and the end token is a group.  So the states' tables have a fixed size, while every
 word of the corpus has its own count.
 
-Training reads all training texts: word counts, then ``PASSES`` turns of Baum-Welch, whose expected
-counts are summed across partitions.  The tables it starts from are fitted to a bounded sample,
-the ``SAMPLE_ROWS`` training texts with the smallest hash of their id.
+Training reads all training texts: word counts, then turns of Baum-Welch, whose expected counts are
+summed across partitions, until a turn raises the held-out texts' log likelihood (the training
+texts', if none are held out) by no more than ``SETTLED`` a token.  Only the tables it starts from
+are fitted to a bounded sample, the ``SAMPLE_ROWS`` training texts with the smallest hash of their id.
+Texts are turned into word groups once, two bytes a token, and the turns read those.
 
 The score is the exact log10 probability of the text, from the scaled forward recursion.  Counts
 of the ``SHARED_WORDS`` most frequent words go to every task; those of all others are joined.
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +38,15 @@ from opatlas.llm.tables import most_frequent, remainder, sample_texts, text_of,
 from opatlas.llm.word_arrays import Texts, Words, parts
 
 HOLD_OUT, HOLD_OUT_REMAINDER = 7, 2
-STATES, PASSES = 6, 2
+STATES = 8
 OWN_GROUPS, ENDINGS = 4096, 4096
 END_GROUP = OWN_GROUPS + ENDINGS
 GROUPS = END_GROUP + 1
 SHARED_WORDS = 1 << 17
 SAMPLE_ROWS, SAMPLE_TURNS = 300, 15
-PART = 1 << 20
+PART, CHUNK = 1 << 20, 1 << 17  # bytes of text, tokens
+# Natural logarithm of the likelihood a token.
+SETTLED = 0.001
 # Weight of the overall shares in a state's emissions, in tokens.
 PRIOR = 20.0
 
@@ -170,13 +175,13 @@ def _shares(lexicon: Lexicon) -> np.ndarray:
     return sizes / sizes.sum()
 
 
-def expected(model: Model, tokens: Tokens) -> np.ndarray:
-    """Expected counts of starts, moves and emissions, in one array of ``SLOTS`` numbers."""
+def expected(model: Model, first: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, float]:
+    """Expected counts of starts, moves and emissions in one array, and the log likelihood."""
     k = len(model.start)
-    summed = sum_paths(tokens.first, model.emits.T[tokens.groups], model.start, model.moves)
-    starts = summed.marginals[tokens.first[:-1]].sum(axis=0)
-    emits = [np.bincount(tokens.groups, summed.marginals[:, s], GROUPS) for s in range(k)]
-    return np.concatenate([starts, summed.pairs.ravel(), *emits])
+    summed = sum_paths(first, model.emits.T[groups], model.start, model.moves)
+    starts = summed.marginals[first[:-1]].sum(axis=0)
+    emits = [np.bincount(groups, summed.marginals[:, s], GROUPS) for s in range(k)]
+    return np.concatenate([starts, summed.pairs.ravel(), *emits]), float(summed.log_sum.sum())
 
 
 def maximised(sums: np.ndarray, shares: np.ndarray, k: int) -> Model:
@@ -201,31 +206,90 @@ def first_model(docs: DataFrame, lexicon: Lexicon, k: int = STATES) -> Model:
     for _, _, part in parts(column, most=1 << 62):
         tokens = tokens_of(part, lexicon)
         for _ in range(SAMPLE_TURNS):
-            model = maximised(expected(model, tokens), shares, k)
+            model = maximised(expected(model, tokens.first, tokens.groups)[0], shares, k)
     return model
 
 
-def trained(docs: DataFrame, lexicon: Lexicon, model: Model, passes: int = PASSES) -> Model:
-    """Baum-Welch over all of ``docs``: each pass sums expected counts across the partitions."""
+def _grouped(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(held_out, groups): the word groups of each text, its end token included, as 16-bit numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared.value
+        for batch in batches:
+            for begin, _, part in parts(batch.column("text"), PART):
+                tokens = tokens_of(part, lexicon)
+                buffers = [None, pa.py_buffer((tokens.first * 2).astype(np.int64)), pa.py_buffer(tokens.groups.astype(np.int16))]
+                groups = pa.Array.from_buffers(pa.large_binary(), len(part), buffers).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("held_out").slice(begin, len(part)), groups], ["held_out", "groups"]
+                )
+
+    return docs.mapInArrow(grouped, "held_out boolean, groups binary")
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first, groups) of whole texts, about ``CHUNK`` tokens at a time."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 2
+    groups = np.frombuffer(column.buffers()[2], np.int16, count=int(ends[-1]))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+        yield ends[at : stop + 1] - ends[at], groups[ends[at] : ends[stop]].astype(np.int64)
+        at = stop
+
+
+def trained(
+    docs: DataFrame, lexicon: Lexicon, model: Model, passes: int | None = None, held_out: DataFrame | None = None
+) -> Model:
+    """Baum-Welch over all of ``docs``: each pass sums expected counts across the partitions.
+
+    Without a number of passes they go on until the likelihood of ``held_out`` has settled.
+    """
     shares, k = _shares(lexicon), len(model.start)
     context = docs.sparkSession.sparkContext
-    for _ in range(passes):
-        shared = context.broadcast((lexicon, model))
+    rows = docs.select(F.lit(False).alias("held_out"), text_of().alias("text"))
+    if held_out is not None:
+        rows = rows.unionAll(held_out.select(F.lit(True).alias("held_out"), text_of().alias("text")))
+    rows = written(_grouped(rows, lexicon), "word-groups")
+    size = k + k * k + k * GROUPS
+    before, best, turn = -np.inf, model, 0
+    while passes is None or turn < passes:
+        shared = context.broadcast(model)
 
         def summed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lexicon, model = shared.value
-            total = np.zeros(k + k * k + k * GROUPS)
+            model = shared.value
+            # after the counts: log likelihood and tokens of training texts, then of held-out ones
+            total = np.zeros(size + 4)
             for batch in batches:
-                for _, _, part in parts(batch.column("text"), PART):
-                    total += expected(model, tokens_of(part, lexicon))
+                held = batch.column("held_out")
+                for first, groups in _chunks(batch.column("groups").filter(pc.invert(held))):
+                    counts, logs = expected(model, first, groups)
+                    total[:size] += counts
+                    total[size : size + 2] += logs, len(groups)
+                for first, groups in _chunks(batch.column("groups").filter(held)):
+                    paths = sum_paths(first, model.emits.T[groups], model.start, model.moves, marginals=False)
+                    total[size + 2 :] += paths.log_sum.sum(), len(groups)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "value"])
 
-        rows = docs.select(text_of().alias("text")).mapInArrow(summed, "slot bigint, value double")
-        sums = np.zeros(k + k * k + k * GROUPS)
-        found = rows.groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+        found = rows.mapInArrow(summed, "slot bigint, value double")
+        found = found.groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+        shared.destroy()
+        sums = np.zeros(size + 4)
         sums[found["slot"].to_numpy()] = found["value"].to_numpy()
-        model = maximised(sums, shares, k)
+        logs, tokens = sums[size + 2 :] if sums[size + 3] else sums[size : size + 2]
+        if passes is None:
+            now = logs / max(tokens, 1.0)
+            best = model if now > before else best
+            if not now - before > SETTLED:
+                return best
+            before = now
+        model = maximised(sums[:size], shares, k)
+        turn += 1
     return model
 
 
@@ -306,7 +370,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     training = docs.select("doc_id", "text").where(_is_training())
     counts = written(count_words(training), "word-counts")
     lexicon = read_lexicon(counts, training.count())
-    model = trained(training, lexicon, first_model(training, lexicon))
+    held_out = docs.select("doc_id", "text").where(~_is_training())
+    model = trained(training, lexicon, first_model(training, lexicon), held_out=held_out)
     rows = _scored(docs, lexicon, model).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "scored-texts")  # the row numbers are fixed from here on
     log_count = F.log10(F.col("times") + 1)

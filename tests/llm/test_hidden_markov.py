@@ -84,6 +84,22 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert sums.s > sums.b
 
 
+def test_turns_go_on_until_held_out_text_settles(spark, monkeypatch):
+    """Also for texts of a kind that the sample of the first tables doesn't hold."""
+    assert hmm.STATES >= 8
+    learned = []
+    monkeypatch.setattr(hmm, "SAMPLE_ROWS", 5)
+    monkeypatch.setattr(hmm, "_scored", lambda docs, lexicon, model, of=hmm._scored: learned.append((lexicon, model)) or of(docs, lexicon, model))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").cache()
+    hmm.score_texts(docs)
+    ((lexicon, model),) = learned
+    training = docs.where(hmm._is_training())
+    more = hmm.trained(training, lexicon, model, passes=1)
+    held = docs.where(~hmm._is_training())
+    logs = [hmm._scored(held, lexicon, m).selectExpr("sum(path) as s", "sum(n_tokens) as n").first() for m in (model, more)]
+    assert (logs[1].s - logs[0].s) * math.log(10) / logs[0].n <= hmm.SETTLED
+
+
 def test_empty_and_unlearned(spark):
     assert hmm.score_texts(cases.frame(spark, [])).count() == 0
     held = [i for i in range(60) if cases.remainder(i, 7) == 2][:3]
