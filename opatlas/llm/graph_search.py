@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product: robustly pruned graphs, one for each shard.
 
-Vectors get one more component so that the largest inner product with a query is the smallest
-distance to it.  Each shard of distinct vectors is a directed graph: points are inserted in
-batches, a greedy beam search over the graph so far proposes a point's neighbours, and pruning
+Distinct vectors are sharded by their norm, in bands of a factor of ``2 ** BAND``, then by hash.
+Within a shard vectors are divided by its longest norm and get one more component that makes their
+norm 1, so that the largest inner product with a query is the smallest distance to it; a vector of
+any length leaves the precision of the other bands as it is.  Each shard is a directed graph:
+points are inserted in batches, a greedy beam search over the graph so far proposes a point's neighbours, and pruning
 keeps a neighbour only if no kept one is closer to it by the factor ``ALPHA`` (Subramanya et al.,
 2019), so that diverse edges stay.  Every query searches every shard's graph with a beam; the
-shards' best are merged.  Distances steer the search in single precision; scores are inner
-products of the original vectors in double precision.
+shards' best are merged.  Inner products of the divided vectors steer the search in single
+precision; scores are inner products of the original vectors in double precision.
 
 Equal vectors are one point of a graph.  It carries the ``TOP + 1`` smallest ids that have it,
 which are all that a result of ``TOP`` rows can hold, as ties go to the smaller id.
@@ -22,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opatlas.functions.columns import let
 from opatlas.llm.runs import by_key, runs
 from opatlas.llm.tables import written
 
@@ -33,18 +36,21 @@ EVERY = 20
 SHARD_ROWS, QUERY_ROWS = 8192, 8192
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
 FIRST, BATCH, AT_ONCE = 64, 512, 4
+# Powers of two that the norms of one shard span.
+BAND = 3
 
 
 def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int):
-    """(ids, squared distances) of the ``beam`` nearest found, nearest first; -1 where there is none."""
+    """(ids, negative inner products) of the ``beam`` nearest found, nearest first; -1 where there is none.
+
+    All points have one norm, so the nearest have the largest inner product.
+    """
     q = len(queries)
     ids = np.full((q, beam), -1, np.int64)
     far = np.full((q, beam), np.inf, np.float32)
     done = np.ones((q, beam), bool)
     ids[:, 0], done[:, 0] = entry, False
-    far[:, 0] = ((queries - points[entry]) ** 2).sum(axis=1)
-    own = (queries**2).sum(axis=1)
-    norms = (points**2).sum(axis=1)
+    far[:, 0] = -(queries @ points[entry])
     active = np.arange(q)
     while len(active):
         a_ids, a_far, a_done = ids[active], far[active], done[active]
@@ -56,7 +62,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.n
         near = np.where(fresh[:, :, None], edges[a_ids[line, order]], -1).reshape(len(active), -1)
         near = np.where((near[:, :, None] == a_ids[:, None, :]).any(axis=2), -1, near)
         dots = np.einsum("qnd,qd->qn", points[near], queries[active])
-        new_far = np.where(near >= 0, norms[near] - 2 * dots + own[active][:, None], np.inf)
+        new_far = np.where(near >= 0, -dots, np.inf)
         all_ids = np.concatenate([a_ids, near], axis=1)
         all_far = np.concatenate([a_far, new_far.astype(np.float32)], axis=1)
         all_done = np.concatenate([a_done, near < 0], axis=1)
@@ -164,14 +170,35 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(values), -1)
 
 
-def _raised(vectors: np.ndarray, longest: float) -> np.ndarray:
-    """Points whose distance to a query (with a 0 added) falls as the inner product grows."""
-    rest = np.sqrt(np.maximum(longest - (vectors**2).sum(axis=1), 0.0))
-    return np.concatenate([vectors, rest[:, None]], axis=1).astype(np.float32)
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector divided by its largest component, so that no square leaves the doubles' range."""
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
+
+
+def _raised(vectors: np.ndarray) -> np.ndarray:
+    """Points of norm 1 whose distance to a query (with a 0 added) falls as the inner product grows."""
+    shared = np.abs(vectors).max(initial=0.0) or 1.0
+    vectors = vectors / shared
+    squares = (vectors**2).sum(axis=1)
+    longest = squares.max(initial=0.0) or 1.0
+    rest = np.sqrt(np.maximum(1.0 - squares / longest, 0.0))
+    return np.concatenate([vectors / np.sqrt(longest), rest[:, None]], axis=1).astype(np.float32)
 
 
-def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int, float]:
-    """(graph rows, number of shards, longest squared norm) over all usable vectors."""
+def _band() -> Column:
+    """Which band the norm of ``vector`` lies in; a norm of 1 is in the middle of its band."""
+    top = F.array_max(F.transform("vector", F.abs))
+    squares = let(
+        top,
+        lambda m: F.struct(
+            m.alias("top"), F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + (x / m) * (x / m)).alias("sum")
+        ),
+    )
+    return let(squares, lambda s: F.round((F.log2(s["top"]) + F.log2(s["sum"]) / 2) / BAND).cast("int"))
+
+
+def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:
+    """(graph rows, number of shards) over all usable vectors."""
     first = Window.partitionBy("vector").orderBy("vec_id")
     points = (
         vectors.distinct()
@@ -179,16 +206,22 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataF
         .where(F.col("place") <= TOP + 1)
         .groupBy("vector")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        .withColumn("band", _band())
     )
     points = written(points, "points")
-    norm = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
-    row = points.agg(F.count("*").alias("n"), F.max(norm).alias("longest")).first()
-    shards, longest = max(1, -(-row["n"] // shard_rows)), float(row["longest"] or 0.0)
-    placed = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
+    bands, shards = [], 0
+    for row in points.groupBy("band").count().orderBy("band").collect():  # at most some 700 bands
+        own = -(-row["count"] // shard_rows)
+        bands.append((row["band"], shards, own))
+        shards += own
+    layout = points.sparkSession.createDataFrame(bands, "of_band int, base int, own int")
+    placed = points.join(F.broadcast(layout), F.col("band") == F.col("of_band")).withColumn(
+        "shard", (F.col("base") + F.pmod(F.xxhash64("vector"), F.col("own"))).cast("int")
+    )
 
     def graphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, "shard"):
-            edges, entry = build_graph(_raised(_matrix(run.column("vector")), longest))
+            edges, entry = build_graph(_raised(_matrix(run.column("vector"))))
             n = len(edges)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -204,10 +237,10 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> tuple[DataF
 
     schema = "shard int, point int, entry boolean, vector array<double>, ids array<bigint>, edges array<int>"
     graph = by_key(placed.select("shard", "vector", "ids"), "shard").mapInArrow(graphs, schema)
-    return written(graph, "graph"), shards, longest
+    return written(graph, "graph"), max(1, shards)
 
 
-def search(graph: DataFrame, shards: int, longest: float, queries: DataFrame, top: int = TOP) -> DataFrame:
+def search(graph: DataFrame, shards: int, queries: DataFrame, top: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query, its own id left out.
 
     Every query meets every shard, in blocks of bounded size on both sides.
@@ -224,7 +257,7 @@ def search(graph: DataFrame, shards: int, longest: float, queries: DataFrame, to
         if points.num_rows and asked.num_rows:
             points = points.sort_by("point")
             vectors, wanted = _matrix(points.column("vector")), _matrix(asked.column("vector"))
-            raised = _raised(vectors, longest)
+            raised = _raised(vectors)
             edges = _matrix(points.column("edges")).astype(np.int64)
             entry = int(np.flatnonzero(points.column("entry").to_numpy(zero_copy_only=False))[0])
             ids = points.column("ids").to_pylist()
@@ -232,7 +265,7 @@ def search(graph: DataFrame, shards: int, longest: float, queries: DataFrame, to
             names = asked.column("query_id").to_numpy()
             for begin in range(0, len(wanted), 512):
                 part = wanted[begin : begin + 512]
-                ready = np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32)
+                ready = np.concatenate([_scaled(part), np.zeros((len(part), 1))], axis=1).astype(np.float32)
                 near, _ = beam_search(raised, edges, entry, ready, max(SEARCH_BEAM, 4 * top))
                 for line, (query, own) in enumerate(zip(part, near, strict=True)):
                     own = own[own >= 0]
@@ -263,5 +296,5 @@ def search(graph: DataFrame, shards: int, longest: float, queries: DataFrame, to
 def nearest(rows: DataFrame, vector: str = "embedding", every: int = EVERY, top: int = TOP) -> DataFrame:
     """Nearest neighbours of every row whose id is divisible by ``every``, among all rows."""
     vectors = usable(rows, vector)
-    graph, shards, longest = build_index(vectors)
-    return search(graph, shards, longest, vectors.where(F.col("vec_id") % every == 0), top)
+    graph, shards = build_index(vectors)
+    return search(graph, shards, vectors.where(F.col("vec_id") % every == 0), top)

@@ -92,6 +92,14 @@ def test_odd_vectors_and_ties(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
 
 
+@pytest.mark.parametrize("times", [1e4, 1e20, 1e-20])
+def test_recall_beside_a_vector_of_another_length(spark, times):
+    rows = vectors(1500, 4)
+    rows[7] = (7, [x * times for x in rows[7][1]], 0)
+    rows[40] = (40, [x * times for x in rows[40][1]], 0)
+    assert recall(result(spark, rows), plain(rows)) >= 0.95
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_few_vectors(spark, n):
     got = result(spark, vectors(n))
