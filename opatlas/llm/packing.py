@@ -45,7 +45,9 @@ class Encoder:
     """Token ids of texts.
 
     The rank file holds the vocabulary's merges, and its reader is several times faster; texts
-    with the special token's string go to the vocabulary's own reader, which knows that token.
+    with the special token's string go to the vocabulary's own reader, which knows that token, and
+    so do texts that the fast reader refuses: its pattern backtracks over long white space and
+    gives up at about a million characters.
     """
 
     def __init__(self, vocabulary: str | None = None, ranks: str | None = None) -> None:
@@ -61,13 +63,16 @@ class Encoder:
         self.exact = None
 
     def ids(self, text: str) -> np.ndarray:
-        if SPECIAL in text:
-            if self.exact is None:
-                from tokenizers import Tokenizer
-
-                self.exact = Tokenizer.from_file(self.vocabulary)
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        if SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            except ValueError:
+                pass  # too much white space in one run
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.vocabulary)
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(ids: np.ndarray, most: int = SEQUENCE) -> list[tuple[int, np.ndarray]]:

@@ -27,6 +27,12 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("white", [" ", "\n"])
+def test_long_white_space(tokenizer, white):
+    text = "hello" + white * 1_500_000 + "world"
+    assert packing.Encoder().ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 2047, 2048, 2049, 5000])
 def test_pieces(n):
     pieces = packing.cut(np.arange(n, dtype="<u4"))
