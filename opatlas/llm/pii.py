@@ -9,7 +9,9 @@ Luhn), ``phone`` (10 to 15 digits).  The method adds ``iban`` (confirmed by its
 modulo 97) and ``secret`` (a quoted run of hexadecimal digits that a context word introduces).
 
 Patterns are possessive and start only where a run starts, so each is linear in the text: a
-failing run is never tried again from its second character.
+failing run is never tried again from its second character.  An account number may be followed by
+words that could belong to it, so each of its starts is tried and the longest run of whole words that
+its checksum confirms is the span.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ def _count_between(text: Column, low: int, high: int) -> Column:
 @dataclass(frozen=True)
 class Kind:
     """gate: cheap test that every text with a match passes; confirm: what a match must pass;
-    weight: score of a confirmed match without context; least: score that it needs."""
+    weight: score of a confirmed match without context; least: score that it needs; whole: for a
+    pattern that matches only a span's first characters and holds all that could belong to it in
+    its group 1, what a run of that group's first words must look like."""
 
     name: str
     pattern: str
@@ -83,6 +87,7 @@ class Kind:
     words: str
     weight: float
     least: float = 0.0
+    whole: str | None = None
 
 
 # The kinds, their patterns, and the context words that raise a score.
@@ -121,12 +126,13 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
         lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
         mod97,
         r"iban|account|bank|konto|cuenta|compte",
         0.7,
         0.5,
+        r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+$",
     ),
     Kind(
         "secret",
@@ -173,6 +179,43 @@ def _prefix_sums(values: Column) -> Column:
     return let(values, with_values)
 
 
+def _longest_run(candidate: Column, kind: Kind) -> Column:
+    """The longest run of the candidate's first words that is confirmed, null without one."""
+
+    def of_words(words: Column) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " ")
+        )
+        sure = F.filter(runs, lambda run: F.when(run.rlike(kind.whole), kind.confirm(run)).otherwise(False))
+        return F.try_element_at(sure, F.lit(-1))
+
+    return let(F.split(candidate, r"\x20", -1), of_words)
+
+
+def _apart(found: Column) -> Column:
+    """Spans by start, without those that begin before an earlier one of them ends."""
+
+    def first_ones(spans: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<{SPAN}>").alias("kept"), F.lit(0).cast("bigint").alias("stop"))
+
+        def add(acc: Column, span: Column) -> Column:
+            after = span["start"] >= acc["stop"]
+            return F.struct(
+                F.when(after, F.concat(acc["kept"], F.array(span))).otherwise(acc["kept"]).alias("kept"),
+                F.when(after, span["stop"]).otherwise(acc["stop"]).alias("stop"),
+            )
+
+        # the aggregate copies what it holds at every step, so only where spans do overlap
+        overlap = F.exists(
+            F.sequence(F.lit(2), F.size(spans)),
+            lambda i: F.element_at(spans, i)["start"] < F.element_at(spans, i - 1)["stop"],
+        )
+        many = F.when(F.size(spans) > 1, overlap).otherwise(False)
+        return F.when(many, F.aggregate(spans, start, add)["kept"]).otherwise(spans)
+
+    return let(found, first_ones)
+
+
 def _spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """Confirmed spans of one kind; ends exclusive, in code points."""
 
@@ -182,9 +225,11 @@ def _spans_of(text: Column, kind: Kind, rank: int) -> Column:
                 found, lambda m, i: (F.length(F.element_at(between, i + 1)) + F.length(m)).cast("bigint")
             )
 
-            def scored(m: Column, i: Column, before: Column) -> Column:
+            def scored(m: Column, i: Column, before: Column, own: Column) -> Column:
                 left, right = F.element_at(between, i + 1), F.element_at(between, i + 2)
                 start = before + F.length(left)
+                if kind.whole:  # the rest of the span stands in what follows its match
+                    right = F.substring(right, F.length(own) - F.length(m) + 1, F.length(right))
                 near = F.lower(
                     F.concat_ws(" ", F.right(left, F.lit(CONTEXT_CHARS)), F.left(right, F.lit(CONTEXT_CHARS)))
                 )
@@ -193,18 +238,25 @@ def _spans_of(text: Column, kind: Kind, rank: int) -> Column:
                     start.alias("start"),
                     F.lit(rank).alias("rank"),
                     F.lit(kind.name).alias("kind"),
-                    (start + F.length(m)).alias("stop"),
+                    (start + F.length(own)).alias("stop"),
                     score.alias("score"),
                 )
-                return F.when(kind.confirm(m), span)
+                return F.when(own.isNotNull() if kind.whole else kind.confirm(m), span)
 
             def spans(starts: Column) -> Column:
-                proposed = F.transform(
-                    found, lambda m, i: scored(m, i, F.element_at(starts, i + 1))
-                )
-                return F.filter(
-                    proposed, lambda s: s.isNotNull() & (s["score"] >= kind.least)
-                )
+                if not kind.whole:
+                    proposed = F.transform(found, lambda m, i: scored(m, i, F.element_at(starts, i + 1), m))
+                    return F.filter(proposed, lambda s: s.isNotNull() & (s["score"] >= kind.least))
+
+                def with_runs(runs: Column) -> Column:
+                    proposed = F.transform(
+                        found,
+                        lambda m, i: scored(m, i, F.element_at(starts, i + 1), F.element_at(runs, i + 1)),
+                    )
+                    return _apart(F.filter(proposed, lambda s: s.isNotNull() & (s["score"] >= kind.least)))
+
+                candidates = all_matches(text, kind.pattern, 1)
+                return let(F.transform(candidates, lambda c: _longest_run(c, kind)), with_runs)
 
             return let(_prefix_sums(gaps), spans)
 

@@ -72,6 +72,25 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert found == {0: "iban:5:27", 1: "", 2: "secret:9:41", 3: ""}
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("iban DE89370400440532013000 Please pay", "iban:5:27"),
+        ("iban DE89370400440532013000 BIC COBADEFF", "iban:5:27"),
+        ("iban DE89370400440532013000 I", "iban:5:27"),
+        ("iban DE89370400440532013000 2024", "iban:5:27"),
+        ("iban DE89 3704 0044 0532 0130 00 Please pay", "iban:5:32"),
+        ("DE89370400440532013000 GB82WEST12345698765432 NO9386011117947 X", "iban:0:22,iban:23:45,iban:46:61"),
+        ("AB12CD34EF56GH78 DE89370400440532013000", "iban:17:39"),
+        ("DE89370400440532013000x", ""),
+        ("DE89370400440532013001 Please pay", ""),
+    ],
+)
+def test_account_numbers_before_other_words(spark, text, want):
+    (row,) = pii.pii_digest(cases.frame(spark, [(0, text, None, None, None)])).collect()
+    assert ",".join(s for s in row.spans.split(",") if s.startswith("iban")) == want
+
+
 def test_context_raises_the_score(spark):
     rows = [(0, "my card 4242424242424242", None, None, None), (1, "4242424242424242", None, None, None)]
     scores = {r.doc_id: r.scores[0] for r in pii.pii_digest(cases.frame(spark, rows)).collect()}
