@@ -619,33 +619,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, columns unchanged.
+    """One row of each component, the one with the smallest id, columns unchanged.
 
-    A row that repeats the kept document's id goes too; rows without an id stay only where their
-    whole component has none.
+    Rows are told apart by number, not by id: an id that stands on rows of different texts may stay
+    once for each component.  Of rows with the smallest id the text with the smallest hash stays.
+    Rows without an id stay only where their whole component has none.  Texts without words are
+    linked with nothing, but of rows that repeat both id and text one stays.
     """
-    key = free_name(docs, "kept_id")
-    found = written(jaccard_components(docs), "ngram-components")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col(key)).drop(key).dropDuplicates(["doc_id"])
-    if not found.where("doc_id is null").isEmpty():
-        nameless = docs.where("doc_id is null")
-        alone = _nameless(nameless, docs)
-        named = named.unionByName(alone)
-    return named
-
-
-def _nameless(nameless: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows without an id whose text links with no row that has one."""
-    marks = free_name(docs, "mark")
-    marked = written(nameless.withColumn(marks, F.monotonically_increasing_id()), "nameless")
-    # ids below every real one would name components; so number the nameless after them
-    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top")).first()["top"]
-    numbered = marked.withColumn("doc_id", F.col(marks) + F.lit(top) + 1)
-    everything = docs.where("doc_id is not null").select("doc_id", "text").unionAll(
-        numbered.select("doc_id", "text")
-    )
-    found = jaccard_components(everything).where((F.col("doc_id") > top) & (F.col("component_id") == F.col("doc_id")))
-    own = found.select((F.col("doc_id") - F.lit(top) - 1).alias(f"{marks}_kept"))
-    kept = marked.join(own, F.col(marks) == F.col(f"{marks}_kept"), "left_semi")
-    return kept.drop(marks)
+    mark = free_name(docs, "mark")
+    marked = written(docs.withColumn(mark, F.monotonically_increasing_id()), "marked")
+    found = jaccard_components(marked.select(F.col(mark).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = marked.select(F.col(mark).alias("of_row"), "doc_id", hashed.alias("hash"))
+    wordless = F.col("n_shingles") == 0
+    alike = [
+        F.when(~wordless | F.col("doc_id").isNull(), F.col("component_id")).alias("component"),
+        F.when(wordless, F.col("doc_id")).alias("id"),
+        F.when(wordless & F.col("doc_id").isNotNull(), F.col("hash")).alias("text_hash"),
+    ]
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "row")
+    kept = found.join(rows, F.col("row") == F.col("of_row")).groupBy(*alike).agg(F.min(order).alias("least"))
+    kept = kept.select(F.col("least.row").alias("kept_row"))
+    return marked.join(kept, F.col(mark) == F.col("kept_row"), "left_semi").drop(mark)

@@ -111,3 +111,14 @@ def test_one_of_each_group_stays(spark):
 def test_empty_table(spark):
     assert join.jaccard_components(cases.frame(spark, [])).count() == 0
     assert join.keep_one_each(cases.frame(spark, [])).count() == 0
+
+
+def test_one_id_on_several_texts(spark):
+    a, b, c, d = (f"{x} one two three four five six seven {x}{x}" for x in ("aa", "bb", "cc", "dd"))
+    a, b, c, d = (" ".join(w + t[:2] for w in t.split()) for t in (a, b, c, d))
+    rows = [(7, a), (7, b), (5, c), (5, d), (3, d), (9, c), (5, d), (8, None), (8, ""), (8, a), (None, b), (None, "zz")]
+    docs = cases.frame(spark, [(i, t, "en", "s", 1) for i, t in rows], clashing=True)
+    kept = join.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert left == [(0, "zz"), (3, d), (5, c), (7, a), (7, b), (8, "")]
