@@ -6,7 +6,9 @@ character without a piece as its UTF-8 bytes.  The model's pieces come from merg
 best score first, so its states remember the last piece: an arc from piece to piece is there only if
 merging would leave the two side by side.  Composed with a text it is a lattice; the encoding is the
 lattice's shortest path in the tropical semiring.  By the pair rule just one piece that ends at a
-place has a path to it, so the least weight there is that piece's, and the result is the library's.
+place has a path to it, so the least weight there is that piece's, and the result is the library's:
+no weight needs to be added or compared.  Unigram models are refused, as are normalisers with a
+character map or with removal of extra white space; user-defined pieces are not used.
 
 No piece holds a mark after another character, so a path always passes between a word and the mark
 after it.  The lattice therefore falls apart into words with their leading marks, each distinct word
@@ -348,7 +350,7 @@ def decode(encoded: DataFrame, model: str | None = None, ids: str = "ids", out:
 
 
 def encoding_digest(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, checksum of the ids, total weight, and whether decoding gave the text back."""
+    """doc_id, n_pieces, checksum of the ids, and whether decoding gave the text back."""
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer(model)
