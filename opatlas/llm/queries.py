@@ -13,11 +13,14 @@ from opatlas.llm import (
     language_crf,
     ngram_join,
     packing,
+    periodic_runs,
     pii,
     quality_crf,
     quality_rules,
+    sharding,
     transducer,
     warc,
+    whitening,
 )
 from opatlas.llm.tables import table
 
@@ -70,6 +73,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.language_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detected(table(spark, sf_dir, "documents"), fixture=True)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_pii": op1_pii,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -81,4 +96,7 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sharding": op12_sharding,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
