@@ -114,7 +114,6 @@ NEARBY_NAME = r'(?:name|operationName)\s*[=:]\s*"([A-Za-z_]\w*)"'
 
 # --- cleaning of text taken from scripts --------------------------------------
 
-CONCAT_OPEN = r"\.concat\("
 JOINED_BOTH_SIDES = r'"\s*\+\s*[a-zA-Z_$][a-zA-Z0-9_$.]*(?:\([^)]*\))?\s*\+\s*"'
 JOINED_RIGHT = r'"\s*\+\s*[a-zA-Z_$][a-zA-Z0-9_$.]*(?:\([^)]*\))?\s*'
 JOINED_LEFT = r'(?<!\s)\s*+\+\s*+"'
@@ -164,10 +163,8 @@ TOKEN = (
     r"|-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[{}()\[\]:,!@=|]"
 )
 DEFINITION_WORDS = ["query", "mutation", "subscription", "fragment"]
-VARIABLE_HEADER = (
-    r"\b(query|mutation|subscription)\b\s*([A-Za-z_]\w*)?\s*"
-    r'\(((?:[^()"]++|"(?:[^"\\]++|\\[\s\S])*+"|\([^()]*+\))*+)\)'
-)
+# The text in front of the parenthesis that opens a list of variables.
+VARIABLE_HEADER = r"\b(query|mutation|subscription)\b\s*([A-Za-z_]\w*)?\s*$"
 VARIABLE = r"\$([A-Za-z_]\w*)\s*:\s*([^$,)]+)"
 BUILT_IN_SCALARS = ["Int", "Float", "String", "Boolean", "ID"]
 UNKNOWN = "Unknown"

@@ -8,16 +8,15 @@ from pyspark.sql import functions as F
 from opatlas import fixed_values as V
 from opatlas.functions import text as T
 from opatlas.functions.columns import all_matches, first_match, let
-from opatlas.functions.patterns import BLOCK_LEVELS, balanced
 
 # Forms an extracted item can have, i.e. what its text is and how it has to be read.
 JSON = "json"            # JSON string content
 PLAIN = "plain"          # operation text as it is
 TEMPLATE = "template"    # script template content
-REGION = "region"        # script text from an operation head on
+REGION = "region"        # script text from an operation head to the brace that closes it
 STRING = "string"        # script string content
 QUOTED = "quoted"        # script string content with an operation head
-COMPACT = "compact"      # script text from a compact operation head on
+COMPACT = "compact"      # the same from a compact operation head on
 PERSISTED = "persisted"  # a hash; text is the display snippet
 DOC_ID = "doc_id"        # an id; text is the display snippet
 
@@ -25,8 +24,6 @@ REQUEST_FORMS = [JSON, PLAIN, PERSISTED, DOC_ID]
 ALL_FORMS = [*REQUEST_FORMS, TEMPLATE, REGION, STRING, QUOTED, COMPACT]
 _SCRIPT_FORMS = [TEMPLATE, REGION, STRING, QUOTED, COMPACT]
 
-_BLOCK = balanced("{", "}", BLOCK_LEVELS)
-_CLOSED_REGION = "^" + V.OPERATION_HEAD + _BLOCK + "$"
 _OPERATIONS = "array<struct<operation_type:string,operation_name:string,operation_body:string>>"
 
 
@@ -72,18 +69,6 @@ def operations_in(text: Column, fallback: Column) -> Column:
     return let(T.collapse_spaces(T.drop_comments(text)), read)
 
 
-def _cut_region(text: Column) -> Column:
-    """Operation text without what follows its closing brace.
-
-    Text the extraction pattern already closed is done.  Blocks nested deeper than the
-    pattern, and blocks that never close, take the walk, which has no depth limit.
-    """
-    head = F.regexp_extract(text, "^" + V.OPERATION_HEAD, 0)
-    block = F.substr(text, F.length(head) + 1)
-    walked = F.concat(head, T.cut_at_closing_brace(block))
-    return F.when(text.rlike(_CLOSED_REGION), text).otherwise(walked)
-
-
 def _operations(forms: list[str], form: Column, text: Column, fallback: Column) -> Column:
     """Operations of one item.  The text is prepared, cleaned and read in three bound steps."""
     present = set(forms)
@@ -112,7 +97,6 @@ def _operations(forms: list[str], form: Column, text: Column, fallback: Column)
         [
             ([JSON], T.unescape_json(text)),
             ([STRING, QUOTED], T.unescape_script(text)),
-            ([REGION, COMPACT], _cut_region(text)),
         ],
         text,
     )

@@ -4,13 +4,8 @@ from __future__ import annotations
 
 import re
 
-# Levels a balanced pattern follows.  Deeper blocks take the exact walk in
-# ``opatlas.functions.text.cut_at_closing_brace``.
+# Levels a balanced pattern follows; deeper blocks are cut by ``opatlas.functions.brackets``.
 BLOCK_LEVELS = 16
-# Round and square brackets inside script expressions.
-PAREN_LEVELS = 64
-
-_STRING = r'"(?:[^"\\]++|\\[\s\S])*+"'
 
 
 def balanced(open_: str, close: str, levels: int) -> str:
@@ -28,14 +23,6 @@ def balanced_inner(open_: str, close: str, levels: int) -> str:
     return balanced(open_, close, levels)[len(re.escape(open_)): -len(re.escape(close))]
 
 
-def expression_until(stop: str, levels: int = 24) -> str:
-    """Script expression up to a ``stop`` outside of strings and brackets."""
-    group = r'[(\[](?:[^()\[\]"]++|' + _STRING + r")*+[)\]]"
-    for _ in range(levels - 1):
-        group = r'[(\[](?:[^()\[\]"]++|' + _STRING + "|" + group + r")*+[)\]]"
-    return rf'(?:[^{stop}"()\[\]]++|{_STRING}|{group})*+'
-
-
 def re2(pattern: str) -> str:
     """The same pattern for engines that never backtrack: no possessive marks, no look-behind.
 

@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
+from opatlas.functions import brackets as B
 from opatlas.functions.columns import all_matches, let, replace_all
-from opatlas.functions.patterns import PAREN_LEVELS, balanced_inner
 
 JSON_ESCAPES = [("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")]
 SCRIPT_ESCAPES = [
@@ -19,13 +19,6 @@ SCRIPT_ESCAPES = [
 ]
 CONSTANT_ESCAPES = [("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\'", "'"), ("\\\\", "\\")]
 
-# Arguments up to the matching parenthesis; a call that never closes takes the rest of the
-# text but its last character.
-_ARGUMENTS = (
-    "(?:" + balanced_inner("(", ")", PAREN_LEVELS) + r"(?=\))|[\s\S]*(?=[\s\S]\z))"
-)
-CONCAT_CALL = V.CONCAT_OPEN + "(" + _ARGUMENTS + r")[\s\S]"
-CONCAT_CALL_NO_GROUP = V.CONCAT_OPEN + _ARGUMENTS + r"[\s\S]"
 _AFTER_CLOSING_BRACE = r"(?<=\})"
 
 
@@ -57,16 +50,46 @@ def capitalize(text: Column) -> Column:
 
 
 def flatten_concat(text: Column) -> Column:
-    """Replace every ``.concat(...)`` by the string literals among its arguments."""
-    kept = F.split(text, CONCAT_CALL_NO_GROUP, -1)
-    literals = F.transform(
-        all_matches(text, CONCAT_CALL, 1),
-        lambda args: F.array_join(all_matches(args, '"(' + V.STRING_RUN + ')"', 1), ""),
-    )
-    woven = F.flatten(
-        F.zip_with(kept, literals, lambda k, l: F.array(k, F.coalesce(l, F.lit(""))))
-    )
-    return F.when(text.contains(".concat("), F.array_join(woven, "")).otherwise(text)
+    """Replace every ``.concat(...)`` by the string literals among its arguments.
+
+    Arguments reach to the matching parenthesis, at any depth; a call that never closes takes the
+    rest of the text but its last character.
+    """
+    opening = ".concat("
+
+    def literals(arguments: Column) -> Column:
+        return F.array_join(all_matches(arguments, '"(' + V.STRING_RUN + ')"', 1), "")
+
+    def without_end(own: Column, size: int) -> Column:
+        return F.left(own, F.greatest(F.length(own) - size, F.lit(0)))
+
+    def flat(parts: Column, calls: Column) -> Column:
+        n = F.size(parts)
+
+        def one(call: Column, i: Column) -> Column:
+            last = F.get(calls, i - 1)
+            begin = F.when(i == 0, 0).otherwise(last["stop"] + 1)
+            stop = F.coalesce(call["stop"] + 1, n)
+            # an opening with nothing behind it is no call
+            is_call = call["start"] + 1 < n
+            outside = B.joined(parts, begin, call["start"] + 1)
+            return F.when(
+                is_call,
+                F.concat(
+                    without_end(outside, len(opening)),
+                    let(without_end(B.joined(parts, call["start"] + 1, stop), 1), literals),
+                ),
+            ).otherwise(outside)
+
+        behind = F.coalesce(F.when(F.size(calls) > 0, F.element_at(calls, -1)["stop"] + 1).otherwise(0), n)
+        return F.concat(F.array_join(F.transform(calls, one), ""), B.joined(parts, behind, n))
+
+    def read(parts: Column) -> Column:
+        steps = B.steps_of(parts, "(", ")")
+        calls = B.covered(steps, lambda place: F.get(parts, place).endswith(opening))
+        return let(calls, lambda found: flat(parts, found))
+
+    return F.when(text.contains(opening), let(all_matches(text, B.ROUND_PIECE), read)).otherwise(text)
 
 
 def drop_script_syntax(text: Column) -> Column:
@@ -114,25 +137,6 @@ def trim_after_last_block(text: Column) -> Column:
     return F.when(is_balanced(text), F.regexp_replace(text, r"(?<=\})[^}]*+$", "")).otherwise(text)
 
 
-def cut_at_closing_brace(text: Column) -> Column:
-    """Text up to the brace that closes its first block, at any depth; all of it if none does."""
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("closed")
-    )
-
-    def step(state: Column, piece: Column) -> Column:
-        depth = _depth_after(state["depth"], piece)
-        moved = F.struct(
-            depth.alias("depth"),
-            (state["size"] + F.length(piece)).alias("size"),
-            (piece.endswith("}") & (depth <= 0)).alias("closed"),
-        )
-        return F.when(state["closed"], state).otherwise(moved)
-
-    walked = F.aggregate(F.split(text, _AFTER_CLOSING_BRACE, -1), start, step)
-    return F.left(text, walked["size"])
-
-
 def clean_script_text(text: Column) -> Column:
     """Turn text cut out of a script into operation text."""
     return let(

@@ -7,27 +7,22 @@ on (bundle, name) and gluing the links in order gives the assembled text.  Nothi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
+from opatlas.functions import brackets as B
 from opatlas.functions import classify as C
 from opatlas.functions import text as T
-from opatlas.functions.columns import all_matches, first_match
-from opatlas.functions.patterns import PAREN_LEVELS, balanced_inner, expression_until
+from opatlas.functions.columns import all_matches, first_match, let
 from opatlas.operators.gates import is_inline_fragment, is_operation
+from opatlas.session import materialize
 
-_LITERAL = '"' + V.STRING_RUN_OR_EMPTY + '"'
-_ARGUMENTS = balanced_inner("(", ")", PAREN_LEVELS)
-_LINK = r"\.concat\s*\(" + _ARGUMENTS + r"\)"
-# The look-ahead captures the whole chain and consumes its first literal only, so chains
-# inside the arguments of another chain are found as well.
-CHAIN = "(?=(" + _LITERAL + r"\s*" + _LINK + "(?:" + _LINK + ")*+))" + _LITERAL + r"\s*\.concat\s*\("
+# A chain starts with a literal and a call; only the head is consumed, so chains inside the
+# arguments of another chain are found as well.
+CHAIN_HEAD = '"' + V.STRING_RUN_OR_EMPTY + '"' + r"\s*\.concat\s*\("
 CHAIN_BASE = '^"(' + V.STRING_RUN_OR_EMPTY + ')"'
-LINK_ARGUMENT = r"\.concat\s*\((" + _ARGUMENTS + r")\)"
-CONDITIONAL_VALUES = (
-    "^" + expression_until("?") + r"\?(" + expression_until(":") + r"):([\s\S]*)$"
-)
+NEXT_LINK = r"^\.concat\s*\($"
 
 BASE_LINK = -1
 
@@ -80,16 +75,120 @@ def constant_kinds(table: DataFrame) -> DataFrame:
     return table.withColumn("kind", kind).where("kind is not null")
 
 
-def chains(bundles: DataFrame) -> DataFrame:
-    """Concat chains that start with an operation: (bundle_id, chain_no, chain, base)."""
-    with_calls = bundles.where(F.col("body").contains(".concat"))
-    found = with_calls.select(
-        "bundle_id", F.posexplode(all_matches(F.col("body"), CHAIN, 1)).alias("chain_no", "chain")
+_OPENINGS = "array<struct<level:int,place:int,close:int,chain_no:int,base:string,argument:string>>"
+
+
+def _openings(body: Column) -> Column:
+    """Calls that start a chain of an operation, and calls right behind a closing parenthesis.
+
+    Every piece of the text ends with one parenthesis, so a piece and its bracket share a place.
+    """
+
+    def parentheses(text: Column) -> Column:
+        return F.length(text) - F.length(F.translate(text, "()", ""))
+
+    def operation_heads(heads: Column, between: Column) -> Column:
+        counts = F.transform(heads, lambda h, i: parentheses(F.get(between, i)) + parentheses(h))
+        return let(
+            B.running(counts),
+            lambda upto: F.filter(
+                F.transform(
+                    heads,
+                    lambda h, i: F.struct(
+                        (F.get(upto, i) - 1).alias("place"),
+                        i.alias("chain_no"),
+                        T.replace_all(F.regexp_extract(h, CHAIN_BASE, 1), T.JSON_ESCAPES).alias("base"),
+                    ),
+                ),
+                lambda h: is_operation(h["base"]),
+            ),
+        )
+
+    def opening(parts: Column, found: Column, place: Column, chain_no: Column, base: Column) -> Column:
+        own = F.get(found, place)
+        inside = B.joined(parts, place + 1, own["partner"] + 1)
+        argument = F.when(own["partner"].isNotNull(), F.left(inside, F.length(inside) - 1))
+        return F.struct(own["level"], place, own["partner"], chain_no, base, argument)
+
+    def all_openings(heads: Column, parts: Column, found: Column) -> Column:
+        starts = F.transform(heads, lambda h: opening(parts, found, h["place"], h["chain_no"], h["base"]))
+        calls = F.filter(
+            found,
+            lambda b: (b["partner"] > b["place"])
+            & F.coalesce(F.get(parts, b["place"] - 1).endswith(")"), F.lit(False))
+            & F.get(parts, b["place"]).rlike(NEXT_LINK),
+        )
+        nothing = F.lit(None)
+        links = F.transform(calls, lambda b: opening(parts, found, b["place"], nothing.cast("int"), nothing.cast("string")))
+        return F.concat(starts.cast(_OPENINGS), links.cast(_OPENINGS))
+
+    def read(heads: Column) -> Column:
+        cut = let(
+            all_matches(body, B.ROUND_PIECE),
+            lambda parts: let(B.pairs(B.steps_of(parts, "(", ")")), lambda found: all_openings(heads, parts, found)),
+        )
+        return F.when(F.size(heads) > 0, cut)
+
+    heads = let(
+        all_matches(body, CHAIN_HEAD), lambda h: let(F.split(body, CHAIN_HEAD, -1), lambda b: operation_heads(h, b))
     )
-    found = found.withColumn(
-        "base", T.replace_all(F.regexp_extract("chain", CHAIN_BASE, 1), T.JSON_ESCAPES)
+    return F.when(body.contains(".concat"), let(heads, read))
+
+
+def chain_links(bundles: DataFrame) -> DataFrame:
+    """Links of the concat chains that start with an operation.
+
+    (bundle_id, chain_no, base, link_no, argument).  A chain goes on while a call stands right behind
+    the parenthesis that closes the last one; such calls are neighbours on their level.  The first
+    link is always there; its argument is null where its call never closes.
+    """
+    calls = bundles.select("bundle_id", F.explode(_openings(F.col("body"))).alias("c")).select("bundle_id", "c.*")
+    order = Window.partitionBy("bundle_id", "level").orderBy("place")
+    goes_on = F.col("chain_no").isNull() & (F.lag("close").over(order) == F.col("place") - 1)
+    calls = calls.withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    calls = calls.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chain = Window.partitionBy("bundle_id", "level", "run").orderBy("place")
+    links = calls.select(
+        "bundle_id",
+        F.first("chain_no").over(chain).alias("chain_no"),
+        F.first("base").over(chain).alias("base"),
+        (F.row_number().over(chain) - 1).alias("link_no"),
+        "argument",
     )
-    return found.where(is_operation(F.col("base")))
+    return links.where("chain_no is not null")
+
+
+def conditional_values(argument: Column) -> Column:
+    """Both values of ``condition ? value : value``, as an array; null for anything else.
+
+    The marks are the first ones outside of strings and brackets, nested at any depth.
+    """
+
+    def split_at(tokens: Column, depths: Column) -> Column:
+        def places(mark: str, after: Column) -> Column:
+            outside = F.transform(
+                tokens, lambda t, i: F.when((t == mark) & (F.get(depths, i) == 0) & (i > after), i)
+            )
+            return F.array_min(outside)
+
+        return let(
+            places("?", F.lit(-1)),
+            lambda question: let(
+                F.when(question.isNotNull(), places(":", question)),
+                lambda colon: F.when(
+                    colon.isNotNull(),
+                    F.array(B.joined(tokens, question + 1, colon), B.joined(tokens, colon + 1, F.size(tokens))),
+                ),
+            ),
+        )
+
+    found = let(
+        all_matches(argument, B.EXPRESSION_TOKEN),
+        lambda tokens: let(
+            B.running(B.steps_of(tokens, "([", ")]", whole=True)), lambda depths: split_at(tokens, depths)
+        ),
+    )
+    return F.when(argument.contains("?"), found)
 
 
 def _value(text: Column) -> Column:
@@ -104,29 +203,18 @@ def _value(text: Column) -> Column:
 
 def chain_values(found: DataFrame) -> DataFrame:
     """Candidate values of every link: (bundle_id, chain_no, link_no, branch, literal, name, drop_blank)."""
-    base = F.regexp_extract("chain", CHAIN_BASE, 0)
-    links = found.select(
-        "bundle_id",
-        "chain_no",
-        F.posexplode(
-            all_matches(F.substr("chain", F.length(base) + 1), LINK_ARGUMENT, 1)
-        ).alias("link_no", "argument"),
-    ).withColumn("argument", F.trim("argument"))
     argument = F.col("argument")
-
-    def branch(group: int) -> Column:
-        return _value(F.trim(F.regexp_extract(argument, CONDITIONAL_VALUES, group)))
-
+    links = found.select("bundle_id", "chain_no", "link_no", F.trim("argument").alias("argument")).where("argument is not null")
     is_literal = argument.rlike(V.WHOLE_STRING)
-    is_conditional = ~is_literal & argument.rlike(CONDITIONAL_VALUES)
+    links = links.withColumn("sides", F.when(~is_literal, conditional_values(argument)))
+    sides = F.col("sides")
+    branches = F.transform(sides, lambda side: _value(F.trim(side)))
     values = links.select(
         "bundle_id",
         "chain_no",
         "link_no",
-        (is_literal | is_conditional).alias("drop_blank"),
-        F.posexplode(
-            F.when(is_conditional, F.array(branch(1), branch(2))).otherwise(F.array(_value(argument)))
-        ).alias("branch", "value"),
+        (is_literal | sides.isNotNull()).alias("drop_blank"),
+        F.posexplode(F.coalesce(branches, F.array(_value(argument)))).alias("branch", "value"),
     )
     return values.select(
         "bundle_id", "chain_no", "link_no", "branch",
@@ -140,8 +228,8 @@ def assembled(bundles: DataFrame, table: DataFrame) -> DataFrame:
     The base literal takes part as a link of its own, so a chain whose links all stay
     unknown still keeps its base.
     """
-    found = chains(bundles)
-    bases = found.select(
+    found = materialize(chain_links(bundles))
+    bases = found.where("link_no = 0").select(
         "bundle_id", "chain_no", F.lit(BASE_LINK).alias("link_no"), F.lit(0).alias("branch"),
         F.col("base").alias("literal"), F.lit(None).cast("string").alias("name"),
         F.lit(False).alias("drop_blank"),

@@ -36,10 +36,9 @@ def typed_selections(bodies: DataFrame) -> DataFrame:
     type_name is null at the root of an operation; owner_type and owner name the field that
     leads to the type.
     """
-    rows = tokens.selections(bodies).join(bodies.select("op_id", "first_order", "first_ord"), "op_id")
     path = F.col("path")
     outer = without_last(path)
-    return rows.select(
+    return tokens.selections(bodies).select(
         "*",
         _type_at(path).alias("type_name"),
         F.when(F.size(path) > 0, _type_at(outer)).alias("owner_type"),

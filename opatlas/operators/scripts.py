@@ -11,29 +11,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
+from opatlas.functions import brackets as B
 from opatlas.functions import classify as C
 from opatlas.functions.columns import all_matches, contains_any, first_match, in_order, let
 from opatlas.functions.patterns import BLOCK_LEVELS, balanced
 from opatlas.session import materialize
 
-# An operation from its head to the brace that closes it.  Where the block is nested deeper
-# than the pattern, or never closes, the text up to the next head is taken and cut later on.
-# The look-ahead captures the whole operation and consumes the head only, so that operations
-# inside of it are found as well.
+# Operations are cut from their head to the brace that closes them; only the head is consumed, so
+# operations inside of them are found as well.  (head, what it consumes from the opening brace on)
+OPERATION_HEADS = {"raw": (V.OPERATION_HEAD, r"\{"), "compact": (V.COMPACT_HEAD, V.COMPACT_BLOCK)}
 _BLOCK = balanced("{", "}", BLOCK_LEVELS)
-_NEXT_HEAD = r"(?=" + V.OPERATION_HEAD + r"\{|\z)"
-_REST = r"(?:" + _BLOCK + r"|\{[\s\S]*?" + _NEXT_HEAD + ")"
-RAW_OPERATION = "(?=(" + V.OPERATION_HEAD + _REST + "))" + V.OPERATION_HEAD + r"\{"
-COMPACT_OPERATION = "(?=(" + V.COMPACT_HEAD + _REST + "))" + V.COMPACT_HEAD + V.COMPACT_BLOCK
 
 # Extractors in the order their findings arrive: name -> (source, form, pattern, group).
 PATTERN_EXTRACTORS = {
     "tagged": ("JS_FILE", C.TEMPLATE, V.TAGGED_TEMPLATE, 1),
-    "raw": ("JS_FILE", C.REGION, RAW_OPERATION, 1),
+    "raw": ("JS_FILE", C.REGION, V.OPERATION_HEAD, 0),
     "hash": ("JS_FILE", C.PERSISTED, V.JSON_SHA256_HASH, 1),
     "property": ("MINIFIED_JS", C.STRING, V.PROPERTY_STRING, 1),
     "quoted": ("MINIFIED_JS", C.QUOTED, V.QUOTED_OPERATION, 1),
-    "compact": ("MINIFIED_JS", C.COMPACT, COMPACT_OPERATION, 1),
+    "compact": ("MINIFIED_JS", C.COMPACT, V.COMPACT_HEAD, 0),
     "query_field": ("MINIFIED_JS", C.STRING, V.QUERY_FIELD, 1),
     "body_field": ("MINIFIED_JS", C.STRING, V.BODY_FIELD, 1),
     "text_field": ("MINIFIED_JS", C.STRING, V.TEXT_FIELD, 1),
@@ -113,7 +109,11 @@ def distinct_bundles(scripts: DataFrame) -> DataFrame:
 
 def _matches(name: str, body: Column) -> Column:
     _, _, pattern, group = PATTERN_EXTRACTORS[name]
-    found = all_matches(body, pattern, group)
+    if name in OPERATION_HEADS:
+        head, consumed = OPERATION_HEADS[name]
+        found = B.blocks_behind(body, head, consumed, _BLOCK)
+    else:
+        found = all_matches(body, pattern, group)
     nothing = F.array().cast("array<string>")
     if name in CONTEXT:
         # Text between matches: piece i stands before match i, piece i + 1 after it.

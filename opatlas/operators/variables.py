@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas import fixed_values as V
+from opatlas.functions import brackets as B
 from opatlas.functions.columns import all_matches, let
 
 _HEADERS = "array<struct<operation_type:string,operation_name:string,block:string>>"
@@ -20,10 +21,27 @@ def with_text(found: DataFrame) -> DataFrame:
 
 
 def headers(body: Column) -> Column:
-    """Type, name and variable block of every operation header in a document."""
-    return F.arrays_zip(
-        *[all_matches(body, V.VARIABLE_HEADER, group) for group in (1, 2, 3)]
-    ).cast(_HEADERS)
+    """Type, name and variable block of every operation header in a document.
+
+    The block reaches to the parenthesis that closes it, outside of strings and at any depth.
+    """
+
+    def read(tokens: Column) -> Column:
+        def starts(place: Column) -> Column:
+            return F.coalesce(F.get(tokens, place - 1).rlike(V.VARIABLE_HEADER), F.lit(False))
+
+        def one(block: Column) -> Column:
+            before = F.get(tokens, block["start"] - 1)
+            return F.struct(
+                F.regexp_extract(before, V.VARIABLE_HEADER, 1),
+                F.regexp_extract(before, V.VARIABLE_HEADER, 2),
+                B.joined(tokens, block["start"] + 1, block["stop"]),
+            )
+
+        return F.transform(B.covered(B.steps_of(tokens, "(", ")", whole=True), starts, closed=True), one).cast(_HEADERS)
+
+    nothing = F.array().cast(_HEADERS)
+    return F.when(body.contains("("), let(all_matches(body, B.ROUND_TOKEN), read)).otherwise(nothing)
 
 
 def declared_type(text: Column) -> Column:
@@ -32,6 +50,8 @@ def declared_type(text: Column) -> Column:
 
 
 def variables_in(block: Column) -> Column:
+    """Names and type texts; strings, which only defaults hold, are emptied first."""
+    block = F.regexp_replace(block, B.STRING_TOKEN, '""')
     return F.arrays_zip(
         all_matches(block, V.VARIABLE, 1), all_matches(block, V.VARIABLE, 2)
     ).cast(_VARIABLES)

@@ -9,7 +9,7 @@ in their RE2 form.
 from __future__ import annotations
 
 from opatlas import fixed_values as V
-from opatlas.functions.patterns import balanced, balanced_inner, re2
+from opatlas.functions.patterns import balanced, re2
 from opatlas.operators import schema
 from opatlas.plans.queries import STORED_UNTIL
 from opatlas.sources import derived
@@ -225,9 +225,6 @@ WS_OPS = ",\n".join([WS, WS_ITEMS, classified("ws_in", "ws_ops", _CAPTURE_KEYS)]
 
 # --- cleaning -------------------------------------------------------------------
 
-_ARGUMENTS = balanced_inner("(", ")", _LEVELS)
-_CALL = V.CONCAT_OPEN + "(" + _ARGUMENTS + r")\)"
-_CALL_NO_GROUP = V.CONCAT_OPEN + _ARGUMENTS + r"\)"
 _LITERAL = '"(' + V.STRING_RUN + ')"'
 _BLOCK = balanced("{", "}", _LEVELS)
 _TOKEN = (
@@ -240,20 +237,33 @@ def _literals(text: str) -> str:
     return f"array_to_string({every(text, _LITERAL, 1)}, '')"
 
 
+def fold(items: str, start: str, cell: str, step: str) -> str:
+    """Walk over a list: ``a`` is the state so far, ``x`` the next item ``t`` as a cell of the state's type."""
+    return f"list_reduce(list_concat([{start}], list_transform({items}, lambda t: {cell})), lambda a, x: {step})"
+
+
+_PARENTHESES = "regexp_extract_all({}, '[^()]*[()]|[^()]+')"
+_STEP = "CASE WHEN ends_with(x.piece, '(') THEN 1 WHEN ends_with(x.piece, ')') THEN -1 ELSE 0 END"
+_LESS_ONE = "left({0}, length({0}) - 1)"
+
+
 def flattened(text: str) -> str:
-    """Closed calls first, then a call that stays open takes the rest of the text."""
-    pieces = f"regexp_split_to_array({text}, {p(_CALL_NO_GROUP)})"
-    literals = f"list_transform({every(text, _CALL, 1)}, lambda a: {_literals('a')})"
-    closed = (
-        f"array_to_string(list_transform(list_zip({pieces}, {literals}),"
-        " lambda z: z[1] || coalesce(z[2], '')), '')"
+    """A walk over the parentheses; a call that stays open takes the rest of the text."""
+    walked = fold(
+        _PARENTHESES.format(text),
+        "{'depth': 0, 'done': '', 'args': '', 'piece': ''}",
+        "{'depth': 0, 'done': '', 'args': '', 'piece': t}",
+        f"""CASE
+      WHEN a.depth = 0 AND ends_with(x.piece, '.concat(')
+        THEN {{'depth': 1, 'done': a.done || left(x.piece, length(x.piece) - 8), 'args': '', 'piece': ''}}
+      WHEN a.depth = 0 THEN {{'depth': 0, 'done': a.done || x.piece, 'args': '', 'piece': ''}}
+      WHEN a.depth + {_STEP} = 0
+        THEN {{'depth': 0, 'done': a.done || {_literals("(a.args || left(x.piece, length(x.piece) - 1))")}, 'args': '', 'piece': ''}}
+      ELSE {{'depth': a.depth + {_STEP}, 'done': a.done, 'args': a.args || x.piece, 'piece': ''}} END""",
     )
-    open_ = re2(r"\.concat\(([\s\S]*)[\s\S]$")
-    rest = f"regexp_extract(k, {q(open_)}, 1)"
-    cut = f"regexp_replace(k, {q(open_)}, '')"
     return (
-        f"list_transform([{closed}], lambda k: CASE WHEN regexp_matches(k, {q(open_)})"
-        f" THEN {cut} || {_literals(rest)} ELSE k END)[1]"
+        f"list_transform([{walked}], lambda r: r.done || CASE WHEN r.depth = 0 THEN '' WHEN r.args = '' THEN '.concat('"
+        f" ELSE {_literals(_LESS_ONE.format('r.args'))} END)[1]"
     )
 
 
@@ -380,41 +390,58 @@ constants AS (
   SELECT bundle_id, body, name, value FROM assigned
   QUALIFY row_number() OVER (PARTITION BY bundle_id, name ORDER BY pass DESC, pos DESC) = 1)"""
 
-_STRING = '"' + V.STRING_RUN_OR_EMPTY + '"'
-_LINK = r"\.concat\s*\(" + _ARGUMENTS + r"\)"
-_CHAIN = _STRING + r"\s*" + _LINK + "(?:" + _LINK + ")*"
-# Conditions in the derived scripts hold at most one pair of brackets.
-_CONDITION = r'^(?:[^?"()\[\]]|"(?:[^"\\]|\\[\s\S])*"|\([^()]*\))*\?'
-_BRANCHES = _CONDITION + r'((?:[^:"()\[\]]|"(?:[^"\\]|\\[\s\S])*")*):([\s\S]*)$'
-
-
-def _branch(group: int) -> str:
-    return f"trim(regexp_extract(argument, {q(_BRANCHES)}, {group}))"
-
-
-CHAINS = f"""chains AS (
-  SELECT bundle_id, u.no AS chain_no, u.chain,
-         regexp_extract(u.chain, {p('^' + _STRING)}, 0) AS head
-  FROM bundles, unnest({every('body', _CHAIN)}) WITH ORDINALITY AS u(chain, no)),
-bases AS (
-  SELECT *, {_replace("substr(head, 2, length(head) - 2)", _UNESCAPE_JSON)} AS base FROM chains),
-op_chains AS (SELECT * FROM bases WHERE {_is_operation('base')}),
+_HEAD = '"' + V.STRING_RUN_OR_EMPTY + '"' + r"\s*\.concat\s*\("
+_BASE = f"regexp_extract(u.head, {p('^' + chr(34) + '(' + V.STRING_RUN_OR_EMPTY + ')' + chr(34))}, 1)"
+# From a head on: calls that follow each other, their arguments up to the closing parenthesis.
+_LINKS = fold(
+    _PARENTHESES.format("behind"),
+    "{'depth': 1, 'args': '', 'links': []::VARCHAR[], 'over': false, 'piece': ''}",
+    "{'depth': 0, 'args': '', 'links': []::VARCHAR[], 'over': false, 'piece': t}",
+    f"""CASE
+      WHEN a.over THEN a
+      WHEN a.depth = 0 THEN {{'depth': 1, 'args': '', 'links': a.links, 'over': NOT regexp_matches(x.piece, {p(r'^\.concat\s*\($')}), 'piece': ''}}
+      WHEN a.depth + {_STEP} = 0
+        THEN {{'depth': 0, 'args': '', 'links': list_append(a.links, a.args || {_LESS_ONE.format('x.piece')}), 'over': false, 'piece': ''}}
+      ELSE {{'depth': a.depth + {_STEP}, 'args': a.args || x.piece, 'links': a.links, 'over': false, 'piece': ''}} END""",
+)
+# Stage 1 begins behind the first ? outside of strings and brackets, stage 2 behind the next such colon.
+_SPLIT = fold(
+    "regexp_extract_all(argument, '\"(?:[^\"\\\\]|\\\\[\\s\\S])*\"|[()\\[\\]?:]|[^()\\[\\]?:\"]+')",
+    "{'depth': 0, 'stage': 0, 'yes': '', 'no': '', 't': ''}",
+    "{'depth': 0, 'stage': 0, 'yes': '', 'no': '', 't': t}",
+    """CASE
+      WHEN a.depth = 0 AND ((a.stage = 0 AND x.t = '?') OR (a.stage = 1 AND x.t = ':'))
+        THEN {'depth': 0, 'stage': a.stage + 1, 'yes': a.yes, 'no': a.no, 't': ''}
+      ELSE {'depth': a.depth + CASE WHEN x.t IN ('(', '[') THEN 1 WHEN x.t IN (')', ']') THEN -1 ELSE 0 END, 'stage': a.stage,
+            'yes': CASE WHEN a.stage = 1 THEN a.yes || x.t ELSE a.yes END,
+            'no': CASE WHEN a.stage = 2 THEN a.no || x.t ELSE a.no END, 't': ''} END""",
+)
+_IS_STRING = f"regexp_matches(argument, {p(V.WHOLE_STRING)})"
+
+
+CHAINS = f"""chain_texts AS (
+  SELECT bundle_id, body, {every('body', _HEAD)} AS heads, regexp_split_to_array(body, {p(_HEAD)}) AS between
+  FROM bundles WHERE contains(body, '.concat')),
+chain_heads AS (
+  SELECT bundle_id, u.no AS chain_no, {_replace(_BASE, _UNESCAPE_JSON)} AS base,
+         substr(body, 1 + CAST(list_sum(list_transform(list_concat(heads[:u.no], between[:u.no]), lambda h: length(h))) AS BIGINT)) AS behind
+  FROM chain_texts, unnest(heads) WITH ORDINALITY AS u(head, no)),
+op_chains AS (
+  SELECT bundle_id, chain_no, base, {_LINKS}.links AS args FROM chain_heads WHERE {_is_operation('base')}),
+split_links AS (
+  SELECT *, {_SPLIT} AS sides
+  FROM (SELECT bundle_id, chain_no, u.no AS link_no, trim(u.argument) AS argument
+        FROM op_chains, unnest(args) WITH ORDINALITY AS u(argument, no))),
 links AS (
-  SELECT bundle_id, chain_no, u.no AS link_no, trim(u.argument) AS argument
-  FROM op_chains,
-       unnest({every("substr(chain, length(head) + 1)", chr(92) + ".concat" + chr(92) + "s*" + chr(92) + "((" + _ARGUMENTS + ")" + chr(92) + ")", 1)})
-       WITH ORDINALITY AS u(argument, no)),
+  SELECT *, {_IS_STRING} AS is_string, NOT {_IS_STRING} AND sides.stage = 2 AS is_conditional FROM split_links),
 candidates AS (
   SELECT bundle_id, chain_no, 0 AS link_no, 0 AS branch, '"' || base || '"' AS expr, false AS drop_blank, true AS is_base FROM op_chains
   UNION ALL
-  SELECT bundle_id, chain_no, link_no, 0, argument, regexp_matches(argument, {p(V.WHOLE_STRING)}), false FROM links
-  WHERE regexp_matches(argument, {p(V.WHOLE_STRING)}) OR NOT regexp_matches(argument, {q(_BRANCHES)})
+  SELECT bundle_id, chain_no, link_no, 0, argument, is_string, false FROM links WHERE NOT is_conditional
   UNION ALL
-  SELECT bundle_id, chain_no, link_no, 1, {_branch(1)}, true, false FROM links
-  WHERE NOT regexp_matches(argument, {p(V.WHOLE_STRING)}) AND regexp_matches(argument, {q(_BRANCHES)})
+  SELECT bundle_id, chain_no, link_no, 1, trim(sides.yes), true, false FROM links WHERE is_conditional
   UNION ALL
-  SELECT bundle_id, chain_no, link_no, 2, {_branch(2)}, true, false FROM links
-  WHERE NOT regexp_matches(argument, {p(V.WHOLE_STRING)}) AND regexp_matches(argument, {q(_BRANCHES)})),
+  SELECT bundle_id, chain_no, link_no, 2, trim(sides.no), true, false FROM links WHERE is_conditional),
 resolved AS (
   SELECT c.bundle_id, chain_no, link_no, branch, drop_blank,
          CASE WHEN is_base THEN substr(expr, 2, length(expr) - 2)
@@ -622,7 +649,19 @@ roots AS (
         WHERE kind = 'field' AND type_name IS NULL AND NOT is_meta GROUP BY def_type, name) r
   LEFT JOIN types t ON t.type_name = {capital('r.field')} || '_Response' AND t.n_uses > 0)"""
 
-_HEADERS = f"list_zip({every('body', V.VARIABLE_HEADER, 1)}, {every('body', V.VARIABLE_HEADER, 2)}, {every('body', V.VARIABLE_HEADER, 3)})"
+_QUOTED = r'"(?:[^"\\]|\\[\s\S])*"'
+
+
+def _arguments(levels: int) -> str:
+    """What stands in parentheses, nested so deep; strings count as one."""
+    inner = r'(?:[^()"]|' + _QUOTED + ")*"
+    for _ in range(levels):
+        inner = r'(?:[^()"]|' + _QUOTED + r"|\(" + inner + r"\))*"
+    return inner
+
+
+_HEADER = r"\b(query|mutation|subscription)\b\s*([A-Za-z_]\w*)?\s*\((" + _arguments(5) + r")\)"
+_HEADERS = "list_zip(" + ", ".join(every("body", _HEADER, group) for group in (1, 2, 3)) + ")"
 
 
 def _declared(text: str) -> str:
@@ -634,7 +673,8 @@ def _base(text: str) -> str:
 
 
 def _variables(block: str) -> str:
-    return f"list_zip({every(block, V.VARIABLE, 1)}, {every(block, V.VARIABLE, 2)})"
+    emptied = f"regexp_replace({block}, {q(_QUOTED)}, '\"\"', 'g')"
+    return f"list_zip({every(emptied, V.VARIABLE, 1)}, {every(emptied, V.VARIABLE, 2)})"
 
 
 ARGS = f"""decls AS (

@@ -17,7 +17,7 @@ EVENT_TEMPLATES = [
     # (method, path, request body)
     ("POST", "/graphql",
      '{"operationName":"Get<Et>","query":"query Get<Et>($id: ID!, $n: Int) { <et>(id: $id, first: $n) '
-     '{ id name owner { id } } }","variables":{"id":"<u>"}}'),
+     '{ id name owner { id } } }","variables":{"id":"<u>","props":"<o>"}}'),
     ("POST", "/graphql",
      '{"operationName":"Save<Et>","query":"mutation Save<Et>($input: Save<Et>Input!) '
      '{ save<Et>(input: $input, dry: false) { ok <et> { id } } }","variables":{}}'),
@@ -44,6 +44,10 @@ EVENT_TEMPLATES = [
      '{"operationName":"Two<Et>","first":{"sha256Hash":"<h>"},"doc_id":"7<u>","next":{"sha256Hash":'
      '"00000000000000000000000000000000000000000000000000000000000000ab","doc_id":"8<u>"}}'),
     ("GET", "/graphql?query=%7B%20a<et>%20%7B%20id%20%7D%20%7D&query=query%20More<Et>%20%7B%20b%20%7D", ""),
+    ("POST", "/graphql",
+     '{"operationName":"Deep<Et>","query":"query Deep<Et>($f: Filter = {a: [1, {b: 2}], s: \\"(x $q: Y\\"}, '
+     '$n: Int @max(of: f(g(h(\\")\\")))), $l: [Item!]! = []) { deep<Et>(filter: $f, n: $n) { a { b } } }",'
+     '"variables":{"n":"<v>"}}'),
 ]
 
 PAGE_TEMPLATES = [
@@ -65,25 +69,37 @@ PAGE_TEMPLATES = [
      "function plain<p>(){return 42*<p>;}/* nothing of interest here */"),
     ("text/html", "<script>const Q=gql`query Html<p> { page { id } }`;</script>"),
     ("text/javascript", 'var o="query ",k=" { z }";var s="query Late<p> { z }".concat(k);u="query S<p>{q}";'),
+    # only assembly gives this operation its selection; the condition is nested 70 deep
+    ("text/javascript",
+     'var w=" { made<p> { id } }";r("query Made<p>".concat(n(' + "(" * 70 + "x" + ")" * 70 + ')?w:"").concat(" "));'),
+    ("application/javascript",
+     'f("query Flat<p> { a ".concat(' + "(" * 1000 + '" kept "' + ")" * 1000 + ').concat(" }"));'),
 ]
 
 MESSAGE_TEMPLATES = [
     '{"id":"<c>","type":"subscribe","payload":{"operationName":"OnMsg<c>","query":"subscription '
-    'OnMsg<c>($room: ID!) { message(room: $room) { id text } }"}}',
-    '{"type":"start","payload":{"query":"subscription { tick { at } }","operationName":"Tick"}}',
+    'OnMsg<c>($room: ID!) { message(room: $room) { id text } }","variables":{"text":"<m>"}}}',
+    '{"type":"start","payload":{"query":"subscription { tick { at } }","operationName":"Tick","extensions":{"note":"<m>"}}}',
     '{"type":"start","payload":{"operationName":"Pq<c>","extensions":{"persistedQuery":'
     '{"sha256Hash":"<h>"}}}}',
-    '{"type":"ping"}',
+    '{"type":"ping","note":"<m>"}',
 ]
 
-# Pages of one thousand share their scripts' addresses and names, but not their texts.
-SCRIPT_ID = "page_id % 1000"
+SCRIPT_ID = "page_id"
 PAGE_ID_BASE = 1_000_000_000
 MESSAGE_ID_BASE = 2_000_000_000
 DERIVED_START = "2024-01-01 00:00:00"
 
 # The marks the templates use; anything else in angle brackets is text.
-_MARK = re.compile(r"(<(?:et|Et|u|p|c|h)>)")
+_MARK = re.compile(r"(<(?:et|Et|u|v|o|p|c|m|h)>)")
+
+
+def _in_json(text: str) -> str:
+    """SQL text of a column's text as the inside of a JSON string."""
+    text = f"replace(coalesce({text}, ''), chr(92), concat(chr(92), chr(92)))"
+    for character, letter in (("chr(34)", "chr(34)"), ("chr(10)", "'n'"), ("chr(13)", "'r'"), ("chr(9)", "'t'")):
+        text = f"replace({text}, {character}, concat(chr(92), {letter}))"
+    return text
 
 
 def _fill(template: str, marks: dict[str, str], literal: Callable[[str], str]) -> str:
@@ -108,6 +124,8 @@ def api_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
         "et": "event_type",
         "Et": "concat(upper(left(event_type, 1)), substr(event_type, 2))",
         "u": "cast(user_id as varchar(20))",
+        "v": "coalesce(cast(cast(value as decimal(18,2)) as varchar(20)), '')",
+        "o": _in_json("props"),
         "h": sha256.format("event_type"),
     }
     key = f"event_id % {len(EVENT_TEMPLATES)}"
@@ -136,7 +154,7 @@ def script_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]
 def message_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
     """SQL text of the payload, in terms of the ``conversations`` columns."""
     conversation = "cast(conv_id as varchar(20))"
-    marks = {"c": conversation, "h": sha256.format(conversation)}
+    marks = {"c": conversation, "m": _in_json("text"), "h": sha256.format(conversation)}
     key = f"conv_id % {len(MESSAGE_TEMPLATES)}"
     return {"payload": _pick(key, MESSAGE_TEMPLATES, marks, literal)}
 

@@ -7,6 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from opatlas import fixed_values as V
+from opatlas.functions import brackets as B
 from opatlas.functions import text as T
 from opatlas.functions.patterns import BLOCK_LEVELS, balanced
 from opatlas.operators import constants, tokens
@@ -37,14 +39,18 @@ def test_balance(spark):
     assert apply(spark, T.is_balanced, texts) == want
 
 
-def test_cut_at_closing_brace(spark):
+@pytest.mark.parametrize("simple", [balanced("{", "}", BLOCK_LEVELS), balanced("{", "}", 1)])
+def test_cut_at_closing_brace(spark, simple):
     texts = ["{" + t for t in random_texts("{}{}ab")]
 
     def cut(text):
         d = depths(text)
         return text[: d.index(0) + 1] if 0 in d else text
 
-    assert apply(spark, T.cut_at_closing_brace, texts) == [cut(t) for t in texts]
+    def blocks(text):
+        return B.blocks_behind(F.concat(F.lit("x query A "), text), V.OPERATION_HEAD, r"\{", simple)
+
+    assert apply(spark, blocks, texts) == [["query A " + cut(t)] for t in texts]
 
 
 def test_balanced_pattern_agrees_with_the_walk(spark):
@@ -112,16 +118,10 @@ def test_conditional_split(spark):
         return None if colon < 0 else (text[question + 1 : colon], text[colon + 1 :])
 
     random.seed(4)
-    # Brackets and quotes come in pairs: a script that parses has no others.
-    pieces = ["?", ":", "(x)", "[y]", "(a?b:c)", '"q?"', "f", " "]
-    texts = ["".join(random.choice(pieces) for _ in range(random.randrange(9))) for _ in range(500)]
-    got = list(
-        zip(
-            *[apply(spark, lambda t, g=g: F.regexp_extract(t, constants.CONDITIONAL_VALUES, g), texts) for g in (1, 2)],
-            strict=True,
-        )
-    )
-    assert got == [split(t) or ("", "") for t in texts]
+    pieces = ["?", ":", "(x)", "[y]", "(a?b:c)", '"q?"', "f", " ", "(", ")", "[", '"']
+    texts = ["".join(random.choice(pieces) for _ in range(random.randrange(9))) for _ in range(800)]
+    got = [v and tuple(v) for v in apply(spark, constants.conditional_values, texts)]
+    assert got == [split(t) for t in texts]
 
 
 def test_balanced_operations_close_at_depth_zero(spark):

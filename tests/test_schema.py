@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+import time
+
 from opatlas.operators import schema, tokens, variables
 from opatlas.session import new_shared_path
 
@@ -173,3 +177,79 @@ def test_schema_text(spark):
 def test_findings_without_operation_text_give_only_the_preamble(spark):
     df = found(spark, ("doc_id", "D", "doc_id: 1"))
     assert [r.line for r in schema.schema_lines(df).orderBy("line_no").collect()] == schema.PREAMBLE
+
+
+def plain_selections(body):
+    """(kind, path, name, alias) by a walk with a stack."""
+    tokens_ = re.findall(r'"[^"]*"|\.\.\.|[$]?\w+|[{}():@]', body)
+    stack, last, out, i, paren, started = [], None, [], 0, 0, False
+    for i, t in enumerate(tokens_):
+        after = tokens_[i + 1] if i + 1 < len(tokens_) else ""
+        if t == "(":
+            paren += 1
+        elif t == ")":
+            paren -= 1
+        elif paren:
+            if after == ":" and stack:
+                out.append(("argument", tuple(stack[1:]), last, t))
+        elif t == "{":
+            stack.append(last if stack else "")
+        elif t == "}":
+            stack.pop()
+        elif t == "...":
+            last = ""
+        elif stack and re.match("[A-Za-z_]", t) and after != ":":
+            if tokens_[i - 1] in ("...", "@") or (tokens_[i - 1] == "on" and tokens_[i - 2] == "..."):
+                continue
+            out.append(("field", tuple(stack[1:]), t, tokens_[i - 2] if tokens_[i - 1] == ":" else None))
+            last = t
+    return sorted((k, p, n, a or "") for k, p, n, a in out if "" not in p and n != "")
+
+
+def random_operation(rng, depth):
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.random()
+        if kind < 0.15:
+            out.append("... on T { " + random_operation(rng, depth - 1) + " }" if depth else "...Bits")
+            continue
+        name = rng.choice("abcdef") + ("(x: 1, y: $v)" if kind > 0.8 else "")
+        out.append(("z: " if kind > 0.9 else "") + name + (" { " + random_operation(rng, depth - 1) + " }" if depth and kind < 0.7 else ""))
+    return " ".join(out)
+
+
+def test_owners_equal_a_walk_with_a_stack(spark):
+    rng = random.Random(6)
+    bodies = ["query A { " + random_operation(rng, rng.randint(0, 6)) + " }" for _ in range(60)]
+    df = typed(spark, *bodies)
+    rows = tokens.selections(df).join(df.select("op_id", "body"), "op_id").collect()
+    got = {body: [] for body in bodies}
+    for r in rows:
+        got[r.body].append((r.kind, tuple(r.path), r.name, r.alias or ""))
+    for body in bodies:
+        assert sorted(got[body]) == plain_selections(body), body
+
+
+def test_owners_take_time_in_proportion_to_the_fields(spark):
+    def seconds(n):
+        body = "{ " + " ".join(f"f{i}(a: {i})" + (" { x y }" if i % 4 == 0 else "") for i in range(n // 2)) + " }"
+        df = typed(spark, body)
+        start = time.perf_counter()
+        assert tokens.selections(df).count() == n // 2 * 2 + (n // 2 + 3) // 4 * 2
+        return time.perf_counter() - start
+
+    seconds(100)
+    small = max(seconds(4_000), 1.0)
+    assert seconds(32_000) < 10 * small
+
+
+def test_texts_move_before_they_are_tokens(spark):
+    df = spark.read.parquet(_stored(spark, typed(spark, "{ a { b } }")))
+    plan = tokens.selections(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+
+
+def _stored(spark, df):
+    path = new_shared_path(spark, "bodies")
+    df.write.parquet(path)
+    return path
