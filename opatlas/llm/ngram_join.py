@@ -10,12 +10,14 @@ blocks; overlap counts accumulate inside a block, and pairs whose sizes rule the
    link inside a family is found.  A task returns a spanning forest of the links, never all pairs.
 3. Links between nodes that meet in no family are found by an exact prefix filter: two sets of
    the wanted similarity share one of their first n - ceil(n * similarity) + 1 n-grams in any
-   fixed order.  The order puts n-grams seen often last.  The product of this smaller matrix
-   accumulates how many of them a pair shares; pairs are discarded that share too few for their
-   sizes, that are already connected, or that met in a family.  Long columns are cut into blocks
-   and list only pairs that are apart.
-4. The remaining candidates are checked against their whole sets, and all links are contracted
-   to components.
+   fixed order.  The order puts n-grams seen often last.  A pair is listed only where the shared
+   n-gram may be the first one that both have: nothing before it is shared then, so what is left of
+   either set behind it bounds their overlap, and that has to reach the overlap their sizes ask
+   for.  Texts that share a common passage but begin with n-grams of their own are never listed.
+   Pairs already connected, or met in a family, are discarded as well.  Long columns are cut into
+   blocks.
+4. The remaining candidates are checked: the overlap of their whole sets is counted, and all links
+   are contracted to components.
 
 The result is the same whatever the families, the order and the block sizes are.
 
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opatlas.llm.components import components
@@ -174,6 +176,14 @@ def _sizes_allow(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return bottom * np.minimum(n, m) >= top * np.maximum(n, m)
 
 
+def _may_be_first(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the first n-gram that linked sets share can stand at places i and j of their orders.
+
+    Sets that share nothing before share at most what is left of the shorter rest.
+    """
+    return np.minimum(n - i, m - j) >= _required(n, m)
+
+
 class _Forest:
     """Union-find over places 0..n-1."""
 
@@ -334,10 +344,10 @@ def _family_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Entries of columns that several nodes share: (gram, node, n, at), and overlap counts.
+    """Entries of columns that several nodes share: (gram, node, n, at).
 
-    A row with ``other`` is a pair: ``n`` and ``at`` are its nodes' sizes, ``times`` the number of
-    short columns of one task that it shares.  The rest are entries of long columns.
+    A row with ``other`` is a pair of a short column; ``gram``, ``n`` and ``at`` are 0.  The rest are
+    entries of long columns.
     """
     seen = rows.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
     often = most_frequent(seen, "seen", FREQUENT).collect()  # FREQUENT numbers at most
@@ -386,18 +396,16 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
         def packed(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             return tuple(rows.column(c).to_numpy() for c in ("gram", "node", "n", "at"))
 
-        def out(gram, node, n, at, other=None, times=None) -> pa.RecordBatch:
-            none = pa.nulls(len(gram), pa.int64())
+        def out(gram, node, n, at, other=None) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(gram, pa.int64()),
                     pa.array(node, pa.int64()),
                     pa.array(n, pa.int32()),
                     pa.array(at, pa.int32()),
-                    none if other is None else pa.array(other, pa.int64()),
-                    none if times is None else pa.array(times, pa.int64()),
+                    pa.nulls(len(gram), pa.int64()) if other is None else pa.array(other, pa.int64()),
                 ],
-                ["gram", "node", "n", "at", "other", "times"],
+                ["gram", "node", "n", "at", "other"],
             )
 
         held: pa.RecordBatch | None = None  # the last column, as far as it came; short
@@ -443,11 +451,11 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
     schema = "gram bigint, node bigint, n int, at int"
     matrix = docs.select("text").mapInArrow(entries, schema)
     matrix = matrix.repartition("gram").sortWithinPartitions("gram", "node")
-    return matrix.mapInArrow(shared_columns, schema + ", other bigint, times bigint")
+    return matrix.mapInArrow(shared_columns, schema + ", other bigint")
 
 
 def _short_pairs(starts, lengths, node, n, at, out) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes in short columns, and in how many of them they are."""
+    """Pairs of nodes in short columns, each once."""
     left, right = [], []
     for size in np.unique(lengths):
         i, j = np.triu_indices(int(size), 1)
@@ -455,30 +463,11 @@ def _short_pairs(starts, lengths, node, n, at, out) -> Iterator[pa.RecordBatch]:
         left.append((begin + i).ravel())
         right.append((begin + j).ravel())
     x, y = np.concatenate(left), np.concatenate(right)
-    ok = _sizes_allow(n[x], n[y]) & (node[x] != node[y])
-    x, y = x[ok], y[ok]
-    swap = node[x] > node[y]
-    x, y = np.where(swap, y, x), np.where(swap, x, y)
-    order = np.lexsort((node[y], node[x]))
-    x, y = x[order], y[order]
-    fresh = np.ones(len(x), bool)
-    fresh[1:] = (node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1])
-    at_pair = np.flatnonzero(fresh)
-    times = np.diff(np.append(at_pair, len(x)))
-    x, y = x[at_pair], y[at_pair]
-    if len(x):
-        yield out(np.zeros(len(x), np.int64), node[x], n[x], n[y], node[y], times)
-
-
-def _least_shared(n: Column, m: Column) -> Column:
-    """Least number of n-grams that linked sets share among their first ones (see ``entries``).
-
-    Up to the end of whichever prefix ends earlier in the order, all shared n-grams are in both
-    prefixes; what follows is at most the rest of that set.
-    """
-    top, bottom = SIMILARITY
-    rest = F.ceil(F.greatest(n, m) * top / bottom) - 1
-    return F.ceil((n + m) * top / (top + bottom)) - rest
+    ok = _sizes_allow(n[x], n[y]) & _may_be_first(n[x], at[x], n[y], at[y]) & (node[x] != node[y])
+    pairs = np.unique(np.sort(np.stack([node[x[ok]], node[y[ok]]]), axis=0), axis=1)
+    if pairs.size:
+        none = np.zeros(pairs.shape[1], np.int64)
+        yield out(none, pairs[0], none, none, pairs[1])
 
 
 def _apart(left: str, right: str) -> str:
@@ -487,8 +476,8 @@ def _apart(left: str, right: str) -> str:
 
 
 def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b, n, m, times): pairs out of long columns, of nodes apart, and how many columns they share."""
-    entries = columns.where("other is null").select("gram", "node", "n")
+    """(a, b): pairs out of long columns, of nodes apart."""
+    entries = columns.where("other is null").select("gram", "node", "n", "at")
     sizes = entries.groupBy("gram").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -500,13 +489,13 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
     )
     placed = (
         entries.join(known, "node").join(sizes, "gram", "left")
-        .select("gram", "node", "n", "label", *KEYS, F.inline(spread))
+        .select("gram", "node", "n", "at", "label", *KEYS, F.inline(spread))
     )
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, "gram", "block_a", "block_b"):
             column = {c: run.column(c).to_numpy() for c in run.schema.names}
-            node, n, label, block = (column[c] for c in ("node", "n", "label", "block"))
+            node, n, at, label, block = (column[c] for c in ("node", "n", "at", "label", "block"))
             side_a, side_b = (np.flatnonzero(block == column[c][0]) for c in ("block_a", "block_b"))
             values, counts = np.unique(label, return_counts=True)
             if len(values) < 2:
@@ -519,7 +508,7 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
             for rows, others in turns:
                 for begin in range(0, len(rows), 256):
                     x, y = rows[begin : begin + 256, None], others[None, :]
-                    ok = _sizes_allow(n[x], n[y])
+                    ok = _sizes_allow(n[x], n[y]) & _may_be_first(n[x], at[x], n[y], at[y])
                     for name in ("label", *KEYS):
                         ok &= column[name][x] != column[name][y]
                     i, j = np.nonzero(ok)
@@ -530,13 +519,10 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
                     swap = node[x] > node[y]
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     if len(x):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(node[x]), pa.array(node[y]), pa.array(n[x]), pa.array(n[y])], ["a", "b", "n", "m"]
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
     ordered = by_key(placed, "gram", "block_a", "block_b")
-    found = ordered.mapInArrow(pairs, "a bigint, b bigint, n int, m int")
-    return found.groupBy("a", "b").agg(F.min("n").alias("n"), F.min("m").alias("m"), F.count("*").alias("times"))
+    return ordered.mapInArrow(pairs, "a bigint, b bigint")
 
 
 def _checked(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -588,22 +574,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = rows.where("node is not null").select("node", *KEYS).distinct()
     known = nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = written(known, "nodes")
-    short = (
-        columns.where("other is not null")
-        .groupBy(F.col("node").alias("a"), F.col("other").alias("b"))
-        .agg(F.min("n").alias("n"), F.min("at").alias("m"), F.sum("times").alias("times"))
-    )
+    short = columns.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     short = (
         short.join(known.alias("x"), F.col("a") == F.col("x.node"))
         .join(known.alias("y"), F.col("b") == F.col("y.node"))
         .where(_apart("x", "y"))
-        .select("a", "b", "n", "m", "times")
-    )
-    shared = short.unionAll(_across(columns, known)).groupBy("a", "b").agg(
-        F.min("n").alias("n"), F.min("m").alias("m"), F.sum("times").alias("times")
+        .select("a", "b")
     )
-    enough = F.col("times") >= _least_shared(F.col("n"), F.col("m"))
-    candidates = written(shared.where(enough).select("a", "b"), "candidates")
+    candidates = written(short.unionAll(_across(columns, known)).distinct(), "candidates")
     links = inside.unionAll(_checked(docs, candidates))
     labels = components(links)
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))

@@ -122,3 +122,29 @@ def test_one_id_on_several_texts(spark):
     assert kept.columns == docs.columns
     left = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
     assert left == [(0, "zz"), (3, d), (5, c), (7, a), (7, b), (8, "")]
+
+
+def candidates_of(spark, monkeypatch, texts):
+    counted = []
+    whole = join._checked
+
+    def checked(docs, candidates):
+        counted.append(candidates.count())
+        return whole(docs, candidates)
+
+    monkeypatch.setattr(join, "_checked", checked)
+    check(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    return counted[0]
+
+
+def test_a_passage_in_all_texts_lists_no_pairs(spark, monkeypatch):
+    """Texts that are mostly one passage, but too little of it to link: pairs don't grow with their square."""
+    monkeypatch.setattr(join, "keys_of", lambda own: (own.sum(), own.sum() ^ own.max(), own.sum() + own.max()))
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(80))
+    for n in (60, 240):
+        own = [" ".join(f"u{rng.randint(0, 10**9)}" for _ in range(30)) for _ in range(n)]
+        texts = [f"{passage} {o}" if i % 2 else f"{o} {passage}" for i, o in enumerate(own)]
+        assert candidates_of(spark, monkeypatch, texts) <= n
+        monkeypatch.undo()
+        monkeypatch.setattr(join, "keys_of", lambda own: (own.sum(), own.sum() ^ own.max(), own.sum() + own.max()))
