@@ -760,9 +760,12 @@ def _json(path: str) -> str:
 
 
 JSON_LINES = f"""objects AS (
-  SELECT req_body AS o, false AS in_array FROM api WHERE method = 'POST' AND starts_with(req_body, '{{')
+  SELECT req_body AS o, false AS in_array
+  FROM api WHERE method = 'POST' AND starts_with(req_body, '{{') AND json_valid(req_body)
   UNION ALL
-  SELECT unnest(from_json(req_body, '["JSON"]')), true FROM api WHERE method = 'POST' AND starts_with(req_body, '[')),
+  SELECT t.value, true FROM (SELECT req_body FROM api WHERE method = 'POST' AND starts_with(req_body, '[') AND json_valid(req_body)) a,
+         json_tree(a.req_body) t
+  WHERE t.type = 'OBJECT' AND regexp_matches(t.fullkey, '^\\$(\\[[0-9]+\\])+$')),
 captured AS (
   SELECT in_array, {_json('query')} AS query, {_json('doc_id')} AS doc_id, {_json('operationName')} AS name FROM objects),
 line_in AS (
@@ -892,10 +895,24 @@ FROM arrived a WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE {_SAME_KEY})""",
     ),
     "gql_csv_import_merge": _with(
         STORED,
-        f"""SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_malformed, count(*) FILTER (known) AS n_already_stored,
-       CAST(0 AS BIGINT) AS n_repeated,
+        f"""SELECT CAST(sum(n_valid + n_short) AS BIGINT) AS n_rows, CAST(sum(n_short) AS BIGINT) AS n_malformed,
+       CAST(coalesce(sum(n_valid) FILTER (known), 0) AS BIGINT) AS n_already_stored,
+       CAST(coalesce(sum(n_valid - 1) FILTER (NOT known), 0) AS BIGINT) AS n_repeated,
        count(*) FILTER (NOT known) AS n_imported
-FROM (SELECT EXISTS (SELECT 1 FROM stored s WHERE {_SAME_KEY}) AS known FROM arrived a)""",
+FROM (SELECT EXISTS (SELECT 1 FROM stored s WHERE {_SAME_KEY}) AS known,
+             CASE WHEN operation_type = 'fragment' THEN 2 ELSE 1 END AS n_valid,
+             CASE WHEN operation_type = 'doc_id' THEN 1 ELSE 0 END AS n_short FROM arrived a)""",
+    ),
+    "gql_csv_rejected": _with(
+        STORED,
+        f"""SELECT text, count(*) AS n_rows
+FROM (SELECT '"' || concat_ws('","', endpoint, method, {_LABEL}, operation_type, operation_name, persisted_hash) || '"' AS text
+      FROM arrived WHERE operation_type = 'doc_id') GROUP BY text""",
+    ),
+    "gql_jsonl_rejected": _with(
+        API,
+        """SELECT req_body AS text, count(*) AS n_rows FROM api
+WHERE method = 'POST' AND req_body <> '' AND NOT json_valid(req_body) GROUP BY req_body""",
     ),
     "gql_jsonl_ingest": _with(
         ",\n".join([API, JSON_LINES, classified("line_in", "line_ops", "form")]),

@@ -223,29 +223,53 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "csv")
     findings_csv.write_findings_csv(_catalogue(spark, sf_dir), path)
-    return findings_csv.read_findings_csv(spark, path).where("is_valid").drop("is_valid", "row_at")
+    return findings_csv.read_findings_csv(spark, path).where("is_valid").drop("is_valid", "row_at", "line_no", "raw")
 
 
-def csv_import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _csv_of_arrived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored findings, and the arrived ones as rows of CSV files; fragments come twice, and ids once
+    more in rows that stop short of the last fields."""
     stored, arrived = _stored_and_new(spark, sf_dir)
+    arrived = materialize(arrived)
     path = new_shared_path(spark, "csv")
     findings_csv.write_findings_csv(arrived, path)
-    rows = findings_csv.read_findings_csv(spark, path)
+    findings_csv.write_findings_csv(arrived.where("operation_type = 'fragment'"), path, mode="append")
+    short = findings_csv.csv_rows(arrived.where("operation_type = 'doc_id'")).select(V.CSV_COLUMNS[:6])
+    short.write.csv(path, mode="append", header=True, quoteAll=True, emptyValue="", quote='"', escape='"')
+    return stored, findings_csv.read_findings_csv(spark, path)
+
+
+def csv_import_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored, rows = _csv_of_arrived(spark, sf_dir)
     return reports.import_tallies(rows, stored)
 
 
 def csv_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, arrived = _stored_and_new(spark, sf_dir)
-    path = new_shared_path(spark, "csv")
-    findings_csv.write_findings_csv(arrived, path)
-    return findings_csv.importable(findings_csv.read_findings_csv(spark, path), stored)
+    stored, rows = _csv_of_arrived(spark, sf_dir)
+    return findings_csv.importable(rows, stored)
 
 
-def jsonl_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that an import leaves out; their files' names differ from run to run."""
+    _, rows = _csv_of_arrived(spark, sf_dir)
+    return findings_csv.rejected_rows(rows).groupBy("text").agg(F.count("*").alias("n_rows"))
+
+
+def _captured_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     path = new_shared_path(spark, "lines")
     bodies = _api(spark, sf_dir).where(gates.is_post()).select("req_body")
     bodies.write.text(path)
-    return capture_lines.capture_line_ops(capture_lines.read_capture_lines(spark, path))
+    return capture_lines.ingested(spark, path)
+
+
+def jsonl_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, _ = _captured_lines(spark, sf_dir)
+    return capture_lines.capture_line_ops(lines)
+
+
+def jsonl_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rejected = _captured_lines(spark, sf_dir)
+    return rejected.groupBy("text").agg(F.count("*").alias("n_rows"))
 
 
 # --- structure ----------------------------------------------------------------
@@ -367,7 +391,9 @@ QUERIES: dict[str, Query] = {
     "gql_csv_roundtrip": csv_roundtrip,
     "gql_csv_import": csv_import,
     "gql_csv_import_merge": csv_import_merge,
+    "gql_csv_rejected": csv_rejected,
     "gql_jsonl_ingest": jsonl_ingest,
+    "gql_jsonl_rejected": jsonl_rejected,
     "gql_op_depth": op_depth,
     "gql_variables": variable_catalogue,
     "gql_variables_template": variables_template,

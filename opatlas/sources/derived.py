@@ -48,6 +48,10 @@ EVENT_TEMPLATES = [
      '{"operationName":"Deep<Et>","query":"query Deep<Et>($f: Filter = {a: [1, {b: 2}], s: \\"(x $q: Y\\"}, '
      '$n: Int @max(of: f(g(h(\\")\\")))), $l: [Item!]! = []) { deep<Et>(filter: $f, n: $n) { a { b } } }",'
      '"variables":{"n":"<v>"}}'),
+    ("POST", "/graphql",
+     '[[{"operationName":"Nest<Et>","query":"query Nest<Et> { nest<Et> { s(of: \\"}]\\") } }"},[[{"doc_id":"5<u>"}]]],'
+     '{"query":"query Beside<Et> { b }","list":[{"query":"query No { n }"}]}]'),
+    ("POST", "/graphql", '{"query":"query Cut<Et> { cut<Et> }","variables":{"n":"<v>"'),
 ]
 
 PAGE_TEMPLATES = [

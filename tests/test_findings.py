@@ -219,6 +219,24 @@ def test_csv_import_rules(spark):
     ]
     tally = reports.import_tallies(rows, stored).first()
     assert tuple(tally) == (6, 1, 1, 1, 3)
+    (short,) = findings_csv.rejected_rows(rows).collect()
+    assert (short.line_no, short.text) == (6, '"/g","POST","HTTP POST Body","query","Short","","u"')
+
+
+def test_line_numbers_over_files_and_splits(spark):
+    path = new_shared_path(spark, "csv")
+    for name in "ab":
+        lines = [HEADER] + [f"e,{name}" if i % 7 == 3 else f"e,m,s,t,{name}{i},h,u,b" for i in range(2, 3000)]
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = findings_csv.rejected_rows(findings_csv.read_findings_csv(spark, path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = sorted((f"e,{name}", i) for name in "ab" for i in range(2, 3000) if i % 7 == 3)
+    assert sorted((r.text, r.line_no) for r in found) == want
+    assert len({(r.file, r.text) for r in found}) == 2
 
 
 def test_csv_without_the_required_columns_is_rejected(spark):
@@ -252,7 +270,11 @@ def test_capture_lines(spark):
         "lines",
     )
     ops = capture_lines.capture_line_ops(capture_lines.read_capture_lines(spark, path))
-    assert rows_of(ops, ["operation_type", "operation_name", "persisted_hash", "operation_body"]) == [
+    lines, rejected = capture_lines.ingested(spark, path)
+    columns = ["operation_type", "operation_name", "persisted_hash", "operation_body"]
+    assert rows_of(capture_lines.capture_line_ops(lines), columns) == rows_of(ops, columns)
+    assert sorted((r.line_no, r.text) for r in rejected.collect()) == [(5, "not json"), (6, '{"query":"query Trunc { a')]
+    assert rows_of(ops, columns) == [
         ("doc_id", "anonymous", "42", "doc_id: 42 (anonymous)"),
         ("doc_id", "anonymous", "44", "doc_id: 44 (anonymous)"),
         ("query", "A", "", "query A { a b }"),
@@ -262,6 +284,15 @@ def test_capture_lines(spark):
     ]
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3, 60])
+def test_objects_in_arrays_of_any_depth(spark, depth):
+    inner = '{"query":"query Nest { a(s: \\"}]{\\") }","list":[{"query":"query Inside { b }"}]},{"doc_id":"45"}'
+    lines = ["[" * depth + inner + "]" * depth, '[{"query":"query Cut { a }"},', '[[{"query":"query Two { a }"}],[],{"doc_id":46}]']
+    found = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = rows_of(capture_lines.capture_line_ops(found), ["operation_type", "operation_name", "persisted_hash"])
+    assert got == [("doc_id", "anonymous", "45"), ("doc_id", "anonymous", "46"), ("query", "Nest", ""), ("query", "Two", "")]
+
+
 def test_catalogue_covers_all_sources_and_keeps_the_earlier_tag(spark):
     script = 'var p=" id name ";var q="query Cat { me { id ".concat(p).concat(" } }");gql`query Tag { a { b } }`;' + " " * 40
     rows = [
