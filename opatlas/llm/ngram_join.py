@@ -10,12 +10,13 @@ blocks; overlap counts accumulate inside a block, and pairs whose sizes rule the
    link inside a family is found.  A task returns a spanning forest of the links, never all pairs.
 3. Links between nodes that meet in no family are found by an exact prefix filter: two sets of
    the wanted similarity share one of their first n - ceil(n * similarity) + 1 n-grams in any
-   fixed order.  The order puts n-grams seen often last.  A pair is listed only where the shared
-   n-gram may be the first one that both have: nothing before it is shared then, so what is left of
-   either set behind it bounds their overlap, and that has to reach the overlap their sizes ask
-   for.  Texts that share a common passage but begin with n-grams of their own are never listed.
-   Pairs already connected, or met in a family, are discarded as well.  Long columns are cut into
-   blocks.
+   fixed order.  The order puts n-grams seen often last.  The product of this smaller matrix
+   accumulates how many of them a pair shares in short columns; at most the smaller number of either
+   one's entries in long columns comes on top, and pairs that share too few for their sizes are
+   discarded.  One shared n-gram has to be the first one: nothing before it is shared then, so what
+   is left of either set behind it bounds the overlap.  Long columns list only pairs for which theirs
+   may be the first, so texts that share a common passage but begin with n-grams of their own are
+   never listed there.  Pairs already connected, or met in a family, are discarded as well.
 4. The remaining candidates are checked: the overlap of their whole sets is counted, and all links
    are contracted to components.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas.llm.components import components
@@ -346,8 +347,9 @@ def _family_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Entries of columns that several nodes share: (gram, node, n, at).
 
-    A row with ``other`` is a pair of a short column; ``gram``, ``n`` and ``at`` are 0.  The rest are
-    entries of long columns.
+    A row with ``other`` is a pair: ``n`` and ``at`` are its nodes' sizes, ``times`` the number of
+    short columns of one task that it shares, and ``gram`` how many of them may be its first.  The rest
+    are entries of long columns.
     """
     seen = rows.where("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen"))
     often = most_frequent(seen, "seen", FREQUENT).collect()  # FREQUENT numbers at most
@@ -396,16 +398,18 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
         def packed(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             return tuple(rows.column(c).to_numpy() for c in ("gram", "node", "n", "at"))
 
-        def out(gram, node, n, at, other=None) -> pa.RecordBatch:
+        def out(gram, node, n, at, other=None, times=None) -> pa.RecordBatch:
+            none = pa.nulls(len(gram), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(gram, pa.int64()),
                     pa.array(node, pa.int64()),
                     pa.array(n, pa.int32()),
                     pa.array(at, pa.int32()),
-                    pa.nulls(len(gram), pa.int64()) if other is None else pa.array(other, pa.int64()),
+                    none if other is None else pa.array(other, pa.int64()),
+                    none if times is None else pa.array(times, pa.int64()),
                 ],
-                ["gram", "node", "n", "at", "other"],
+                ["gram", "node", "n", "at", "other", "times"],
             )
 
         held: pa.RecordBatch | None = None  # the last column, as far as it came; short
@@ -451,11 +455,12 @@ def _prefix_columns(docs: DataFrame, rows: DataFrame) -> DataFrame:
     schema = "gram bigint, node bigint, n int, at int"
     matrix = docs.select("text").mapInArrow(entries, schema)
     matrix = matrix.repartition("gram").sortWithinPartitions("gram", "node")
-    return matrix.mapInArrow(shared_columns, schema + ", other bigint")
+    return matrix.mapInArrow(shared_columns, schema + ", other bigint, times bigint")
 
 
 def _short_pairs(starts, lengths, node, n, at, out) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes in short columns, each once."""
+    """Pairs of nodes in short columns, in how many of them they are, and in how many these may be
+    the first n-gram that both have."""
     left, right = [], []
     for size in np.unique(lengths):
         i, j = np.triu_indices(int(size), 1)
@@ -463,11 +468,32 @@ def _short_pairs(starts, lengths, node, n, at, out) -> Iterator[pa.RecordBatch]:
         left.append((begin + i).ravel())
         right.append((begin + j).ravel())
     x, y = np.concatenate(left), np.concatenate(right)
-    ok = _sizes_allow(n[x], n[y]) & _may_be_first(n[x], at[x], n[y], at[y]) & (node[x] != node[y])
-    pairs = np.unique(np.sort(np.stack([node[x[ok]], node[y[ok]]]), axis=0), axis=1)
-    if pairs.size:
-        none = np.zeros(pairs.shape[1], np.int64)
-        yield out(none, pairs[0], none, none, pairs[1])
+    ok = _sizes_allow(n[x], n[y]) & (node[x] != node[y])
+    x, y = x[ok], y[ok]
+    swap = node[x] > node[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    order = np.lexsort((node[y], node[x]))
+    x, y = x[order], y[order]
+    if not len(x):
+        return
+    first = np.concatenate([[0], np.cumsum(_may_be_first(n[x], at[x], n[y], at[y]))])
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1])
+    at_pair = np.flatnonzero(fresh)
+    bounds = np.append(at_pair, len(x))
+    x, y = x[at_pair], y[at_pair]
+    yield out(np.diff(first[bounds]), node[x], n[x], n[y], node[y], np.diff(bounds))
+
+
+def _least_shared(n: Column, m: Column) -> Column:
+    """Least number of n-grams that linked sets share among their first ones (see ``entries``).
+
+    Up to the end of whichever prefix ends earlier in the order, all shared n-grams are in both
+    prefixes; what follows is at most the rest of that set.
+    """
+    top, bottom = SIMILARITY
+    rest = F.ceil(F.greatest(n, m) * top / bottom) - 1
+    return F.ceil((n + m) * top / (top + bottom)) - rest
 
 
 def _apart(left: str, right: str) -> str:
@@ -476,7 +502,7 @@ def _apart(left: str, right: str) -> str:
 
 
 def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
-    """(a, b): pairs out of long columns, of nodes apart."""
+    """(a, b, n, m): pairs out of long columns, of nodes apart, whose first shared n-gram may be theirs."""
     entries = columns.where("other is null").select("gram", "node", "n", "at")
     sizes = entries.groupBy("gram").agg(F.count("*").alias("members")).where(F.col("members") > BLOCK)
     blocks = F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int")
@@ -519,10 +545,31 @@ def _across(columns: DataFrame, known: DataFrame) -> DataFrame:
                     swap = node[x] > node[y]
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(node[x]), pa.array(node[y]), pa.array(n[x]), pa.array(n[y])], ["a", "b", "n", "m"]
+                        )
 
     ordered = by_key(placed, "gram", "block_a", "block_b")
-    return ordered.mapInArrow(pairs, "a bigint, b bigint")
+    return ordered.mapInArrow(pairs, "a bigint, b bigint, n int, m int")
+
+
+def _candidates(columns: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes apart that share enough for their sizes, as far as their prefixes tell."""
+    short = columns.where("other is not null").select(
+        F.col("node").alias("a"), F.col("other").alias("b"), "n", F.col("at").alias("m"), "times", F.col("gram").alias("first")
+    )
+    across = _across(columns, known).select("a", "b", "n", "m", F.lit(0).alias("times"), F.lit(1).alias("first"))
+    # entries in long columns, of nodes that have any
+    long = columns.where("other is null").groupBy(F.col("node").alias("of")).agg(F.count("*").alias("long"))
+    shared = short.unionAll(across).groupBy("a", "b").agg(
+        F.min("n").alias("n"), F.min("m").alias("m"), F.sum("times").alias("times"), F.sum("first").alias("first")
+    )
+    shared = shared.where("first > 0").join(known.alias("x"), F.col("a") == F.col("x.node"))
+    shared = shared.join(known.alias("y"), F.col("b") == F.col("y.node")).where(_apart("x", "y"))
+    shared = shared.join(long.select("of", F.col("long").alias("long_a")), F.col("a") == F.col("of"), "left").drop("of")
+    shared = shared.join(long.select("of", F.col("long").alias("long_b")), F.col("b") == F.col("of"), "left")
+    most = F.col("times") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    return shared.where(most >= _least_shared(F.col("n"), F.col("m"))).select("a", "b")
 
 
 def _checked(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -574,14 +621,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     nodes = rows.where("node is not null").select("node", *KEYS).distinct()
     known = nodes.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     known = written(known, "nodes")
-    short = columns.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    short = (
-        short.join(known.alias("x"), F.col("a") == F.col("x.node"))
-        .join(known.alias("y"), F.col("b") == F.col("y.node"))
-        .where(_apart("x", "y"))
-        .select("a", "b")
-    )
-    candidates = written(short.unionAll(_across(columns, known)).distinct(), "candidates")
+    candidates = written(_candidates(columns, known), "candidates")
     links = inside.unionAll(_checked(docs, candidates))
     labels = components(links)
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("own_id"))
