@@ -337,10 +337,22 @@ def _drained(query: object) -> None:
     query.awaitTermination()
 
 
+def _arriving(spark: SparkSession, sf_dir: str, kind: str, n_files: int = 3) -> DataFrame:
+    """Captures of one kind as a stream of stored files, one micro-batch for each."""
+    rows = derived.captures(spark, sf_dir, kind)
+    path = new_shared_path(spark, f"arriving-{kind}")
+    rows.repartition(n_files, "capture_id").write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_shared_path(spark, "stream-ops")
-    _drained(stream.write_ops(_stream_items(spark, sf_dir), f"{path}/table", f"{path}/checkpoint"))
-    return _op_columns(spark.read.parquet(f"{path}/table"))
+    items = requests.exploded(_stream_exchanges(spark, sf_dir)).drop("host")
+    _drained(stream.write_ops(items, f"{path}/table", f"{path}/checkpoint"))
+    responses = _arriving(spark, sf_dir, "scripts")
+    _drained(stream.write_script_ops(responses, f"{path}/scripts", f"{path}/scripts-checkpoint"))
+    ops = spark.read.parquet(f"{path}/table").unionByName(stream.published(spark, f"{path}/scripts"))
+    return _op_columns(ops)
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,16 +362,19 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of three streams of several micro-batches each, with a compaction in between."""
     path = new_shared_path(spark, "stream-findings")
     table = f"{path}/table"
-    _drained(
-        stream.write_partials(
-            _stream_exchanges(spark, sf_dir), findings.findings_of_exchanges, table, f"{path}/requests"
-        )
-    )
-    responses = derived.captures(spark, sf_dir, "scripts", stream=True)
-    _drained(stream.write_partials(responses, plans.script_partials, table, f"{path}/scripts", name="scripts"))
-    return _finding_columns(stream.merged(spark, f"{path}/table"))
+
+    def merge_of(kind: str, items_of: Callable[[DataFrame], DataFrame]) -> None:
+        items = items_of(_arriving(spark, sf_dir, kind))
+        _drained(stream.write_partials(items, findings.findings_of_exchanges, table, f"{path}/{kind}", name=kind))
+
+    merge_of("api", requests.http_exchange_items)
+    merge_of("sockets", requests.socket_message_items)
+    stream.compact(spark, table)
+    _drained(stream.write_script_partials(_arriving(spark, sf_dir, "scripts"), table, f"{path}/scripts"))
+    return _finding_columns(stream.merged(spark, table))
 
 
 QUERIES: dict[str, Query] = {

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opatlas.functions.classify import classify
-from opatlas.operators import findings
+from opatlas.operators import findings, gates, scripts
+from opatlas.session import materialize
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -84,61 +86,148 @@ def write_partials(
     def write(batch: DataFrame, batch_id: int) -> None:
         attempt = uuid.uuid4().hex
         findings.merge(partials_of(batch)).write.parquet(f"{path}/{_PARTIALS}/{attempt}")
-        _publish(batch.sparkSession, path, name, batch_id, attempt)
+        _publish(batch.sparkSession, path, {name: batch_id}, attempt)
 
-    return (
-        captures.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(captures, write, checkpoint)
 
 
-_PARTIALS, _COMMITS = "partials", "commits"
+_PARTIALS, _COMMITS, _BUNDLES = "partials", "commits", "bundles"
 _COMMIT = "name string, batch_id bigint, is_snapshot boolean, at timestamp, attempt string"
 
 
-def _publish(
-    spark: SparkSession, path: str, name: str, batch_id: int, attempt: str, is_snapshot: bool = False
-) -> None:
-    """``is_snapshot``: the folder stands for all batches of the stream up to this one."""
-    row = spark.createDataFrame(
-        [(name, batch_id, is_snapshot, attempt)], "name string, batch_id bigint, is_snapshot boolean, attempt string"
-    )
-    row = row.withColumn("at", F.current_timestamp())
-    row.coalesce(1).write.mode("append").parquet(f"{path}/{_COMMITS}")
+def _publish(spark: SparkSession, path: str, last: dict[str, int], attempt: str, is_snapshot: bool = False) -> None:
+    """Publish a folder for a batch of each stream in ``last``.
+
+    All records are in one file, which appears at once or not at all, so a snapshot of several streams
+    is never seen in part.  ``is_snapshot``: the folder stands for all batches up to these.
+    """
+    rows = [(name, batch_id, is_snapshot, attempt) for name, batch_id in last.items()]
+    records = spark.createDataFrame(rows, "name string, batch_id bigint, is_snapshot boolean, attempt string")
+    records = records.withColumn("at", F.current_timestamp())
+    records.coalesce(1).write.mode("append").parquet(f"{path}/{_COMMITS}")
 
 
 def _published(spark: SparkSession, path: str) -> tuple[list[str], dict[str, int]]:
-    """(folders to read, last batch of each stream): the latest snapshot and the batches after it."""
+    """(folders to read, last batch of each stream): the latest snapshot and the batches after it.
+
+    The snapshot is one folder with a record for each stream it covers; of the other records only
+    those of later batches reach the driver.
+    """
     commits = spark.read.schema(_COMMIT).parquet(f"{path}/{_COMMITS}")
-    latest = commits.groupBy("name", "batch_id", "is_snapshot").agg(F.max_by("attempt", "at").alias("attempt"))
-    rows = latest.collect()  # a line for each batch since the last snapshot, and those before it
-    upto: dict[str, int] = {}
-    for r in rows:
-        if r["is_snapshot"]:
-            upto[r["name"]] = max(r["batch_id"], upto.get(r["name"], -1))
-    chosen = [
-        r for r in rows
-        if (r["batch_id"] == upto.get(r["name"]) if r["is_snapshot"] else r["batch_id"] > upto.get(r["name"], -1))
-    ]
-    last: dict[str, int] = {}
+    snapshots = commits.where("is_snapshot")
+    latest = snapshots.orderBy(F.desc("at"), F.desc("attempt")).first()
+    covered: dict[str, int] = {}
+    if latest:
+        covered = {r["name"]: r["batch_id"] for r in snapshots.where(F.col("attempt") == latest["attempt"]).collect()}
+    later = F.lit(True)
+    for name, batch_id in covered.items():
+        later = later & ((F.col("name") != name) | (F.col("batch_id") > batch_id))
+    batches = commits.where(~F.col("is_snapshot") & later).groupBy("name", "batch_id")
+    chosen = batches.agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt")).collect()
+    last = dict(covered)
     for r in chosen:
         last[r["name"]] = max(r["batch_id"], last.get(r["name"], -1))
-    return sorted({f"{path}/{_PARTIALS}/{r['attempt']}" for r in chosen}), last
+    attempts = {r["attempt"] for r in chosen} | ({latest["attempt"]} if latest else set())
+    return sorted(f"{path}/{_PARTIALS}/{a}" for a in attempts), last
 
 
 def merged(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of everything published by :func:`write_partials` so far."""
+    """Findings of everything published by the streams below ``path`` so far."""
     folders, _ = _published(spark, path)
     return findings.merge(spark.read.parquet(*folders))
 
 
 def compact(spark: SparkSession, path: str) -> DataFrame:
-    """Publish the merged findings as a snapshot of all streams; later reads start from it."""
+    """Publish the merged findings as a snapshot of all streams; later reads start from it.
+
+    One record file switches all streams at once: before it readers take the old folders, after it the
+    new one, and a compaction that breaks off anywhere leaves them with the old.
+    """
     folders, last = _published(spark, path)
     attempt = uuid.uuid4().hex
     findings.merge(spark.read.parquet(*folders)).write.parquet(f"{path}/{_PARTIALS}/{attempt}")
-    for name, batch_id in last.items():
-        _publish(spark, path, name, batch_id, attempt, is_snapshot=True)
+    _publish(spark, path, last, attempt, is_snapshot=True)
     return merged(spark, path)
+
+
+# --- scripts: every distinct text is read once, in whichever batch it comes first ------------------
+
+
+def _operations_of(scripts_seen: DataFrame, path: str, attempt: str) -> DataFrame:
+    """Operations of the scripts of a batch, by bundle.
+
+    Texts whose hash some earlier batch has met are not read again: their operations come from the
+    table below ``path``.  What this batch reads for the first time is added to it, with one row
+    without an operation for each text, so that texts that hold none are known as well.  Should two
+    attempts read one text, both rows say the same; readers drop repeats.
+    """
+    spark = scripts_seen.sparkSession
+    bodies = scripts_seen.select(scripts.bundle_id(F.col("body")).alias("bundle_id"), "body")
+    ids = bodies.select("bundle_id").distinct()
+    store = f"{path}/{_BUNDLES}"
+    known = spark.read.schema(_KNOWN).parquet(store) if _exists(spark, store) else spark.createDataFrame([], _KNOWN)
+    unread = materialize(ids.join(known.select("bundle_id"), "bundle_id", "left_anti"))
+    texts = bodies.join(unread, "bundle_id", "left_semi").groupBy("bundle_id").agg(F.first("body").alias("body"))
+    found = scripts.bundle_ops(texts).select(*_OPERATION)
+    read = found.unionByName(unread, allowMissingColumns=True)
+    read.write.parquet(f"{store}/attempt={attempt}")
+    every = spark.read.schema(_KNOWN).parquet(store).join(ids, "bundle_id", "left_semi")
+    return every.where("operation_type is not null").select(*_OPERATION).dropDuplicates(["bundle_id", "ord"])
+
+
+_KNOWN = (
+    "bundle_id string, source string, ord bigint, operation_type string, operation_name string, "
+    "persisted_hash string, operation_body string"
+)
+_OPERATION = [column.split(" ")[0] for column in _KNOWN.split(", ")]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.schema(_KNOWN).parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def write_script_partials(captures: DataFrame, path: str, checkpoint: str, name: str = "scripts") -> StreamingQuery:
+    """Like :func:`write_partials` for script responses: each distinct text is read once for all batches,
+    and later copies only add when and where they were seen."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        attempt = uuid.uuid4().hex
+        admitted = gates.script_captures(batch)
+        ops = findings.once_per(_operations_of(admitted, path, attempt), ["bundle_id"])
+        partials = findings.from_ops(scripts.at_sightings(ops, scripts.sightings(admitted)))
+        findings.merge(partials).write.parquet(f"{path}/{_PARTIALS}/{attempt}")
+        _publish(batch.sparkSession, path, {name: batch_id}, attempt)
+
+    return _started(captures, write, checkpoint)
+
+
+def write_script_ops(captures: DataFrame, path: str, checkpoint: str, name: str = "scripts") -> StreamingQuery:
+    """Operations of script responses, a row for each response and operation; texts are read once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        attempt = uuid.uuid4().hex
+        admitted = gates.script_captures(batch)
+        ops = _operations_of(admitted, path, attempt)
+        places = admitted.select(
+            "capture_id", "ts", "url", "endpoint", F.lit("GET").alias("method"),
+            scripts.bundle_id(F.col("body")).alias("bundle_id"),
+        )
+        places.join(ops, "bundle_id").drop("bundle_id").write.parquet(f"{path}/{_PARTIALS}/{attempt}")
+        _publish(batch.sparkSession, path, {name: batch_id}, attempt)
+
+    return _started(captures, write, checkpoint)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all published batches below ``path``."""
+    folders, _ = _published(spark, path)
+    return spark.read.parquet(*folders)
+
+
+def _started(captures: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    stream = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return stream.trigger(availableNow=True).start()

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import pytest
+
 from helpers import exchanges
-from opatlas.operators import findings, requests
+from opatlas.operators import findings, gates, requests, scripts
+from opatlas.plans.catalogue import script_partials
 from opatlas.session import new_shared_path
 from opatlas.sources.captures import read_http_exchanges
 from opatlas.streaming import stream
@@ -67,7 +70,7 @@ def test_merged_stream_equals_the_batch_over_several_runs(spark):
     attempts, _ = stream._published(spark, f"{out}/t")
     again = [a.rsplit("/", 1)[1] for a in attempts]
     commits = {r.attempt: r.batch_id for r in spark.read.parquet(f"{out}/t/commits").collect()}
-    stream._publish(spark, f"{out}/t", "requests", commits[again[0]], again[0])
+    stream._publish(spark, f"{out}/t", {"requests": commits[again[0]]}, again[0])
     assert rows_of(stream.merged(spark, f"{out}/t")) == rows_of(batch)
     assert rows_of(stream.compact(spark, f"{out}/t")) == rows_of(batch)
     assert len(stream._published(spark, f"{out}/t")[0]) == 1
@@ -75,3 +78,73 @@ def test_merged_stream_equals_the_batch_over_several_runs(spark):
     third.write.mode("append").parquet(path)
     run(stream.write_partials(exchanges_of(spark, path), findings.findings_of_exchanges, f"{out}/t", f"{out}/c"))
     assert rows_of(stream.merged(spark, f"{out}/t")) == rows_of(batch_of(first.unionByName(second).unionByName(third)))
+
+
+def test_a_compaction_killed_at_any_step_leaves_the_counts_right(spark, monkeypatch):
+    """Two streams publish to one path; whatever step is lost, no run is counted twice or not at all."""
+    path, out = new_shared_path(spark, "in"), f"{new_shared_path(spark, 'out')}/t"
+    body = {"body": '{"query":"query Twice { a }"}'}
+    exchanges(spark, [body, body]).write.parquet(path)
+
+    def drain(name):
+        df = exchanges_of(spark, path)
+        run(stream.write_partials(df, findings.findings_of_exchanges, out, f"{out}-{name}", name=name))
+
+    def n_seen():
+        return [r.n_seen for r in stream.merged(spark, out).collect()]
+
+    drain("one")
+    drain("two")
+    assert n_seen() == [4]
+    files = len(spark.read.parquet(f"{out}/commits").inputFiles())
+
+    class Killed(Exception):
+        pass
+
+    def killed(*_, **__):
+        raise Killed
+
+    for step, owner in (("_publish", stream), ("_published", stream), ("merge", findings)):
+        with monkeypatch.context() as patch:
+            patch.setattr(owner, step, killed)
+            with pytest.raises(Killed):
+                stream.compact(spark, out)
+        assert n_seen() == [4]
+    # the switch itself is one file for both streams
+    assert [r.n_seen for r in stream.compact(spark, out).collect()] == [4]
+    assert len(spark.read.parquet(f"{out}/commits").inputFiles()) == files + 1
+    exchanges(spark, [body]).write.mode("append").parquet(path)
+    drain("two")
+    assert n_seen() == [5]
+    drain("one")
+    assert n_seen() == [6]
+    # an older batch that runs again stands in the snapshot already
+    stream._publish(spark, out, {"one": 0}, stream._published(spark, out)[0][0].rsplit("/", 1)[1])
+    assert n_seen() == [6]
+    assert [r.n_seen for r in stream.compact(spark, out).collect()] == [6]
+
+
+def test_each_script_text_is_read_once_for_all_batches(spark):
+    texts = ["gql`query A { a }`;", "gql`query B { b }`; query C { c }", "query none"]
+    rows = [
+        {"method": "GET", "path": f"/{i % 4}.js", "content_type": "text/javascript", "script": texts[i % 3]} for i in range(1200)
+    ]
+    df = exchanges(spark, rows)
+    path, out = stored_in_files(spark, df, 5, "in"), new_shared_path(spark, "out")
+
+    def arriving():
+        schema = spark.read.parquet(path).schema
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    run(stream.write_script_partials(arriving(), f"{out}/t", f"{out}/c"))
+    n_ops = scripts.bundle_ops(scripts.distinct_bundles(gates.script_captures(df))).count()
+    known = spark.read.parquet(f"{out}/t/bundles")
+    assert known.where("operation_type is null").count() == 3  # each text once, though 400 came in five batches
+    assert known.where("operation_type is not null").count() == n_ops
+    batch = findings.merge(script_partials(df))
+    assert rows_of(stream.merged(spark, f"{out}/t")) == rows_of(batch)
+    assert len(stream._published(spark, f"{out}/t")[0]) == 5
+    run(stream.write_script_ops(arriving(), f"{out}/o", f"{out}/oc"))
+    found = stream.published(spark, f"{out}/o")
+    assert found.count() == 400 * n_ops
+    assert spark.read.parquet(f"{out}/o/bundles").count() == 3 + n_ops
