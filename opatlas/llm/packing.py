@@ -6,9 +6,9 @@ histogram of piece lengths, which has one entry per length however many document
 
 1. The covering linear program over configurations (how often each length occurs in a sequence)
    is solved by multiplicative weights: a knapsack over the lengths' prices, by dynamic
-   programming, finds the best configuration; lengths it covers get cheaper.
-2. Its solution is scaled into the histogram and rounded down.
-3. The pieces left over are placed largest first, each sequence filled greedily, equal sequences
+   programming, finds the best configurations; lengths they cover get cheaper.
+2. Each step is rounded down to whole sequences as it is taken.
+3. The few pieces left over are placed largest first, each sequence filled greedily, equal sequences
    at once.
 
 The pieces then take their places by their rank among the pieces of their length; ranks are
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from opatlas.llm.tables import text_of, written
 
 SEQUENCE = 1024
 END = 2
-ROUNDS, STEP = 400, 0.5
+ROUNDS, STEP, WEIGHT, NEAR = 400, 0.25, 1.0, 0.02
 GROUP_ROWS = 200_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 # The vocabulary's files and its one special token.
@@ -75,6 +76,12 @@ class Encoder:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
 
 
+@cache
+def encoder_of(vocabulary: str | None, ranks: str | None) -> Encoder:
+    """One encoder for each worker, whatever the number of its tasks."""
+    return Encoder(vocabulary, ranks)
+
+
 def cut(ids: np.ndarray, most: int = SEQUENCE) -> list[tuple[int, np.ndarray]]:
     """(start, ids) of a document's pieces: only a longer document has several."""
     head = len(ids) % most or most
@@ -86,7 +93,7 @@ def tokenised(docs: DataFrame, vocabulary: str | None = None, ranks: str | None
     """A row for each piece of each document; ``ids_crc32`` is the checksum of its ids."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, ranks)
+        encoder = encoder_of(vocabulary, ranks)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -113,19 +120,29 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 Configuration = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, size: int) -> Configuration:
-    """The configuration of the highest total price that fits, by dynamic programming."""
+def best_values(lengths: np.ndarray, prices: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Highest total price that fits into each room up to ``size``, by dynamic programming.
+
+    (values, choices): a choice is the place of a length to put into that room, -1 for leaving one
+    token of it empty.
+    """
     value, choice = np.zeros(size + 1), np.full(size + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(size + 1), "right")
     for room in range(1, size + 1):
-        fits = int(np.searchsorted(lengths, room, "right"))
         value[room] = value[room - 1]
-        if fits:
-            with_each = value[room - lengths[:fits]] + prices[:fits]
+        if fits[room]:
+            with_each = value[room - lengths[: fits[room]]] + prices[: fits[room]]
             best = int(with_each.argmax())
             if with_each[best] > value[room] + 1e-15:
                 value[room], choice[room] = with_each[best], best
+    return value, choice
+
+
+def filled(lengths: np.ndarray, choice: np.ndarray, room: int, start: int | None = None) -> Configuration:
+    """The best configuration of ``room``, beside one piece of the length at place ``start``."""
     counts: dict[int, int] = {}
-    room = size
+    if start is not None:
+        counts[int(lengths[start])] = 1
     while room > 0:
         if choice[room] < 0:
             room -= 1
@@ -136,25 +153,52 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, size: int) -> Co
     return tuple(sorted(counts.items(), reverse=True))
 
 
-def relaxed(histogram: dict[int, int], size: int, rounds: int = ROUNDS) -> dict[Configuration, float]:
-    """Configurations and how often to use them, by multiplicative weights; no length is exceeded."""
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, size: int) -> Configuration:
+    """The configuration of the highest total price that fits."""
+    return filled(lengths, best_values(lengths, prices, size)[1], size)
+
+
+def program(histogram: dict[int, int], size: int, rounds: int = ROUNDS) -> list[tuple[Configuration, int]]:
+    """Configurations and in how many sequences to use them, by multiplicative weights.
+
+    A length's price is its share of a sequence, times a weight that falls exponentially with the share
+    of its pieces that is covered, so lengths left behind become dear.  A round prices all configurations
+    by one dynamic program, which holds the best one around each length.  Those whose price comes within
+    ``NEAR`` of the best are used, lengths left behind first, ``STEP`` of what each still allows at a time
+    and rounded down to whole sequences; so no length is exceeded and nothing is lost by rounding later.
+    Rounds go on while they place anything.  The dynamic program doesn't know how many pieces are left, so
+    lengths of one or two pieces each stay for the last step.
+    """
     lengths = np.array(sorted(histogram))
     wanted = np.array([histogram[n] for n in lengths], float)
+    left = wanted.copy()
     place = {int(n): i for i, n in enumerate(lengths)}
-    prices = lengths / size
-    covered = np.zeros(len(lengths))
-    used: dict[Configuration, float] = {}
+    used: dict[Configuration, int] = {}
     for _ in range(rounds):
-        found = best_configuration(lengths, prices, size)
-        at = [place[n] for n, _ in found]
-        often = np.array([c for _, c in found], float)
-        amount = float((wanted[at] / often).min())
-        used[found] = used.get(found, 0.0) + amount
-        covered[at] += amount * often
-        prices[at] *= np.exp(-STEP * amount * often / wanted[at])
-        prices /= prices.max()
-    excess = float((covered / wanted).max())
-    return {found: amount / excess for found, amount in used.items()}
+        alive = np.flatnonzero(left > 0)
+        if not len(alive):
+            break
+        share = left / wanted
+        prices = lengths / size * np.exp(WEIGHT * (share - share.max()))
+        own = lengths[alive]
+        value, choice = best_values(own, prices[alive], size)
+        placed = False
+        for i in np.argsort(-share[alive], kind="stable"):
+            j = alive[i]
+            if left[j] < 1 or prices[j] + value[size - lengths[j]] < (1 - NEAR) * value[size]:
+                continue
+            found = filled(own, choice, size - int(lengths[j]), int(i))
+            at = [place[n] for n, _ in found]
+            often = np.array([c for _, c in found], float)
+            most = float((left[at] / often).min())
+            times = max(int(most * STEP), int(most >= 1))
+            if times:
+                left[at] -= times * often
+                used[found] = used.get(found, 0) + times
+                placed = True
+        if not placed:
+            break
+    return list(used.items())
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS) -> list[tuple[Configuration, int]]:
@@ -165,12 +209,10 @@ def plan(histogram: dict[int, int], size: int = SEQUENCE, rounds: int = ROUNDS)
         out.append((((size, 1),), left.pop(size)))
     if not left:
         return out
-    for found, amount in sorted(relaxed(left, size, rounds).items(), key=lambda x: -x[1]):
-        times = min([int(amount), *(left[n] // c for n, c in found)])
-        if times > 0 and sum(n * c for n, c in found) == size:
-            out.append((found, times))
-            for n, c in found:
-                left[n] -= c * times
+    for found, times in program(left, size, rounds):
+        out.append((found, times))
+        for n, c in found:
+            left[n] -= c * times
     while left := {n: c for n, c in left.items() if c > 0}:
         found = _fullest(left, size)
         times = min(left[n] // c for n, c in found)
@@ -222,7 +264,8 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
         entries, "of_length bigint, low bigint, high bigint, often bigint, base bigint, at bigint"
     )
     groups = max(1, -(-sum(histogram.values()) // GROUP_ROWS))
-    placed = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # by the place a piece is read at, so that pieces of repeated or missing ids spread, too
+    placed = pieces.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
     counts = placed.groupBy("length", "part").agg(F.count("*").alias("own"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(

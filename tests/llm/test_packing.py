@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
 import cases
 import numpy as np
@@ -57,6 +58,42 @@ def test_plan_places_all_and_wastes_little(n):
     assert sum(t for _, t in plan) <= -(-int(lengths.sum()) // 1024) * 1.02 + 1
 
 
+def histogram_of(lengths):
+    return dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+
+
+@pytest.mark.parametrize("copies", [20, 200, 2000])
+def test_the_program_makes_the_plan(copies):
+    rng = np.random.default_rng(copies)
+    own = histogram_of(np.clip(rng.lognormal(5.5, 1.2, 900).astype(int), 1, 1023))
+    histogram = {n: c * copies for n, c in own.items()}
+    used = packing.program(histogram, 1024)
+    placed = {}
+    for found, times in used:
+        assert times > 0 and sum(n * c for n, c in found) <= 1024
+        for n, c in found:
+            placed[n] = placed.get(n, 0) + c * times
+    assert all(c <= histogram[n] for n, c in placed.items())
+    share = sum(placed.values()) / sum(histogram.values())
+    assert share >= 0.9
+    plan = packing.plan(histogram)
+    assert sorted(plan) != sorted(packing.plan(histogram, rounds=0))
+    bound = -(-sum(n * c for n, c in histogram.items()) // 1024)
+    assert bound <= sum(t for _, t in plan) <= bound + len(histogram)
+
+
+def test_the_program_places_most_pieces_of_the_given_table(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("test tables are not here")
+    lengths = packing.tokenised(spark.read.parquet(path)).select("length").toPandas().length.to_numpy()
+    histogram = histogram_of(lengths[lengths < 1024])
+    placed = sum(c * t for found, t in packing.program(histogram, 1024) for _, c in found)
+    assert placed >= 0.9 * sum(histogram.values())
+    sequences = sum(t for _, t in packing.plan(histogram))
+    assert sequences <= -(-sum(n * c for n, c in histogram.items()) // 1024) + len(histogram)
+
+
 def test_best_configuration_is_the_best():
     rng = random.Random(1)
     for _ in range(30):
