@@ -103,10 +103,31 @@ def merge(partials: DataFrame) -> DataFrame:
     return merged.select(*KEY, "first.*", "longest.*", "first_seen", "last_seen", "n_seen")
 
 
+_CONTENT = ["form", "text", "name", "hash"]
+
+
+def with_item_id(items: DataFrame) -> DataFrame:
+    return items.withColumn("item_id", F.sha2(F.to_json(F.struct(*_CONTENT)), 256))
+
+
+def item_operations(items: DataFrame) -> DataFrame:
+    """Operations of every distinct item, by ``item_id``: each text is classified once, at however
+    many URLs, endpoints and places in a request it was found."""
+    distinct = items.groupBy("item_id").agg(*[F.first(c).alias(c) for c in _CONTENT])
+    return C.classify(distinct.withColumn("ord", F.lit(0)), C.REQUEST_FORMS)
+
+
 def findings_of_exchanges(found: DataFrame) -> DataFrame:
-    """Partial findings of the items of requests and messages, one array per exchange."""
-    ops = C.classify(requests.exploded(distinct_exchanges(found)), C.REQUEST_FORMS)
-    return from_ops(once_per(ops, ["unit"]))
+    """Partial findings of the items of requests and messages, one array per exchange.
+
+    Equal exchanges are one unit and written down; from there the distinct items are classified, and
+    their operations joined back to the units that hold them.
+    """
+    units = materialize(distinct_exchanges(found))
+    items = with_item_id(requests.exploded(units))
+    ops = item_operations(items).withColumnRenamed("ord", "op_ord")
+    placed = items.drop(*_CONTENT).join(ops, "item_id").withColumn("ord", F.col("ord") + F.col("op_ord"))
+    return from_ops(once_per(placed.drop("item_id", "op_ord"), ["unit"]))
 
 
 def new_keys(found: DataFrame, stored: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from opatlas.functions.classify import classify
 from opatlas.operators import findings, reports, requests
 from opatlas.plans.catalogue import catalogue
 from opatlas.session import new_shared_path
-from opatlas.sources import capture_lines, findings_csv
+from opatlas.sources import capture_lines, captures, findings_csv
 
 COLUMNS = [*findings.KEY, "url", "method", "source", "operation_body", "first_seen", "last_seen", "n_seen"]
 
@@ -308,3 +308,34 @@ def test_catalogue_covers_all_sources_and_keeps_the_earlier_tag(spark):
         ("A", "HTTP_POST"): "query A { a }",
         ("S", "WEBSOCKET"): "subscription S { s }",
     }
+
+
+def test_one_text_at_many_urls_is_classified_once(spark):
+    body = '{"query":"query Same { a }"}'
+    rows = [{"body": body, "path": f"/graphql?trace={i}"} for i in range(1000)] + [{"body": body, "path": "/other"}]
+    items = findings.with_item_id(requests.http_items(exchanges(spark, rows)))
+    assert items.count() == 1001 and findings.item_operations(items).count() == 1
+    found = findings.merge(findings.findings_of_exchanges(requests.http_exchange_items(exchanges(spark, rows))))
+    assert found.count() == 1001
+    assert {r.operation_name for r in found.collect()} == {"Same"}
+
+
+def test_stored_findings_are_joined_as_they_lie(spark):
+    found = catalogue(traffic(spark), messages(spark, [{"payload": "-"}]))
+    half = found.where("operation_name = 'A'")
+    path = new_shared_path(spark, "findings")
+    captures.write_findings(half, path, buckets=6)
+    stored = captures.read_findings(spark, path)
+    assert rows_of(stored) == rows_of(half)
+    arrived_path = new_shared_path(spark, "arrived")
+    found.write.parquet(arrived_path)
+    new = findings.new_keys(spark.read.parquet(arrived_path), stored)
+    want = found.where("operation_name <> 'A'")
+    assert want.count() > 0 and half.count() > 0
+    assert rows_of(new) == rows_of(want)
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of the findings that arrived
+    assert plan.index("Exchange") < plan.index("FileScan") < plan.index("Bucketed: true")
+    nothing = new_shared_path(spark, "findings")
+    captures.write_findings(found.where("false"), nothing)
+    assert captures.read_findings(spark, nothing).count() == 0
