@@ -79,9 +79,11 @@ counted AS (
   SELECT lang, rule, cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND ratio > cutoff) AS k,
          count(*) FILTER (good = 0 AND ratio > cutoff) AS bad
   FROM grid GROUP BY ALL),
-usable AS (
-  SELECT * FROM counted
-  WHERE bad > k AND k < n * {_LIMIT} AND {_TAIL} <= {rules.RISK} / (SELECT count(*) FROM counted)),
+tested AS (
+  SELECT *, bool_and(k < n * {_LIMIT} AND {_TAIL} <= {rules.RISK} / (SELECT count(*) FROM (SELECT DISTINCT lang, rule FROM counted)))
+              OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS fits
+  FROM counted),
+usable AS (SELECT * FROM tested WHERE fits AND bad > k),
 chosen AS (
   SELECT lang, rule, cutoff FROM usable
   QUALIFY row_number() OVER (PARTITION BY lang, rule ORDER BY bad - k DESC, cutoff DESC) = 1)

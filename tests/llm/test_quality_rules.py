@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import cases
 import pytest
@@ -60,7 +61,10 @@ def labelled(spark, n_good, n_good_above, n_bad):
     )
 
 
-@pytest.mark.parametrize(("n_good", "above", "chosen"), [(3000, 0, True), (300, 0, False), (3000, 15, False)])
+@pytest.mark.parametrize(
+    ("n_good", "above", "chosen"),
+    [(3000, 0, True), (100, 0, False), (152, 0, True), (151, 0, False), (3000, 15, True), (3000, 70, False), (3000, 90, False)],
+)
 def test_a_cutoff_needs_evidence(spark, n_good, above, chosen):
     found = rules.choose_cutoffs(labelled(spark, n_good, above, 100), "lang", "quality").collect()
     assert [(r.stratum, r.rule) for r in found] == ([("en", "symbols")] if chosen else [])
@@ -68,6 +72,40 @@ def test_a_cutoff_needs_evidence(spark, n_good, above, chosen):
         assert found[0].cutoff == 0.3
 
 
+def plain_tail(k, n, p):
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_cutoffs_are_tested_in_sequence(spark):
+    """Milder cutoffs first: the strictest one that passes is used where it rejects more bad ones."""
+    good = [("en", 1, r) for r in [0.0] * 700 + [0.03] * 3 + [0.09] * 2] + [("xx", 1, 0.0)] * 150
+    bad = [("en", 0, r) for r in [0.035] * 40 + [0.4] * 20] + [("xx", 0, 0.4)] * 50
+    rows = spark.createDataFrame(good + bad, "lang string, quality int, ratio double").selectExpr(
+        "lang", "quality", "1000L as word_chars", "200L as n_words", "0L as n_repeat_words", "10L as n_lines",
+        "0L as n_dup_lines", "cast(ratio * 1000 as bigint) as n_symbols", "0L as n_capitals", "false as base_failed",
+    )
+    found = {(r.stratum, r.rule): r.cutoff for r in rules.choose_cutoffs(rows, "lang", "quality").collect()}
+    risk = rules.RISK / (2 * len(rules.CUTOFFS))
+    usable = []
+    for cutoff in sorted(rules.CUTOFFS["symbols"], reverse=True):
+        if plain_tail(sum(r > cutoff for lang, _, r in good if lang == "en"), 705, rules.FALSE_REJECTION) > risk:
+            break
+        usable.append(cutoff)
+    want = max(usable, key=lambda c: (sum(r > c for _, _, r in bad[:60]) - sum(r > c for lang, _, r in good if lang == "en"), c))
+    assert found == {("en", "symbols"): want} and want == 0.03  # 150 good ones prove nothing for ten sequences
+
+
+def test_every_language_of_the_given_table_has_a_rule(spark):
+    for sf, languages in (("sf0.1", {"en", "de", "fr", "es"}), ("sf0.01", {"en"})):
+        folder = Path(f"/root/testdata/{sf}")
+        if not folder.exists():
+            pytest.skip("test tables are not here")
+        docs, marks = (spark.read.parquet(str(folder / f"{t}.parquet")) for t in ("documents", "labels"))
+        measured = rules.measures(docs, ["doc_id", "lang"]).join(rules.label_quality(marks), "doc_id")
+        found = rules.choose_cutoffs(measured, "lang", "quality").collect()
+        assert languages <= {r.stratum for r in found}
+
+
 def test_empty_tables(spark):
     rows = cases.documents()[:5]
     none = cases.frame(spark, [])
