@@ -64,16 +64,19 @@ def sum_paths(
     """Sums over the label paths of sequences ``first[s]:first[s+1]``.
 
     ``weights`` (places x labels), ``start`` (labels) and ``moves`` (labels x labels) are
-    positive factors, not logarithms.  A sequence without places has the sum 1.
+    positive factors, not logarithms.  A sequence without places has the sum 1.  Single-precision
+    ``weights`` are summed in single precision, but for the logarithms.
     """
     n, k = weights.shape
+    kind = weights.dtype
+    start, moves = start.astype(kind), moves.astype(kind)
     scale = weights.max(axis=1, keepdims=True) if n else weights[:, :1]
     weights = weights / scale
     blocks = _Blocks(first)
     m = len(blocks.begin)
     # 1. transfer matrices, scaled; only needed where a sequence has several blocks
     several = len(blocks.along) > 1
-    transfer = np.broadcast_to(np.eye(k), (m, k, k)).copy() if several else None
+    transfer = np.broadcast_to(np.eye(k, dtype=kind), (m, k, k)).copy() if several else None
     if several:
         for t, active in enumerate(blocks.active):
             here = transfer[:active]
@@ -83,14 +86,14 @@ def sum_paths(
             moved *= weights[blocks.begin[:active] + t][:, None, :]
             transfer[:active] = moved if t % 8 else _normed(moved, (1, 2))
     # 2. from block to block
-    into = np.empty((m, k))
+    into = np.empty((m, k), kind)
     carried = np.broadcast_to(start / start.sum(), (len(blocks.along[0]) if m else 0, k))
     for at in blocks.along:
         into[at] = carried[: len(at)]
         if several:
             carried = _normed(np.einsum("si,sij->sj", into[at], transfer[at]), (1,))
     # 3. inside the blocks
-    forward = np.empty((n, k))
+    forward = np.empty((n, k), kind)
     logs = np.zeros(n)
     now = into.copy()
     for t, active in enumerate(blocks.active):
@@ -111,14 +114,14 @@ def sum_paths(
     if not marginals:
         return Summed(log_sum)
     # 4. backward: the sum over what follows each place
-    out_of = np.full((m, k), 1.0 / k)
+    out_of = np.full((m, k), 1.0 / k, kind)
     if several:
         later = None
         for at in reversed(blocks.along):
             if later is not None:
                 out_of[at[: len(later)]] = later
             later = _normed(np.einsum("sij,sj->si", transfer[at], out_of[at]), (1,))
-    backward = np.empty((n, k))
+    backward = np.empty((n, k), kind)
     now = out_of.copy()
     for t in range(len(blocks.active) - 1, -1, -1):
         active = blocks.active[t]

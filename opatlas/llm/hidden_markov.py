@@ -8,10 +8,12 @@ their ending, and the end token is a group.  So the states' tables have a fixed
 word of the corpus has its own count.
 
 Training reads all training texts: word counts, then turns of Baum-Welch, whose expected counts are
-summed across partitions, until a turn raises the held-out texts' log likelihood (the training
-texts', if none are held out) by no more than ``SETTLED`` a token.  Only the tables it starts from
-are fitted to a bounded sample, the ``SAMPLE_ROWS`` training texts with the smallest hash of their id.
-Texts are turned into word groups once, two bytes a token, and the turns read those.
+summed across partitions.  Turns over a sixteenth of the texts come first, then over a quarter, then
+over all; each part goes on until a turn raises its log likelihood by no more than ``SETTLED`` a
+token, so most turns are short ones and the last ones see every training text.  Held-out texts take
+no part.  Only the tables it starts from are fitted to a bounded sample, the ``SAMPLE_ROWS`` training
+texts with the smallest hash of their id.  Texts are turned into word groups once, two bytes a token,
+and the turns read those; they sum in single precision, the scores in double.
 
 The score is the exact log10 probability of the text, from the scaled forward recursion.  Counts
 of the ``SHARED_WORDS`` most frequent words go to every task; those of all others are joined.
@@ -29,13 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opatlas.llm.chains import sum_paths
 from opatlas.llm.tables import most_frequent, remainder, sample_texts, text_of, written
 from opatlas.llm.word_arrays import Texts, Words, parts
+from opatlas.session import new_shared_path
 
 HOLD_OUT, HOLD_OUT_REMAINDER = 7, 2
 STATES = 8
@@ -47,6 +49,8 @@ SAMPLE_ROWS, SAMPLE_TURNS = 300, 15
 PART, CHUNK = 1 << 20, 1 << 17  # bytes of text, tokens
 # Natural logarithm of the likelihood a token.
 SETTLED = 0.001
+# Sixteenths of the texts that the turns of each level read.
+LEVELS = (1, 4, 16)
 # Weight of the overall shares in a state's emissions, in tokens.
 PRIOR = 20.0
 
@@ -178,7 +182,7 @@ def _shares(lexicon: Lexicon) -> np.ndarray:
 def expected(model: Model, first: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, float]:
     """Expected counts of starts, moves and emissions in one array, and the log likelihood."""
     k = len(model.start)
-    summed = sum_paths(first, model.emits.T[groups], model.start, model.moves)
+    summed = sum_paths(first, model.emits.T.astype(np.float32)[groups], model.start, model.moves)
     starts = summed.marginals[first[:-1]].sum(axis=0)
     emits = [np.bincount(groups, summed.marginals[:, s], GROUPS) for s in range(k)]
     return np.concatenate([starts, summed.pairs.ravel(), *emits]), float(summed.log_sum.sum())
@@ -211,7 +215,10 @@ def first_model(docs: DataFrame, lexicon: Lexicon, k: int = STATES) -> Model:
 
 
 def _grouped(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(held_out, groups): the word groups of each text, its end token included, as 16-bit numbers."""
+    """(level, groups): the word groups of each text, its end token included, as 16-bit numbers.
+
+    Stored by level, so a turn reads the files of its levels only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +229,15 @@ def _grouped(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 buffers = [None, pa.py_buffer((tokens.first * 2).astype(np.int64)), pa.py_buffer(tokens.groups.astype(np.int16))]
                 groups = pa.Array.from_buffers(pa.large_binary(), len(part), buffers).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("held_out").slice(begin, len(part)), groups], ["held_out", "groups"]
+                    [batch.column("level").slice(begin, len(part)), groups], ["level", "groups"]
                 )
 
-    return docs.mapInArrow(grouped, "held_out boolean, groups binary")
+    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(LEVELS[-1]))
+    level = F.when(share < LEVELS[0], 0).when(share < LEVELS[1], 1).otherwise(2)
+    rows = docs.select(level.alias("level"), text_of().alias("text")).mapInArrow(grouped, "level int, groups binary")
+    path = new_shared_path(docs.sparkSession, "word-groups")
+    rows.write.partitionBy("level").parquet(path)
+    return docs.sparkSession.read.schema("groups binary, level int").parquet(path)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -242,54 +254,51 @@ def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = stop
 
 
-def trained(
-    docs: DataFrame, lexicon: Lexicon, model: Model, passes: int | None = None, held_out: DataFrame | None = None
-) -> Model:
-    """Baum-Welch over all of ``docs``: each pass sums expected counts across the partitions.
+def trained(docs: DataFrame, lexicon: Lexicon, model: Model, passes: int | None = None) -> Model:
+    """Baum-Welch over ``docs``: each turn sums expected counts across the partitions.
 
-    Without a number of passes they go on until the likelihood of ``held_out`` has settled.
+    Given a number of ``passes``, so many turns read all texts; else they go on until they settle.
     """
     shares, k = _shares(lexicon), len(model.start)
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.lit(False).alias("held_out"), text_of().alias("text"))
-    if held_out is not None:
-        rows = rows.unionAll(held_out.select(F.lit(True).alias("held_out"), text_of().alias("text")))
-    rows = written(_grouped(rows, lexicon), "word-groups")
     size = k + k * k + k * GROUPS
-    before, best, turn = -np.inf, model, 0
-    while passes is None or turn < passes:
+    rows = _grouped(docs, lexicon)
+
+    def turn(model: Model, level: int) -> tuple[np.ndarray, float, float]:
+        """Expected counts, log likelihood and number of tokens of the texts up to a level."""
         shared = context.broadcast(model)
 
-        def summed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = shared.value
-            # after the counts: log likelihood and tokens of training texts, then of held-out ones
-            total = np.zeros(size + 4)
+            total = np.zeros(size + 2)
             for batch in batches:
-                held = batch.column("held_out")
-                for first, groups in _chunks(batch.column("groups").filter(pc.invert(held))):
+                for first, groups in _chunks(batch.column("groups")):
                     counts, logs = expected(model, first, groups)
                     total[:size] += counts
-                    total[size : size + 2] += logs, len(groups)
-                for first, groups in _chunks(batch.column("groups").filter(held)):
-                    paths = sum_paths(first, model.emits.T[groups], model.start, model.moves, marginals=False)
-                    total[size + 2 :] += paths.log_sum.sum(), len(groups)
+                    total[size:] += logs, len(groups)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "value"])
 
-        found = rows.mapInArrow(summed, "slot bigint, value double")
-        found = found.groupBy("slot").agg(F.sum("value").alias("value")).toPandas()
+        read = rows.where(F.col("level") <= level).select("groups")
+        found = read.mapInArrow(summed, "slot bigint, value double")
+        found = found.groupBy("slot").agg(F.sum("value").alias("value")).toPandas()  # ``size`` numbers
         shared.destroy()
-        sums = np.zeros(size + 4)
+        sums = np.zeros(size + 2)
         sums[found["slot"].to_numpy()] = found["value"].to_numpy()
-        logs, tokens = sums[size + 2 :] if sums[size + 3] else sums[size : size + 2]
-        if passes is None:
-            now = logs / max(tokens, 1.0)
-            best = model if now > before else best
-            if not now - before > SETTLED:
-                return best
-            before = now
-        model = maximised(sums[:size], shares, k)
-        turn += 1
+        return sums[:size], float(sums[size]), float(sums[size + 1])
+
+    if passes is not None:
+        for _ in range(passes):
+            model = maximised(turn(model, len(LEVELS) - 1)[0], shares, k)
+        return model
+    for level in range(len(LEVELS)):
+        before = -np.inf
+        while True:
+            sums, logs, tokens = turn(model, level)
+            if not tokens or logs / tokens - before <= SETTLED:
+                break
+            before = logs / tokens
+            model = maximised(sums, shares, k)
     return model
 
 
@@ -370,8 +379,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     training = docs.select("doc_id", "text").where(_is_training())
     counts = written(count_words(training), "word-counts")
     lexicon = read_lexicon(counts, training.count())
-    held_out = docs.select("doc_id", "text").where(~_is_training())
-    model = trained(training, lexicon, first_model(training, lexicon), held_out=held_out)
+    model = trained(training, lexicon, first_model(training, lexicon))
     rows = _scored(docs, lexicon, model).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "scored-texts")  # the row numbers are fixed from here on
     log_count = F.log10(F.col("times") + 1)

@@ -100,6 +100,20 @@ def test_turns_go_on_until_held_out_text_settles(spark, monkeypatch):
     assert (logs[1].s - logs[0].s) * math.log(10) / logs[0].n <= hmm.SETTLED
 
 
+def test_held_out_texts_never_change_the_model(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(hmm, "SAMPLE_ROWS", 5)
+    monkeypatch.setattr(hmm, "_scored", lambda docs, lexicon, model, of=hmm._scored: learned.append((lexicon, model)) or of(docs, lexicon, model))
+    rows = [r for r in cases.documents() if r[0] is not None and r[0] != 7]
+    for text in ("", "quite other words " * 500):
+        changed = [(i, text if cases.remainder(i, 7) == 2 else t, *rest) for i, t, *rest in rows]
+        hmm.score_texts(cases.frame(spark, changed))
+    (first, one), (second, other) = learned
+    assert (first.words == second.words).all() and (first.counts == second.counts).all()
+    for a, b in ((one.start, other.start), (one.moves, other.moves), (one.emits, other.emits)):
+        assert np.allclose(a, b, rtol=1e-6)
+
+
 def test_empty_and_unlearned(spark):
     assert hmm.score_texts(cases.frame(spark, [])).count() == 0
     held = [i for i in range(60) if cases.remainder(i, 7) == 2][:3]
