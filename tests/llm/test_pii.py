@@ -3,12 +3,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import cases
 import pytest
 
 pytest.importorskip("opatlas.llm")
 from opatlas.llm import pii  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -106,3 +108,37 @@ def test_masking_keeps_columns_and_other_text(spark):
 
 def test_empty_table(spark):
     assert pii.pii_digest(cases.frame(spark, [])).count() == 0
+
+
+def plain_mask(text, found):
+    out, stop = "", 0
+    for kind, start, end in found:
+        if start >= stop:
+            out += text[stop:start] + f"<{kind.upper()}>"
+        stop = max(stop, end)
+    return out + text[stop:]
+
+
+def test_masks_equal_a_plain_version(spark):
+    rng = random.Random(5)
+    rows = []
+    for n in (0, 1, 5, 31, 32, 33, 200):
+        text = "".join(rng.choice("aé😀 \n") for _ in range(400))
+        places = sorted((rng.randint(0, 390), rng.randint(1, 10)) for _ in range(n))
+        rows.append((text, [("email" if a % 2 else "ip", a, min(400, a + size)) for a, size in places]))
+    df = spark.createDataFrame(rows, "text string, found array<struct<kind:string,start:bigint,stop:bigint>>")
+    got = [r.m for r in df.select(pii.masked(F.col("text"), F.col("found")).alias("m")).collect()]
+    assert got == [plain_mask(text, found) for text, found in rows]
+
+
+def test_masking_many_spans_takes_linear_time(spark):
+    def seconds(n):
+        text = " ".join(f"write to user{i}@example{i}.org now" for i in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        start = time.perf_counter()
+        ((masked,),) = pii.mask_pii(df).collect()
+        assert masked.count("<EMAIL>") == n and "@" not in masked
+        return time.perf_counter() - start
+
+    seconds(50)
+    assert seconds(32_000) < 14 * max(seconds(4_000), 0.5)
