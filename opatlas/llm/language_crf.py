@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from opatlas.llm.crf import Batch, Field, fit
-from opatlas.llm.tables import free_name, remainder, sample_texts
+from opatlas.llm.tables import free_name, remainder
 from opatlas.llm.word_arrays import Texts, Words, mixed, parts
 
 SAMPLE_ROWS = 150
@@ -114,15 +114,25 @@ def _chains(words: Words, langs: np.ndarray, rng: np.random.Generator) -> list[n
     return texts + spliced
 
 
+def _sample(known: DataFrame, rows: int) -> list[tuple[str, str]]:
+    """(text, language) of at most ``rows`` ids of each language, those with the smallest hash.
+
+    Two scans, whatever the number of languages: one ranks ids, which tasks cut down to their own
+    ``rows`` first, one reads the chosen texts.  An id of a language gives one text.
+    """
+    ids = known.where("doc_id is not null").select("lang", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = ids.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows).drop("rank")
+    found = known.where("text is not null").join(chosen, ["lang", "doc_id"], "left_semi")
+    texts = found.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    return [(r["text"], r["lang"]) for r in texts.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect()]
+
+
 def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], Field] | None:
     """(languages, field) learned from text and lang of the rows that aren't held out."""
     known = docs.where("lang is not null").where(remainder(HOLD_OUT) != HOLD_OUT_REMAINDER)
-    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if not langs:
-        return None
-    sample = []
-    for lang in langs:
-        sample += [(text, lang) for text in sample_texts(known.where(F.col("lang") == lang), rows)]
+    sample = _sample(known, rows)
+    langs = sorted({lang for _, lang in sample})
     column = pa.array([text for text, _ in sample], pa.large_string())
     if not len(column):
         return None

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from opatlas.llm.crf import Batch, Field, fit
-from opatlas.llm.tables import free_name, remainder
+from opatlas.llm.tables import free_name, remainder, text_of
 from opatlas.llm.word_arrays import Texts, parts
 
 SAMPLE_ROWS = 1500
@@ -125,6 +125,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> list:
         own = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = own if chosen is None else chosen.unionAll(own)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # 2 * rows ids at most
+    # one text for each id, however many rows it stands on
+    texts = texts.groupBy("doc_id").agg(F.min(text_of()).alias("text"), F.min("quality").alias("quality"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
