@@ -337,7 +337,7 @@ def _drained(query: object) -> None:
     query.awaitTermination()
 
 
-def _arriving(spark: SparkSession, sf_dir: str, kind: str, n_files: int = 3) -> DataFrame:
+def _arriving(spark: SparkSession, sf_dir: str, kind: str, n_files: int = 2) -> DataFrame:
     """Captures of one kind as a stream of stored files, one micro-batch for each."""
     rows = derived.captures(spark, sf_dir, kind)
     path = new_shared_path(spark, f"arriving-{kind}")

@@ -71,7 +71,7 @@ def parsed_lines(lines: DataFrame) -> DataFrame:
     parsed = lines.select(
         *lines.columns,
         F.when(line.startswith("{"), F.from_json(line, _OBJECT, options)).alias("object"),
-        F.when(line.startswith("[") & F.try_parse_json(line).isNotNull(), _objects_in(line)).alias("objects"),
+        F.when(line.startswith("[") & F.from_json(line, "array<string>").isNotNull(), _objects_in(line)).alias("objects"),
     )
     one = F.col("object")
     from_object = F.when(
