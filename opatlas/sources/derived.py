@@ -183,21 +183,22 @@ def _derived(df: DataFrame, columns: dict[str, str], constants: dict[str, str])
 
 
 def read_table(
-    spark: SparkSession, sf_dir: str, name: str, stream: bool = False, files_per_batch: int = 1
+    spark: SparkSession, sf_dir: str, name: str, stream: bool = False, files_per_batch: int | None = None
 ) -> DataFrame:
-    """A test table; as a stream, the folder is watched for the table's file.
+    """A test table, one file or a folder of files; as a stream, the folder with its files is watched.
 
-    ``files_per_batch`` limits a micro-batch of the stream.
+    ``files_per_batch`` limits a micro-batch of the stream, by default to half of the files that are
+    there, so that a table in many files takes no more micro-batches than one in few.
     """
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
     if not stream:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(sf_dir)
-    )
+        return table
+    files = table.inputFiles()
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch or -(-len(files) // 2) or 1)
+    if any(f"/{name}.parquet/" in file for file in files):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def api_exchanges(events: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ import pytest
 
 from helpers import exchanges
 from opatlas.operators import findings, gates, requests, scripts
+from opatlas.plans import queries
 from opatlas.plans.catalogue import script_partials
 from opatlas.session import new_shared_path
+from opatlas.sources import derived
 from opatlas.sources.captures import read_http_exchanges
 from opatlas.streaming import stream
 from test_findings import rows_of, traffic
@@ -148,3 +150,23 @@ def test_each_script_text_is_read_once_for_all_batches(spark):
     found = stream.published(spark, f"{out}/o")
     assert found.count() == 400 * n_ops
     assert spark.read.parquet(f"{out}/o/bundles").count() == 3 + n_ops
+
+
+def test_a_stream_reads_a_table_in_one_file_and_one_in_a_folder_of_files(spark, tmp_path):
+    one, many = f"{tmp_path}/one", f"{tmp_path}/many"
+    columns = {"events": "event_id", "pages": "page_id", "conversations": "conv_id"}
+    for name, key in columns.items():
+        table = derived.read_table(spark, "/root/testdata/sf0.001", name)
+        table.repartition(7, key).write.parquet(f"{many}/{name}.parquet")
+        table.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        (tmp_path / "one").mkdir(exist_ok=True)
+        next((tmp_path / name).glob("part-*.parquet")).rename(f"{one}/{name}.parquet")
+        for folder in (one, many):
+            out = f"{tmp_path}/out-{name}-{folder[-4:]}"
+            stream_of = derived.read_table(spark, folder, name, stream=True).select(key)
+            run(stream_of.writeStream.option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start(out, format="parquet"))
+            assert rows_of(spark.read.parquet(out), [key]) == rows_of(table, [key])
+            # however many files, no more than two micro-batches
+            assert len(list((tmp_path / f"out-{name}-{folder[-4:]}-c" / "commits").glob("[0-9]*"))) <= 2
+    keys = queries.stream_first_seen(spark, many)
+    assert rows_of(keys, findings.KEY) == rows_of(queries.all_findings(spark, many), findings.KEY)
