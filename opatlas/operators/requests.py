@@ -92,6 +92,14 @@ def _placed(items: Column, part_no: Column) -> Column:
     ).cast(_PLACES)
 
 
+def _read_once(captures: DataFrame, items: Column) -> DataFrame:
+    """``captures`` with their ``items`` behind a generator.
+
+    A test of the items would be pushed below a plain column and read every text a second time.
+    """
+    return captures.select("*", F.explode(F.array(items)).alias("items"))
+
+
 def http_exchange_items(exchanges: DataFrame, keep_empty: bool = False) -> DataFrame:
     """All items of each request body or URL, as one array per exchange; one scan.
 
@@ -100,17 +108,10 @@ def http_exchange_items(exchanges: DataFrame, keep_empty: bool = False) -> DataF
     body = F.col("req_body")
     of_body = F.flatten(F.transform(body_parts(body), lambda part, i: _placed(_items_of_part(part), i)))
     of_url = _placed(_items_of_url(F.col("url")), F.lit(0))
-    found = exchanges.where(
-        (gates.is_post() & gates.body_gate()) | (gates.is_get() & gates.url_gate())
-    ).select(
-        "capture_id",
-        "ts",
-        "host",
-        "url",
-        F.col("path").alias("endpoint"),
-        "method",
-        F.when(gates.is_get(), of_url).otherwise(of_body).alias("items"),
-    )
+    found = _read_once(
+        exchanges.where((gates.is_post() & gates.body_gate()) | (gates.is_get() & gates.url_gate())),
+        F.when(gates.is_get(), of_url).otherwise(of_body),
+    ).select("capture_id", "ts", "host", "url", F.col("path").alias("endpoint"), "method", "items")
     return found if keep_empty else found.where(F.size("items") > 0)
 
 
@@ -124,14 +125,16 @@ def socket_message_items(messages: DataFrame) -> DataFrame:
             _ids(C.PERSISTED, "WS Persisted: ", _every(payload, '"sha256Hash"', V.JSON_SHA256_HASH), name),
         )
 
-    found = messages.where(gates.socket_gate()).select(
+    found = _read_once(
+        messages.where(gates.socket_gate()), _placed(let(_name(payload), named), F.lit(0))
+    ).select(
         "capture_id",
         "ts",
         F.lit(None).cast("string").alias("host"),
         "url",
         F.col("path").alias("endpoint"),
         F.lit("WS").alias("method"),
-        _placed(let(_name(payload), named), F.lit(0)).alias("items"),
+        "items",
     )
     return found.where(F.size("items") > 0)
 

@@ -177,3 +177,14 @@ def test_all_hashes_ids_and_queries_count(spark):
 def test_comments_hold_no_fields(spark):
     (row,) = found_in_bodies(spark, r'{"query":"query A { # old { x\n id(of: \"#1\") }"}')
     assert row[4] == 'query A { id(of: "#1") }'
+
+
+def test_a_text_is_read_once_though_items_are_tested(spark):
+    """Dropping what holds no item must not read the texts again below the test."""
+    df = exchanges(spark, [{"body": '{"query":"{ a }"}'}])
+
+    def readings(found):
+        return found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+    tested, untested = requests.http_exchange_items(df), requests.http_exchange_items(df, keep_empty=True)
+    assert readings(tested) == readings(untested) > 0
