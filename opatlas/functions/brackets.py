@@ -25,6 +25,7 @@ EXPRESSION_TOKEN = STRING_TOKEN + r'|[()\[\]?:]|[^()\[\]?:"]++'
 
 _NUMBERS = "array<int>"
 _PAIRS = "array<struct<place:int,partner:int,level:int>>"
+_NONE = 2**31 - 1  # no array is that long
 
 
 def running(values: Column, add: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
@@ -33,14 +34,14 @@ def running(values: Column, add: Callable[[Column, Column], Column] = lambda a,
     Pass k adds to each value the one 2^k places before it; the passes double the reach until it
     spans the array, so n values take n * log2(n) additions and no array grows.
     """
+    # an aggregate copies its array in every pass, so there is none whose reach is past the end
     reaches = F.expr("transform(sequence(0, 30), k -> shiftleft(1, k))")
 
     def double(sums: Column, reach: Column) -> Column:
         rest = F.size(sums) - reach
-        ahead = F.concat(F.slice(sums, F.lit(1), reach), F.zip_with(F.slice(sums, reach + 1, rest), F.slice(sums, F.lit(1), rest), add))
-        return F.when(rest > 0, ahead).otherwise(sums)
+        return F.concat(F.slice(sums, F.lit(1), reach), F.zip_with(F.slice(sums, reach + 1, rest), F.slice(sums, F.lit(1), rest), add))
 
-    return F.aggregate(reaches, values.cast(_NUMBERS), double)
+    return let(values.cast(_NUMBERS), lambda v: F.aggregate(F.filter(reaches, lambda r: r < F.size(v)), v, double))
 
 
 def steps_of(tokens: Column, opens: str, closes: str, whole: bool = False) -> Column:
@@ -53,31 +54,48 @@ def steps_of(tokens: Column, opens: str, closes: str, whole: bool = False) -> Co
     return F.transform(tokens, step).cast(_NUMBERS)
 
 
+# Pairs of numbers packed into one sort as plain numbers; structs would be compared field by field.
+def packed(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.cast("bigint"), 32) + low
+
+
+def upper(key: Column) -> Column:
+    return F.shiftright(key, 32).cast("int")
+
+
+def lower(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(2**32 - 1)).cast("int")
+
+
 def pairs(steps: Column) -> Column:
     """(place, partner, level) of every bracket, by place; partner is null where it has none.
 
     Places count from 0.  The level of a bracket is the depth inside of it.
     """
 
-    def levelled(sums: Column, steps: Column) -> Column:
-        def one(step: Column, i: Column) -> Column:
-            depth = F.get(sums, i)
-            return F.struct(F.when(step < 0, depth + 1).otherwise(depth).alias("level"), i.alias("place"), step.alias("step"))
+    def level(steps: Column, sums: Column, i: Column) -> Column:
+        return F.get(sums, i) + F.when(F.get(steps, i) < 0, 1).otherwise(0)
 
-        return F.array_sort(F.filter(F.transform(steps, one), lambda b: b["step"] != 0))
+    def levelled(sums: Column, steps: Column) -> Column:
+        places = F.transform(steps, lambda step, i: F.when(step != 0, packed(level(steps, sums, i), i)))
+        return F.sort_array(F.filter(places, lambda key: key.isNotNull()))
 
-    def paired(brackets: Column) -> Column:
-        def one(bracket: Column, i: Column) -> Column:
+    def paired(keys: Column, sums: Column, steps: Column) -> Column:
+        def one(key: Column, i: Column) -> Column:
             # the place before the first is -1, which get() answers with null, as it does past the end
-            after, before = F.get(brackets, i + 1), F.get(brackets, i - 1)
+            after, before = F.get(keys, i + 1), F.get(keys, i - 1)
             partner = F.when(
-                (bracket["step"] > 0) & (after["step"] < 0) & (after["level"] == bracket["level"]), after["place"]
-            ).when((bracket["step"] < 0) & (before["step"] > 0) & (before["level"] == bracket["level"]), before["place"])
-            return F.struct(bracket["place"].alias("place"), partner.alias("partner"), bracket["level"].alias("level"))
+                F.get(steps, lower(key)) > 0, F.when((upper(after) == upper(key)) & (F.get(steps, lower(after)) < 0), lower(after))
+            ).when((upper(before) == upper(key)) & (F.get(steps, lower(before)) > 0), lower(before))
+            return packed(lower(key), F.coalesce(partner, F.lit(_NONE)))
 
-        return F.array_sort(F.transform(brackets, one)).cast(_PAIRS)
+        def placed(key: Column) -> Column:
+            partner = F.nullif(lower(key), F.lit(_NONE))
+            return F.struct(upper(key).alias("place"), partner.alias("partner"), level(steps, sums, upper(key)).alias("level"))
 
-    return let(steps, lambda s: let(running(s), lambda sums: let(levelled(sums, s), paired)))
+        return F.transform(F.sort_array(F.transform(keys, one)), placed).cast(_PAIRS)
+
+    return let(steps, lambda s: let(running(s), lambda sums: let(levelled(sums, s), lambda keys: paired(keys, sums, s))))
 
 
 def joined(tokens: Column, start: Column, stop: Column) -> Column:
@@ -85,6 +103,21 @@ def joined(tokens: Column, start: Column, stop: Column) -> Column:
     return F.array_join(F.slice(tokens, start + 1, F.greatest(stop - start, F.lit(0))), "")
 
 
+def outermost(blocks: Column) -> Column:
+    """Of blocks (start, stop, ..) by their start those that no earlier one reaches over; a block whose
+    ``stop`` is null takes everything behind it."""
+
+    def kept(own: Column) -> Column:
+        reach = F.transform(own, lambda b: F.coalesce(b["stop"], F.lit(2**31 - 1)))
+        furthest = running(reach, lambda a, b: F.greatest(a, b))
+        return let(
+            furthest,
+            lambda far: F.filter(own, lambda b, i: F.coalesce(F.get(far, i - 1) < b["start"], F.lit(True))),
+        )
+
+    return let(blocks, kept)
+
+
 def covered(steps: Column, starts: Callable[[Column], Column], closed: bool = False) -> Column:
     """(start, stop) of the outermost blocks whose opening place passes ``starts``.
 
@@ -97,16 +130,7 @@ def covered(steps: Column, starts: Callable[[Column], Column], closed: bool = Fa
             F.transform(found, lambda b: F.struct(b["place"].alias("start"), b["partner"].alias("stop"))),
             lambda b: (b["stop"] > b["start"] if closed else b["stop"].isNull() | (b["stop"] > b["start"])) & starts(b["start"]),
         )
-        # a block is outermost where no earlier one reaches over its start
-        reach = F.transform(blocks, lambda b: F.coalesce(b["stop"], F.lit(2**31 - 1)))
-        furthest = running(reach, lambda a, b: F.greatest(a, b))
-        return let(
-            blocks,
-            lambda own: let(
-                furthest,
-                lambda far: F.filter(own, lambda b, i: F.coalesce(F.get(far, i - 1) < b["start"], F.lit(True))),
-            ),
-        )
+        return outermost(blocks)
 
     return let(pairs(steps), spans)
 

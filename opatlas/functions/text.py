@@ -6,6 +6,8 @@ neither a long chain nor a filter pushed below it evaluates a regular expression
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,47 +51,89 @@ def capitalize(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
 
 
+_CALL = ".concat("
+# A call's opening, a run of brackets of one kind, or text without either.
+_CALL_PIECE = r"\.concat\(|\(++|\)++|(?:[^().]++|\.(?!concat\())++"
+# With more levels than this the levels that a run closes are all listed.
+_FEW_LEVELS = 16
+
+
+def _calls(steps: Column, depths: Column, is_opening: Callable[[Column], Column]) -> Column:
+    """(start, stop, rest) of the outermost calls: the pieces where each opens and closes, and how many
+    brackets of the closing piece are not its own; ``stop`` is null for a call that never closes.
+
+    A call closes at the first piece behind it that closes its level.  Only the openings of calls and
+    the levels that calls have are sorted, however many brackets stand in between.
+    """
+    openings = F.filter(
+        F.transform(depths, lambda depth, i: F.when(is_opening(i), B.packed(depth, i))), lambda key: key.isNotNull()
+    )
+
+    def closings(levels: Column) -> Column:
+        def closed(depth: Column, i: Column) -> Column:
+            run = F.sequence(depth + 1, depth - F.get(steps, i))
+            kept = F.when(F.size(levels) > _FEW_LEVELS, run).otherwise(F.filter(run, lambda x: F.array_contains(levels, x)))
+            return F.when(F.get(steps, i) < 0, F.transform(kept, lambda level: B.packed(level, i)))
+
+        return F.flatten(F.filter(F.transform(depths, closed), lambda keys: keys.isNotNull()))
+
+    def calls(keys: Column) -> Column:
+        def one(key: Column, i: Column) -> Column:
+            after = F.get(keys, i + 1)
+            stop = F.when(B.upper(after) == B.upper(key), B.lower(after))
+            rest = B.upper(key) - 1 - F.get(depths, stop)
+            return F.when(is_opening(B.lower(key)), F.struct(B.lower(key).alias("start"), stop.alias("stop"), rest.alias("rest")))
+
+        return B.outermost(F.sort_array(F.filter(F.transform(keys, one), lambda call: call.isNotNull())))
+
+    return let(
+        openings,
+        lambda own: let(
+            let(F.array_distinct(F.transform(own, B.upper)), closings),
+            lambda ends: let(F.sort_array(F.concat(own, ends)), calls),
+        ),
+    )
+
+
 def flatten_concat(text: Column) -> Column:
     """Replace every ``.concat(...)`` by the string literals among its arguments.
 
     Arguments reach to the matching parenthesis, at any depth; a call that never closes takes the
     rest of the text but its last character.
     """
-    opening = ".concat("
 
     def literals(arguments: Column) -> Column:
         return F.array_join(all_matches(arguments, '"(' + V.STRING_RUN + ')"', 1), "")
 
-    def without_end(own: Column, size: int) -> Column:
-        return F.left(own, F.greatest(F.length(own) - size, F.lit(0)))
+    def step(piece: Column) -> Column:
+        size = F.length(piece)
+        return F.when(piece == _CALL, 1).when(piece.startswith("("), size).when(piece.startswith(")"), -size).otherwise(0)
 
     def flat(parts: Column, calls: Column) -> Column:
         n = F.size(parts)
 
+        def behind(call: Column, stop: Column) -> Column:
+            """The text from a call's end up to a piece; brackets of its closing piece may be left."""
+            begin = F.coalesce(F.when(call.isNotNull(), F.coalesce(call["stop"] + 1, n)), F.lit(0))
+            return F.concat(F.repeat(F.lit(")"), F.coalesce(call["rest"], F.lit(0))), B.joined(parts, begin, stop))
+
         def one(call: Column, i: Column) -> Column:
-            last = F.get(calls, i - 1)
-            begin = F.when(i == 0, 0).otherwise(last["stop"] + 1)
-            stop = F.coalesce(call["stop"] + 1, n)
+            arguments = B.joined(parts, call["start"] + 1, F.coalesce(call["stop"], n))
+            unclosed = F.left(arguments, F.greatest(F.length(arguments) - 1, F.lit(0)))
             # an opening with nothing behind it is no call
-            is_call = call["start"] + 1 < n
-            outside = B.joined(parts, begin, call["start"] + 1)
-            return F.when(
-                is_call,
-                F.concat(
-                    without_end(outside, len(opening)),
-                    let(without_end(B.joined(parts, call["start"] + 1, stop), 1), literals),
-                ),
-            ).otherwise(outside)
-
-        behind = F.coalesce(F.when(F.size(calls) > 0, F.element_at(calls, -1)["stop"] + 1).otherwise(0), n)
-        return F.concat(F.array_join(F.transform(calls, one), ""), B.joined(parts, behind, n))
+            found = F.when(call["start"] + 1 == n, _CALL).otherwise(let(F.when(call["stop"].isNull(), unclosed).otherwise(arguments), literals))
+            return F.concat(behind(F.get(calls, i - 1), call["start"]), found)
+
+        return F.concat(F.array_join(F.transform(calls, one), ""), behind(F.get(calls, F.size(calls) - 1), n))
 
     def read(parts: Column) -> Column:
-        steps = B.steps_of(parts, "(", ")")
-        calls = B.covered(steps, lambda place: F.get(parts, place).endswith(opening))
+        steps = F.transform(parts, step)
+        calls = let(
+            steps, lambda s: let(B.running(s), lambda depths: _calls(s, depths, lambda place: F.get(parts, place) == _CALL))
+        )
         return let(calls, lambda found: flat(parts, found))
 
-    return F.when(text.contains(opening), let(all_matches(text, B.ROUND_PIECE), read)).otherwise(text)
+    return F.when(text.contains(_CALL), let(all_matches(text, _CALL_PIECE), read)).otherwise(text)
 
 
 def drop_script_syntax(text: Column) -> Column:

@@ -168,3 +168,19 @@ def test_chains_of_any_depth(spark, levels):
     bundles = spark.createDataFrame([("b", body)], "bundle_id string, body string")
     links = [tuple(r)[1:] for r in chain_links(bundles).orderBy("chain_no", "link_no").collect()]
     assert links == [(0, "query Made", 0, f'{nested}?w:""'), (0, "query Made", 1, '" "'), (2, "query Open", 0, "w")]
+
+
+def test_a_run_of_brackets_around_a_call_costs_no_more_than_its_text(spark):
+    """Brackets that belong to no call are neither paired nor sorted, so a deep call is cheap."""
+    deep = 'q{ a ".concat(' + "(" * 4000 + '" kept "' + ")" * 4000 + ').concat(" }") + (b.concat("c"))).concat('
+    df = spark.range(1500).select(F.concat(F.lit(deep), F.col("id").cast("string")).alias("t")).localCheckpoint()
+    begun = time.monotonic()
+    got = df.select(T.flatten_concat(F.col("t")).alias("t")).distinct().count()
+    assert got >= 1 and time.monotonic() - begun < 12
+    assert apply(spark, T.flatten_concat, deep) == [plain_flatten(deep)]
+
+
+def test_runs_close_calls_of_many_levels(spark):
+    nested = 'a.concat("b", ' * 40 + "x" + ")" * 40 + ').concat("c"))) d.concat((e)) ))' + "((.concat(f" * 30 + ")" * 50
+    texts = [nested, ")" * 20 + nested, 'a.concat("b"', ".concat(", "a.concat(b.concat(", 'a..concat("b").concat.concat()']
+    assert apply(spark, T.flatten_concat, *texts) == [plain_flatten(t) for t in texts]
