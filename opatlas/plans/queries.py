@@ -337,12 +337,19 @@ def _drained(query: object) -> None:
     query.awaitTermination()
 
 
-def _arriving(spark: SparkSession, sf_dir: str, kind: str, n_files: int = 2) -> DataFrame:
-    """Captures of one kind as a stream of stored files, one micro-batch for each."""
+def _arriving(spark: SparkSession, sf_dir: str, kind: str, n_batches: int = 2) -> DataFrame:
+    """Captures of one kind as a stream of stored files, in ``n_batches`` micro-batches.
+
+    Each micro-batch holds as many files as all tasks write, so no single task has to write or read a
+    share of the table that grows with it.
+    """
     rows = derived.captures(spark, sf_dir, kind)
     path = new_shared_path(spark, f"arriving-{kind}")
+    n_files = max(n_batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows.repartition(n_files, "capture_id").write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    written = len(spark.read.parquet(path).inputFiles())  # parts without rows write no file
+    per_batch = max(1, -(-written // n_batches))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def stream_ops(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,3 +170,14 @@ def test_a_stream_reads_a_table_in_one_file_and_one_in_a_folder_of_files(spark,
             assert len(list((tmp_path / f"out-{name}-{folder[-4:]}-c" / "commits").glob("[0-9]*"))) <= 2
     keys = queries.stream_first_seen(spark, many)
     assert rows_of(keys, findings.KEY) == rows_of(queries.all_findings(spark, many), findings.KEY)
+
+
+def test_arriving_files_are_spread_over_tasks_whatever_the_micro_batches(spark, tmp_path):
+    arriving = queries._arriving(spark, "/root/testdata/sf0.001", "api", n_batches=2)
+    ids = arriving.select("capture_id", "_metadata.file_path")
+    out = f"{tmp_path}/out"
+    run(ids.writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(out, format="parquet"))
+    written = spark.read.parquet(out)
+    assert written.select("file_path").distinct().count() == 4  # the session's shuffle partitions
+    assert written.count() == derived.captures(spark, "/root/testdata/sf0.001", "api").count()
+    assert len(list((tmp_path / "c" / "commits").glob("[0-9]*"))) == 2
