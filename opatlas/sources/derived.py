@@ -89,7 +89,6 @@ MESSAGE_TEMPLATES = [
     '{"type":"ping","note":"<m>"}',
 ]
 
-SCRIPT_ID = "page_id"
 PAGE_ID_BASE = 1_000_000_000
 MESSAGE_ID_BASE = 2_000_000_000
 DERIVED_START = "2024-01-01 00:00:00"
@@ -122,7 +121,13 @@ def _pick(
     return f"CASE {key} {' '.join(branches)} END"
 
 
-def api_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
+API_KEY = f"event_id % {len(EVENT_TEMPLATES)}"
+SCRIPT_ID = "page_id"
+SCRIPT_KEY = f"{SCRIPT_ID} % {len(PAGE_TEMPLATES)}"
+MESSAGE_KEY = f"conv_id % {len(MESSAGE_TEMPLATES)}"
+
+
+def api_columns(literal: Callable[[str], str], sha256: str, key: str = API_KEY) -> dict[str, str]:
     """SQL text of method, path and request body, in terms of the ``events`` columns."""
     marks = {
         "et": "event_type",
@@ -132,7 +137,6 @@ def api_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
         "o": _in_json("props"),
         "h": sha256.format("event_type"),
     }
-    key = f"event_id % {len(EVENT_TEMPLATES)}"
     names = ["method", "path", "req_body"]
     return {
         name: _pick(key, [t[i] for t in EVENT_TEMPLATES], marks, literal)
@@ -140,11 +144,10 @@ def api_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
     }
 
 
-def script_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
+def script_columns(literal: Callable[[str], str], sha256: str, key: str = SCRIPT_KEY) -> dict[str, str]:
     """SQL text of content type and response body, in terms of the ``pages`` columns."""
     page = f"cast({SCRIPT_ID} as varchar(20))"
     marks = {"p": page, "h": sha256.format(page)}
-    key = f"{SCRIPT_ID} % {len(PAGE_TEMPLATES)}"
     names = ["resp_content_type", "resp_body"]
     columns = {
         name: _pick(key, [t[i] for t in PAGE_TEMPLATES], marks, literal)
@@ -155,11 +158,10 @@ def script_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]
     return columns
 
 
-def message_columns(literal: Callable[[str], str], sha256: str) -> dict[str, str]:
+def message_columns(literal: Callable[[str], str], sha256: str, key: str = MESSAGE_KEY) -> dict[str, str]:
     """SQL text of the payload, in terms of the ``conversations`` columns."""
     conversation = "cast(conv_id as varchar(20))"
     marks = {"c": conversation, "m": _in_json("text"), "h": sha256.format(conversation)}
-    key = f"conv_id % {len(MESSAGE_TEMPLATES)}"
     return {"payload": _pick(key, MESSAGE_TEMPLATES, marks, literal)}
 
 
@@ -170,16 +172,21 @@ def _raw_literal(text: str) -> str:
 _SHA256 = "sha2({}, 256)"
 
 
-def _derived(df: DataFrame, columns: dict[str, str], constants: dict[str, str]) -> DataFrame:
-    """Derived columns behind a generator, and constant ones.
+# The position of a row's template, worked out once.
+_KEY = "template_no"
+
+
+def _derived(df: DataFrame, key: str, columns: dict[str, str], plain: dict[str, str]) -> DataFrame:
+    """Derived columns behind a generator, and plain ones beside it.
 
     Stored captures are plain columns.  Derived ones are long expressions, and the optimizer
     would copy them into every filter that reads them; it does not look through a generator.
-    Constants stay outside, so that a gate they can never pass drops the whole branch.
+    Filters on plain ones reach the table, so a time range derives its own rows only, and a gate
+    that a constant can never pass drops the whole branch.  Plain columns may read derived ones.
     """
     fields = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
-    rows = df.selectExpr(f"explode(array(struct({fields}))) AS c")
-    return rows.selectExpr("c.*", *[f"{value} AS {name}" for name, value in constants.items()])
+    rows = df.selectExpr("*", f"explode(transform(array({key}), {_KEY} -> struct({fields}))) AS derived")
+    return rows.selectExpr(*[f"derived.{name}" for name in columns], *[f"{value} AS {name}" for name, value in plain.items()])
 
 
 def read_table(
@@ -203,20 +210,19 @@ def read_table(
 
 def api_exchanges(events: DataFrame) -> DataFrame:
     """One API exchange per event."""
-    columns = api_columns(_raw_literal, _SHA256)
     host = "concat('h', cast(user_id % 3 as varchar(20)), '.example.com')"
     return _derived(
         events,
+        API_KEY,
+        api_columns(_raw_literal, _SHA256, _KEY),
         {
             "capture_id": "event_id",
             "ts": "cast(ts as timestamp)",
             "host": host,
-            "path": columns["path"],
-            "url": f"concat('https://', {host}, {columns['path']})",
-            "method": columns["method"],
-            "req_body": columns["req_body"],
+            "url": f"concat('https://', {host}, derived.path)",
+            "resp_content_type": "cast(null as string)",
+            "resp_body": "cast(null as string)",
         },
-        {"resp_content_type": "cast(null as string)", "resp_body": "cast(null as string)"},
     )
 
 
@@ -230,14 +236,17 @@ def script_exchanges(pages: DataFrame) -> DataFrame:
     path = f"concat('/static/', cast({SCRIPT_ID} as varchar(20)), '.js')"
     return _derived(
         pages,
+        SCRIPT_KEY,
+        script_columns(_raw_literal, _SHA256, _KEY),
         {
             "capture_id": f"page_id + {PAGE_ID_BASE}",
             "ts": _start_plus("page_id"),
             "path": path,
             "url": f"concat('https://cdn.example.com', {path})",
-            **script_columns(_raw_literal, _SHA256),
+            "host": "'cdn.example.com'",
+            "method": "'GET'",
+            "req_body": "cast(null as string)",
         },
-        {"host": "'cdn.example.com'", "method": "'GET'", "req_body": "cast(null as string)"},
     )
 
 
@@ -245,13 +254,16 @@ def socket_messages(conversations: DataFrame) -> DataFrame:
     """One socket message per turn."""
     return _derived(
         conversations,
+        MESSAGE_KEY,
+        message_columns(_raw_literal, _SHA256, _KEY),
         {
             "capture_id": f"{MESSAGE_ID_BASE}L + conv_id * 1000 + turn",
             "ts": _start_plus("conv_id * 60 + turn"),
             "direction": "CASE role WHEN 'user' THEN 'CLIENT_TO_SERVER' ELSE 'SERVER_TO_CLIENT' END",
-            **message_columns(_raw_literal, _SHA256),
+            "url": "'https://h0.example.com/ws'",
+            "path": "'/ws'",
+            "is_text": "true",
         },
-        {"url": "'https://h0.example.com/ws'", "path": "'/ws'", "is_text": "true"},
     )
 
 
