@@ -80,6 +80,8 @@ STRING_OR_COMMENT = (
 STRING_RUN = r'(?:[^"\\]++|\\[\s\S])++'
 STRING_RUN_OR_EMPTY = r'(?:[^"\\]++|\\[\s\S])*+'
 TAGGED_TEMPLATE = r"(?:gql|graphql)\s*`([^`]++)`"
+# Every head begins with one of these; as a look ahead it takes nothing.
+OPERATION_INITIAL = "(?=[qms])"
 OPERATION_HEAD = (
     r"\b(?:query|mutation|subscription)\s+[A-Za-z_]\w*+\s*+(?:\([^)]*+\))?+\s*+"
 )

@@ -146,25 +146,27 @@ def blocks_behind(text: Column, head: str, consumed: str, simple: str) -> Column
     text between two heads, which reads the text once.  Else one pass over all braces of the text finds
     the brace that closes each block, at any depth.
     """
-    matches, between = all_matches(text, head + consumed), F.split(text, head + consumed, -1)
+    # a look at one letter passes over most places faster than a word's edge does
+    search = V.OPERATION_INITIAL + head + consumed
+    matches, between = all_matches(text, search), F.split(text, search, -1)
 
     def braces(own: Column) -> Column:
-        return F.length(own) - F.length(F.translate(own, "{}", ""))
+        """Number of braces; only the exact way counts them, since it reads the whole text for that."""
+        size = F.length(own)
+        return 2 * size - F.length(F.replace(own, F.lit("{"), F.lit(""))) - F.length(F.replace(own, F.lit("}"), F.lit("")))
 
     def own_parts(found: Column, rest: Column) -> Column:
         def part(match: Column, i: Column) -> Column:
             name = F.regexp_extract(match, "^" + head, 0)
-            return F.struct(
-                name.alias("head"), F.concat(F.substr(match, F.length(name) + 1), F.get(rest, i + 1)).alias("behind"),
-                braces(name).alias("within"), (braces(match) + braces(F.get(rest, i + 1))).alias("own"),
-            )
+            behind = F.concat(F.substr(match, F.length(name) + 1), F.get(rest, i + 1))
+            return F.struct(name.alias("head"), behind.alias("behind"))
 
         return F.transform(found, part)
 
     def exact(parts: Column, rest: Column) -> Column:
         def cut(pieces: Column, found: Column, upto: Column) -> Column:
             def one(part: Column, i: Column) -> Column:
-                place = braces(F.get(rest, 0)) + F.coalesce(F.get(upto, i - 1), F.lit(0)) + part["within"]
+                place = braces(F.get(rest, 0)) + F.coalesce(F.get(upto, i - 1), F.lit(0)) + braces(part["head"])
                 stop = F.get(found, place)["partner"]
                 return F.concat(
                     part["head"],
@@ -178,7 +180,10 @@ def blocks_behind(text: Column, head: str, consumed: str, simple: str) -> Column
             all_matches(text, BRACE_PIECE),
             lambda pieces: let(
                 pairs(steps_of(pieces, "{", "}")),
-                lambda found: let(running(F.transform(parts, lambda p: p["own"])), lambda upto: cut(pieces, found, upto)),
+                lambda found: let(
+                    running(F.transform(parts, lambda p: braces(p["head"]) + braces(p["behind"]))),
+                    lambda upto: cut(pieces, found, upto),
+                ),
             ),
         )
 

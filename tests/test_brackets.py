@@ -114,6 +114,15 @@ def test_blocks_equal_the_walk(spark, levels):
     assert apply(spark, blocks, *texts) == [plain_blocks(t) for t in texts]
 
 
+def test_braces_are_counted_on_the_exact_way_only(spark):
+    """Texts whose blocks all close take no count of the text between two heads."""
+    df = spark.createDataFrame([("query A { a } " + "x" * 100,)], "t string")
+    found = df.select(B.blocks_behind(F.col("t"), V.OPERATION_HEAD, r"\{", balanced("{", "}", 2)).alias("found"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.first().found == ["query A { a }"]
+    assert "translate(" not in plan and V.OPERATION_INITIAL in plan
+
+
 def test_nested_and_unclosed_heads_take_linear_time(spark):
     """Up to a megabyte of heads, each inside of the one before it, and heads that never close."""
 
