@@ -31,7 +31,8 @@ def distinct_exchanges(found: DataFrame) -> DataFrame:
     Traffic repeats itself: the same operation text arrives from every client.  Grouping
     before classification makes the costly text work proportional to distinct requests, and
     the map-side half of the aggregate takes the weight out of hot keys before the shuffle.
-    All buffers are fixed-width, so this stays a hash aggregate.  ``unit`` tells the rows apart.
+    All buffers are fixed-width, so this stays a hash aggregate.  ``unit`` tells the rows apart; it is
+    a row number, so it holds once the table is written down.
     """
     content = [c for c in found.columns if c not in _ORDER]
     grouped = found.groupBy(*content).agg(
@@ -40,7 +41,7 @@ def distinct_exchanges(found: DataFrame) -> DataFrame:
         F.max("ts").alias("last_seen"),
         F.count("*").alias("n_seen"),
     )
-    return grouped.withColumn("unit", F.sha2(F.to_json(F.struct(*content)), 256))
+    return grouped.withColumn("unit", F.monotonically_increasing_id())
 
 
 def from_ops(ops: DataFrame) -> DataFrame:
@@ -107,7 +108,13 @@ _CONTENT = ["form", "text", "name", "hash"]
 
 
 def with_item_id(items: DataFrame) -> DataFrame:
-    return items.withColumn("item_id", F.sha2(F.to_json(F.struct(*_CONTENT)), 256))
+    """``item_id``: a hash of the content; lengths tell its parts apart, and -1 a null from an empty one."""
+
+    def size(name: str) -> Column:
+        return F.coalesce(F.length(name), F.lit(-1))
+
+    content = F.concat_ws(" ", "form", size("text"), "text", size("name"), "name", "hash")
+    return items.withColumn("item_id", F.unhex(F.sha2(content, 256)))
 
 
 def item_operations(items: DataFrame) -> DataFrame:
