@@ -1,8 +1,9 @@
 """Exact sums over all label paths of linear chains, for many sequences at once.
 
-The forward and backward recursions run over blocks of ``BLOCK`` places: first every block's
-product of transfer matrices, all blocks side by side, then one small step per block along each
-sequence, then the places inside the blocks, again side by side.  A sequence of any length is
+The forward and backward recursions run over blocks of ``BLOCK`` places: first the product of transfer
+matrices of every block that hands something on, all such blocks side by side (sequences of one block
+have none, and they are most), then one small step per block along each sequence, then the places inside
+the blocks, again side by side.  A sequence of any length is
 summed exactly, in about 2 * BLOCK + length / BLOCK array operations instead of ``length``.
 Vectors are rescaled at every place and the scales' logarithms kept, so nothing underflows.
 """
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 64
+BLOCK = 256
 
 
 @dataclass
@@ -37,6 +38,7 @@ class _Blocks:
         size = np.minimum(BLOCK, first[1:][seq] - begin)
         order = np.argsort(-size, kind="stable")
         self.begin, self.size, self.leads = begin[order], size[order], (number == 0)[order]
+        self.alone, self.ends = (per[seq] == 1)[order], (number == per[seq] - 1)[order]
         self.active = [int((self.size > t).sum()) for t in range(int(self.size.max(initial=0)))]
         place = np.empty(len(order), np.int64)  # from (sequence, number) to the kept order
         place[order] = np.arange(len(order))
@@ -49,9 +51,13 @@ class _Blocks:
         ]
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of short rows; a product is several times faster than numpy's own reduction."""
+    return x @ np.ones((x.shape[1], 1), x.dtype)
+
+
 def _normed(x: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
-    total = x.sum(axis=axes, keepdims=True)
-    return x / total
+    return x / (_row_sums(x) if axes == (1,) else x.sum(axis=axes, keepdims=True))
 
 
 def sum_paths(
@@ -70,28 +76,32 @@ def sum_paths(
     n, k = weights.shape
     kind = weights.dtype
     start, moves = start.astype(kind), moves.astype(kind)
-    scale = weights.max(axis=1, keepdims=True) if n else weights[:, :1]
+    scale = np.maximum.reduce([weights[:, i] for i in range(k)])[:, None]
     weights = weights / scale
     blocks = _Blocks(first)
     m = len(blocks.begin)
-    # 1. transfer matrices, scaled; only needed where a sequence has several blocks
-    several = len(blocks.along) > 1
-    transfer = np.broadcast_to(np.eye(k, dtype=kind), (m, k, k)).copy() if several else None
-    if several:
-        for t, active in enumerate(blocks.active):
-            here = transfer[:active]
-            moved = (here.reshape(-1, k) @ moves).reshape(active, k, k)
-            if t == 0:
-                moved = np.where(blocks.leads[:active, None, None], here, moved)
-            moved *= weights[blocks.begin[:active] + t][:, None, :]
-            transfer[:active] = moved if t % 8 else _normed(moved, (1, 2))
+    # 1. transfer matrices, scaled; a block alone has no neighbour, and the sums need none of a last block
+    handing = np.flatnonzero(~(blocks.alone if marginals else blocks.ends))
+    slot = np.zeros(m, np.int64)
+    slot[handing] = np.arange(len(handing))
+    transfer = np.broadcast_to(np.eye(k, dtype=kind), (len(handing), k, k)).copy()
+    begin, size, leads = blocks.begin[handing], blocks.size[handing], blocks.leads[handing]
+    for t in range(int(size.max(initial=0))):
+        active = int(np.searchsorted(-size, -t))  # longest first
+        here = transfer[:active]
+        moved = (here.reshape(-1, k) @ moves).reshape(active, k, k)
+        if t == 0:
+            moved = np.where(leads[:active, None, None], here, moved)
+        moved *= weights[begin[:active] + t][:, None, :]
+        transfer[:active] = moved if t % 8 else _normed(moved, (1, 2))
     # 2. from block to block
     into = np.empty((m, k), kind)
     carried = np.broadcast_to(start / start.sum(), (len(blocks.along[0]) if m else 0, k))
-    for at in blocks.along:
-        into[at] = carried[: len(at)]
-        if several:
-            carried = _normed(np.einsum("si,sij->sj", into[at], transfer[at]), (1,))
+    for number, at in enumerate(blocks.along):
+        into[at] = carried
+        if number + 1 < len(blocks.along):
+            on = at[: len(blocks.along[number + 1])]
+            carried = _normed(np.einsum("si,sij->sj", into[on], transfer[slot[on]]), (1,))
     # 3. inside the blocks
     forward = np.empty((n, k), kind)
     logs = np.zeros(n)
@@ -102,7 +112,7 @@ def sum_paths(
         if t == 0:
             moved = np.where(blocks.leads[:active, None], now[:active], moved)
         moved *= weights[places]
-        total = moved.sum(axis=1, keepdims=True)
+        total = _row_sums(moved)
         now[:active] = moved / total
         forward[places] = now[:active]
         logs[places] = total[:, 0]
@@ -115,12 +125,10 @@ def sum_paths(
         return Summed(log_sum)
     # 4. backward: the sum over what follows each place
     out_of = np.full((m, k), 1.0 / k, kind)
-    if several:
-        later = None
-        for at in reversed(blocks.along):
-            if later is not None:
-                out_of[at[: len(later)]] = later
-            later = _normed(np.einsum("sij,sj->si", transfer[at], out_of[at]), (1,))
+    for number in range(len(blocks.along) - 1, 0, -1):
+        at = blocks.along[number]
+        before = blocks.along[number - 1][: len(at)]
+        out_of[before] = _normed(np.einsum("sij,sj->si", transfer[slot[at]], out_of[at]), (1,))
     backward = np.empty((n, k), kind)
     now = out_of.copy()
     for t in range(len(blocks.active) - 1, -1, -1):
@@ -133,7 +141,7 @@ def sum_paths(
     follows[first[:-1][np.diff(first) > 0]] = False
     after = np.flatnonzero(follows)
     before_f, after_w = forward[after - 1], weights[after] * backward[after]
-    norm = ((before_f @ moves) * after_w).sum(axis=1, keepdims=True)
+    norm = _row_sums((before_f @ moves) * after_w)
     pairs = moves * (before_f.T @ (after_w / norm))
     return Summed(log_sum, both, pairs)
 

@@ -46,7 +46,7 @@ END_GROUP = OWN_GROUPS + ENDINGS
 GROUPS = END_GROUP + 1
 SHARED_WORDS = 1 << 17
 SAMPLE_ROWS, SAMPLE_TURNS = 300, 15
-PART, CHUNK = 1 << 20, 1 << 17  # bytes of text, tokens
+PART, CHUNK = 1 << 20, 1 << 18  # bytes of text, tokens
 # Natural logarithm of the likelihood a token.
 SETTLED = 0.001
 # Sixteenths of the texts that the turns of each level read.

@@ -71,3 +71,20 @@ def test_sums_over_paths(k):
     both = ahead * behind
     assert np.allclose(got.marginals, both / both.sum(axis=1, keepdims=True))
     assert np.allclose(got.pairs, pairs)
+
+
+def test_sequences_of_one_block_take_no_transfer_matrices():
+    """Many short sequences beside a long one: matrices are kept for the long one only."""
+    import tracemalloc
+
+    rng, k = np.random.default_rng(1), 16
+    lengths = np.array([3] * 20_000 + [3 * BLOCK])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    weights, start, moves = rng.random((first[-1], k)) + 0.01, rng.random(k), rng.random((k, k))
+    tracemalloc.start()
+    got = sum_paths(first, weights, start, moves, marginals=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    some = np.array([0, 3, 6])
+    assert np.allclose(got.log_sum[:2], by_brute_force(some, weights[:6], start, moves))
