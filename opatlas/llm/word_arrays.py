@@ -1,8 +1,8 @@
 """Texts of an Arrow batch as byte arrays: words, their hashes and shingles, without Python loops.
 
 Words are runs of bytes other than space and the characters 9 to 13; these are ASCII, so a word
-of a UTF-8 text is the same in bytes and in code points.  Work is cut into parts of a few
-megabytes, whole rows each, so memory doesn't depend on the size of a batch; a single longer text
+of a UTF-8 text is the same in bytes and in code points.  Work is cut into parts of half a
+megabyte, whole rows each, so memory doesn't depend on the size of a batch; a single longer text
 is a part by itself.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PART_BYTES = 2 << 20
+PART_BYTES = 512 << 10
 
 IS_WHITE = np.zeros(256, bool)
 IS_WHITE[[32, 9, 10, 11, 12, 13]] = True

@@ -6,11 +6,13 @@ import random
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("opatlas.llm")
 from opatlas.llm import language_crf, quality_crf  # noqa: E402
-from opatlas.llm.crf import Batch, fit  # noqa: E402
+from opatlas.llm.crf import Batch, Field, fit  # noqa: E402
+from opatlas.llm.word_arrays import parts  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -98,3 +100,25 @@ def test_languages_of_odd_rows(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} <= {i for i, x in lettered.items() if x}
     assert language_crf.language_digest(cases.frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("module, most", [(quality_crf, 100e6), (language_crf, 130e6)])
+def test_scoring_a_large_batch_takes_little_memory(module, most):
+    """Executors have two workers beside a full heap; a batch of 12 MB must not take ten times its size."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 9, 5000)])
+    texts = [" ".join(words[rng.integers(0, 5000, 400)]) + "\n" for _ in range(6000)]
+    column = pa.array(texts, pa.string())
+    n_labels, n_features = (2, quality_crf.FEATURES) if module is quality_crf else (4, 1 << language_crf.TABLE_BITS)
+    field = Field(rng.normal(size=(n_features, n_labels)), np.zeros(n_labels), np.zeros((n_labels, n_labels)))
+    tracemalloc.start()
+    for _, _, part in parts(column):
+        if module is quality_crf:
+            quality_crf._scores(field, part)
+        else:
+            language_crf._judged(["a", "b", "c", "d"], field, part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < most, peak
