@@ -46,7 +46,7 @@ END_GROUP = OWN_GROUPS + ENDINGS
 GROUPS = END_GROUP + 1
 SHARED_WORDS = 1 << 17
 SAMPLE_ROWS, SAMPLE_TURNS = 300, 15
-PART, CHUNK = 1 << 20, 1 << 18  # bytes of text, tokens
+PART, CHUNK = 1 << 20, 1 << 19  # bytes of text, tokens
 # Natural logarithm of the likelihood a token.
 SETTLED = 0.001
 # Sixteenths of the texts that the turns of each level read.
@@ -181,11 +181,9 @@ def _shares(lexicon: Lexicon) -> np.ndarray:
 
 def expected(model: Model, first: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, float]:
     """Expected counts of starts, moves and emissions in one array, and the log likelihood."""
-    k = len(model.start)
-    summed = sum_paths(first, model.emits.T.astype(np.float32)[groups], model.start, model.moves)
-    starts = summed.marginals[first[:-1]].sum(axis=0)
-    emits = [np.bincount(groups, summed.marginals[:, s], GROUPS) for s in range(k)]
-    return np.concatenate([starts, summed.pairs.ravel(), *emits]), float(summed.log_sum.sum())
+    summed = sum_paths(first, model.emits.T.astype(np.float32), model.start, model.moves, codes=groups)
+    counts = [summed.starts, summed.pairs.ravel(), summed.marginals.T.ravel()]
+    return np.concatenate(counts), float(summed.log_sum.sum())
 
 
 def maximised(sums: np.ndarray, shares: np.ndarray, k: int) -> Model:
@@ -318,7 +316,7 @@ def _scored(docs: DataFrame, lexicon: Lexicon, model: Model) -> DataFrame:
             for begin, stop, part in parts(batch.column("text"), PART):
                 tokens = tokens_of(part, lexicon)
                 summed = sum_paths(
-                    tokens.first, model.emits.T[tokens.groups], model.start, model.moves, marginals=False
+                    tokens.first, model.emits.T, model.start, model.moves, marginals=False, codes=tokens.groups
                 )
                 place, known = lexicon.find(tokens.hashes)
                 if len(lexicon.words):

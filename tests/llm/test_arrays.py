@@ -88,3 +88,23 @@ def test_sequences_of_one_block_take_no_transfer_matrices():
     assert peak < 60e6
     some = np.array([0, 3, 6])
     assert np.allclose(got.log_sum[:2], by_brute_force(some, weights[:6], start, moves))
+
+
+@pytest.mark.parametrize("kind", [float, np.float32])
+def test_codes_stand_for_their_weights(kind):
+    """Sums over a table's rows, by code, equal those over the rows written out place by place."""
+    rng, k = np.random.default_rng(5), 4
+    lengths = np.array([0, 1, 2 * BLOCK + 3, 70, 0, 5, 64, 65])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    table, codes = (rng.random((30, k)) + 0.01).astype(kind), rng.integers(0, 29, first[-1])
+    start, moves = rng.random(k) + 0.1, rng.random((k, k)) + 0.01
+    plain, coded = sum_paths(first, table[codes], start, moves), sum_paths(first, table, start, moves, codes=codes)
+    tolerance = 1e-9 if kind is float else 1e-4
+    assert np.allclose(plain.log_sum, coded.log_sum, rtol=tolerance)
+    assert np.allclose(plain.pairs, coded.pairs, rtol=tolerance)
+    assert np.allclose(coded.starts, plain.marginals[first[:-1][lengths > 0]].sum(axis=0), rtol=tolerance)
+    summed = np.zeros((30, k))
+    np.add.at(summed, codes, plain.marginals)
+    assert np.allclose(coded.marginals, summed, rtol=tolerance)
+    nothing = sum_paths(np.array([0, 0]), table, start, moves, codes=codes[:0])
+    assert nothing.log_sum.tolist() == [0.0] and not nothing.marginals.any() and not nothing.pairs.any()
